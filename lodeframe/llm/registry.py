@@ -11,7 +11,7 @@ from .decontaminate import op6_decontaminate
 from .packing import op7_packing
 from .pii import op1_pii
 from .quality import op4_quality
-from .secrets import op3_secrets
+from .secret_scan import op3_secrets
 from .urls import OP2_SQL, op2_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
