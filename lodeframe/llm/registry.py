@@ -12,6 +12,8 @@ from .packing import op7_packing
 from .pii import op1_pii
 from .quality import op4_quality
 from .secret_scan import op3_secrets
+from .substrings import op10_substrings
+from .toxicity import op5_toxicity
 from .urls import OP2_SQL, op2_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,8 +21,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_urls": op2_urls,
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_packing": op7_packing,
     "op8_chat": op8_chat,
+    "op10_substrings": op10_substrings,
 }
 ORACLES: dict[str, str] = {"op2_urls": OP2_SQL, "op8_chat": OP8_SQL}
