@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP8_SQL, op8_chat
 from .decontaminate import op6_decontaminate
+from .jaccard import op9_jaccard
 from .packing import op7_packing
 from .pii import op1_pii
 from .quality import op4_quality
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_packing": op7_packing,
     "op8_chat": op8_chat,
+    "op9_jaccard": op9_jaccard,
     "op10_substrings": op10_substrings,
 }
 ORACLES: dict[str, str] = {"op2_urls": OP2_SQL, "op8_chat": OP8_SQL}
