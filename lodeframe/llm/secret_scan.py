@@ -61,14 +61,17 @@ def upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
+def _values(body: Column, alphabet: str) -> Column:
+    return F.transform(F.filter(F.split(body, ""), lambda c: c != ""), lambda c: (F.instr(F.lit(alphabet), c) - 1).cast("double"))
+
+
 def _encoded(s: Column) -> Column:
     """Values of the token's characters in its inferred alphabet, with the alphabet's facts."""
     bare = F.regexp_replace(F.translate(s["match"], "-_", "+/"), "=+", "")
     out = None
     for name, form, alphabet, like in reversed(ENCODINGS):
         body = bare if name == "base64" else F.lower(bare)
-        values = F.transform(F.filter(F.split(body, ""), lambda c: c != ""), lambda c, a=alphabet: (F.instr(F.lit(a), c) - 1).cast("double"))
-        this = F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(name).alias("encoding"), F.lit(float(len(alphabet))).alias("a"), F.lit(like).alias("like"), values.alias("v"))
+        this = F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(name).alias("encoding"), F.lit(float(len(alphabet))).alias("a"), F.lit(like).alias("like"), _values(body, alphabet).alias("v"))
         out = this if out is None else F.when(s["match"].rlike(form), this).otherwise(out)
     return out
 
