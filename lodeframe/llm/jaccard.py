@@ -8,14 +8,17 @@ blocks by position and size, and a set's answers come from those of a set it is
    any part of its shingles too. Every set emits the shingles whose hash lies in the lowest F of the
    hash space (F falls to 0.3 as sets grow) and goes unless enough of them occur in other sets. A task
    merges what its own sets share before it emits, so that a shingle of a third of all documents is a
-   row per task. Most documents end here.
+   row per task. Most documents end here. The rest do the same once more with all their shingles,
+   which gives each set's exact number of shingles that any other one has.
 3. Index. Survivors list a prefix of the emitted shingles, rare ones before frequent ones: two sets
-   that link have a shingle in common there. Blocks of a list hold sets whose sizes may link.
+   that link have a shingle in common there, within the first seventh for the smaller one. Blocks of
+   a list hold sets whose sizes may link.
 4. Leaders. In each block sets pair with the least one only, and each set verifies its most frequent
    leader; linked sets take the leader's component.
 5. The rest. Lists that hold more than one component yield the pairs between components (a list
-   within one is never brought together). Their overlap is bounded through the leaders: no more than
-   the leaders share plus what each set has beyond its leader. Pairs that this leaves are verified.
+   within one is never brought together) whose overlap may suffice: by the numbers of shingles that
+   others have at all, and by what the two sets share with their leaders and have beyond them.
+   Pairs that this leaves are verified.
 
 Every step that could drop a link is a proven bound; there is no cap. Hashes are 64 bits wide.
 
@@ -42,8 +45,9 @@ from .wordhash import Block, blocks, windows
 WORDS = 5
 #: Sizes from which a share of the hash space is emitted.
 SHARES = ((0, 1.0), (40, 0.42), (300, 0.34), (2000, 0.30))
-#: Shingles that so many sets emit count as frequent; at most so many of them, the most frequent ones.
-FREQUENT, MAX_FREQUENT = 16, 1 << 18
+#: Shingles that so many sets emit count as frequent; at most so many of them, the most frequent ones,
+#: are told apart (by powers of two): this orders the index and decides no link.
+FREQUENT, MAX_FREQUENT = 8, 1 << 18
 BUCKETS_PER_PARTITION = 4
 
 _FROM = np.array([n for n, _ in SHARES])
@@ -55,19 +59,33 @@ def limit(n: int) -> np.uint64:
     return _LIMIT[np.searchsorted(_FROM, n, side="right") - 1]
 
 
-def overlap(a, b):
-    """Shingles that sets of these sizes share at least if they link: 100 i >= 75 (a + b - i)."""
-    return -(-3 * (a + b) // 7)
-
-
 def own_overlap(n: int) -> int:
+    """The least overlap with a linked set of any size."""
     return -(-3 * n // 4)
 
 
+def wide_overlap(n: int) -> int:
+    """The least overlap with a linked set that is not smaller."""
+    return -(-6 * n // 7)
+
+
 # --- sets -----------------------------------------------------------------------------------
 
 
-def sets(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray]]:
+def small(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, so that what is built from one stays small; frees Arrow's own memory."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
+def raw(column: pa.Array) -> Iterator[bytes | None]:
+    return (x.as_py() for x in column.cast(pa.binary()))
+
+
+def sets(texts: Iterator[bytes | None]) -> Iterator[tuple[int, np.ndarray]]:
     """Number and sorted distinct shingle hashes of every text."""
     split = ((i, (t or b"").lower().split()) for i, t in enumerate(texts))
     open_: tuple[int, list[np.ndarray]] | None = None
@@ -113,9 +131,9 @@ def emitted(h: np.ndarray) -> tuple[np.ndarray, int, int]:
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         n, ids, needs = [0] * len(batch), [None] * len(batch), [None] * len(batch)
-        for i, h in sets(batch.column(1).cast(pa.binary()).to_pylist()):
+        for i, h in sets(raw(batch.column(1))):
             n[i], ids[i], needs[i] = len(h), set_id(h), emitted(h)[2]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(needs, pa.int64())], names=["doc_id", "n_shingles", "set_id", "need"])
 
@@ -127,57 +145,78 @@ def _six(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
-def _wide(raw: bytes, n: int, at: int) -> np.ndarray:
+def _wide(data: bytes, n: int, at: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, at).reshape(n, 6)
+    out[:, :6] = np.frombuffer(data, np.uint8, 6 * n, at).reshape(n, 6)
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
 def _emit(n_buckets: int):
-    """Rows (bucket, body): hashes with the one set here that has them, hashes that several have
-    with their number, and the counts of sets' shingles known to be shared."""
+    """Rows (bucket, body) of what every set emits."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen, hashes, owners = set(), [], []
-            for _, h in sets(batch.column(0).cast(pa.binary()).to_pylist()):
-                own = set_id(h)
-                if own in seen:
-                    continue
-                seen.add(own)
-                out, counted, _ = emitted(h)
-                hashes.append(out >> np.uint64(16))
-                flags = np.zeros(len(out), np.uint64)
-                flags[:counted] = 1
-                owners.append(((np.uint64(own & int(_ID))) << np.uint64(1)) | flags)
-            if not hashes:
-                continue
-            h, owner = np.concatenate(hashes), np.concatenate(owners)
-            order = np.lexsort((h, h % np.uint64(n_buckets)))
-            h, owner = h[order], owner[order]
-            new = np.append(True, h[1:] != h[:-1])
-            size = np.diff(np.append(np.flatnonzero(new), len(h)))
-            several = np.repeat(size > 1, size)
-            known = owner[several & (owner & np.uint64(1)).astype(bool)] >> np.uint64(1)
-            ids, counts = np.unique(known, return_counts=True)
-            alone, alone_owner = h[~several], owner[~several]
-            many, weight = h[new][size > 1], size[size > 1]
-            rows, bodies = [], []
-            b1, b2 = alone % np.uint64(n_buckets), many % np.uint64(n_buckets)
-            for bucket in np.union1d(b1, b2).tolist():
-                i, j = np.searchsorted(b1, np.array([bucket, bucket + 1], np.uint64)), np.searchsorted(b2, np.array([bucket, bucket + 1], np.uint64))
-                known_here = not rows
-                head = np.array([i[1] - i[0], j[1] - j[0], len(ids) if known_here else 0], np.int64)
-                body = head.tobytes() + _six(alone[i[0] : i[1]]) + _six(alone_owner[i[0] : i[1]]) + _six(many[j[0] : j[1]]) + weight[j[0] : j[1]].astype(np.int64).tobytes()
-                if known_here:
-                    body += ids.astype(np.int64).tobytes() + counts.astype(np.int64).tobytes()
-                rows.append(bucket)
-                bodies.append(body)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(bodies, pa.binary())], names=["bucket", "body"])
+        for batch in small(batches):
+            yield from _packed((h, *emitted(h)[:2]) for _, h in sets(raw(batch.column(0))))(n_buckets)
+
+    return emit
+
+
+def _emit_all(n_buckets: int):
+    """The same of all shingles of packed sets."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            every = (np.frombuffer(x, np.uint64) for x in raw(batch.column(0)))
+            yield from _packed((h, h, len(h)) for h in every)(n_buckets)
 
     return emit
 
 
+def _packed(given: Iterator[tuple[np.ndarray, np.ndarray, int]]):
+    """Hashes with the one set here that has them, hashes that several have with their number, and the
+    counts of sets' shingles known to be shared, as rows by bucket."""
+    seen, hashes, owners = set(), [], []
+    for h, out, counted in given:
+        own = set_id(h)
+        if own in seen:
+            continue
+        seen.add(own)
+        hashes.append(out >> np.uint64(16))
+        flags = np.zeros(len(out), np.uint64)
+        flags[:counted] = 1
+        owners.append((np.uint64(own & int(_ID)) << np.uint64(1)) | flags)
+
+    def rows(n_buckets: int) -> Iterator[pa.RecordBatch]:
+        if not hashes:
+            return
+        h, owner = np.concatenate(hashes), np.concatenate(owners)
+        hashes.clear()
+        owners.clear()
+        order = np.argsort(h)
+        h, owner = h[order], owner[order]
+        new = np.append(True, h[1:] != h[:-1])
+        size = np.diff(np.append(np.flatnonzero(new), len(h)))
+        several = np.repeat(size > 1, size)
+        known = owner[several & (owner & np.uint64(1)).astype(bool)] >> np.uint64(1)
+        ids, counts = np.unique(known, return_counts=True)
+        alone, alone_owner = h[~several], owner[~several]
+        many, weight = h[new][size > 1], size[size > 1]
+        b1, b2 = (alone % np.uint64(n_buckets)).astype(np.int64), (many % np.uint64(n_buckets)).astype(np.int64)
+        o1, o2 = np.argsort(b1, kind="stable"), np.argsort(b2, kind="stable")
+        alone, alone_owner, b1, many, weight, b2 = alone[o1], alone_owner[o1], b1[o1], many[o2], weight[o2], b2[o2]
+        buckets, bodies = np.union1d(b1, b2), []
+        i1, i2 = np.searchsorted(b1, np.append(buckets, n_buckets)), np.searchsorted(b2, np.append(buckets, n_buckets))
+        for k in range(len(buckets)):
+            x, y = slice(i1[k], i1[k + 1]), slice(i2[k], i2[k + 1])
+            first = k == 0
+            head = np.array([x.stop - x.start, y.stop - y.start, len(ids) if first else 0], np.int64)
+            body = head.tobytes() + _six(alone[x]) + _six(alone_owner[x]) + _six(many[y]) + weight[y].astype(np.int64).tobytes()
+            bodies.append(body + (ids.astype(np.int64).tobytes() + counts.astype(np.int64).tobytes() if first else b""))
+        yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(bodies, pa.binary())], names=["bucket", "body"])
+
+    return rows
+
+
 TALLY = pa.schema([("frequent", pa.bool_()), ("key", pa.int64()), ("n", pa.int64())])
 
 
@@ -192,15 +231,15 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     single_h, single_owner, many_h, many_n = [], [], [], []
     for batch in batches:
         for body in batch.column(1):
-            raw = body.as_py()
-            n1, n2, n3 = np.frombuffer(raw, np.int64, 3).tolist()
-            single_h.append(_wide(raw, n1, 24))
-            single_owner.append(_wide(raw, n1, 24 + 6 * n1))
-            many_h.append(_wide(raw, n2, 24 + 12 * n1))
+            data = body.as_py()
+            n1, n2, n3 = np.frombuffer(data, np.int64, 3).tolist()
+            single_h.append(_wide(data, n1, 24))
+            single_owner.append(_wide(data, n1, 24 + 6 * n1))
+            many_h.append(_wide(data, n2, 24 + 12 * n1))
             at = 24 + 12 * n1 + 6 * n2
-            many_n.append(np.frombuffer(raw, np.int64, n2, at))
+            many_n.append(np.frombuffer(data, np.int64, n2, at).copy())
             if n3:
-                yield from out(False, np.frombuffer(raw, np.int64, n3, at + 8 * n2), np.frombuffer(raw, np.int64, n3, at + 8 * (n2 + n3)))
+                yield from out(False, np.frombuffer(data, np.int64, n3, at + 8 * n2), np.frombuffer(data, np.int64, n3, at + 8 * (n2 + n3)))
     if not single_h:
         return
     h, owner = np.concatenate(single_h), np.concatenate(single_owner)
@@ -219,55 +258,66 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out(True, every[often], total[often])
 
 
-def survivors(slim: DataFrame, classes: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """Classes (doc_id, n_shingles, ...) that may link, and the sorted hashes of frequent shingles."""
-    spark = slim.sparkSession
-    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = slim.select("t").mapInArrow(_emit(BUCKETS_PER_PARTITION * partitions), "bucket bigint, body binary")
-    tally = settle(rows.repartition(partitions, "bucket").mapInArrow(_tally, "frequent boolean, key bigint, n bigint"), "tally")
-    often = tally.where("frequent").orderBy(F.desc("n"), "key").limit(MAX_FREQUENT).select("key")
-    frequent = np.sort(np.array([r["key"] for r in often.collect()], np.uint64))
-    shared = tally.where("NOT frequent").groupBy("key").agg(F.sum("n").alias("shared"))
-    keyed = classes.withColumn("key", F.col("set_id").bitwiseAND(F.lit(int(_ID))))
-    return settle(keyed.join(shared, "key").where("shared >= need").select("doc_id", "n_shingles"), "survivors"), frequent
+def tallied(rows: DataFrame, name: str) -> DataFrame:
+    partitions = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return settle(rows.repartition(partitions, "bucket").mapInArrow(_tally, "frequent boolean, key bigint, n bigint"), name)
+
+
+def shared_counts(tally: DataFrame) -> DataFrame:
+    return tally.where("NOT frequent").groupBy("key").agg(F.sum("n").alias("shared"))
+
+
+def frequencies(tally: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles' short hashes, sorted, and their levels (1, 2, ... by powers of two)."""
+    often = tally.where("frequent").orderBy(F.desc("n"), "key").limit(MAX_FREQUENT).select("key", "n").toPandas()
+    key, n = often["key"].to_numpy(np.uint64), often["n"].to_numpy(np.float64)
+    order = np.argsort(key)
+    return key[order], (np.floor(np.log2(n[order] / FREQUENT)) + 1).astype(np.int8)
 
 
 # --- index ----------------------------------------------------------------------------------
 
 
-def prefix(h: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The shingles under which a set is listed."""
-    out, inside, need = emitted(h)
+def prefix(h: np.ndarray, keys: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, int]:
+    """The shingles under which a set is listed, and how many of them (from the start) it needs to be
+    found by sets that are not smaller."""
     n = len(h)
-    if inside < n - own_overlap(n) + 1 or inside - (n - own_overlap(n)) < 1:
-        return out
-    a = h[:inside]
-    short = a >> np.uint64(16)
-    at = np.searchsorted(frequent, short)
-    often = np.zeros(len(a), bool)
-    if len(frequent):
-        often = frequent[np.minimum(at, len(frequent) - 1)] == short
+    spare = n - own_overlap(n)
+    a = h[: int(np.searchsorted(h, limit(n)))]
+    if len(a) <= spare:  # too few of its shingles lie in its share: all it emits
+        out = emitted(h)[0]
+        return out, len(out)
+    level = np.zeros(len(a), np.int8)
+    if len(keys):
+        short = a >> np.uint64(16)
+        at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
+        level = np.where(keys[at] == short, levels[at], 0)
     klass = np.searchsorted(np.sort(_LIMIT), a, side="right")
-    return a[np.lexsort((a, often, klass))[: n - own_overlap(n) + 1]]
+    return a[np.lexsort((a, level, klass))[: spare + 1]], n - wide_overlap(n) + 1
+
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in small(batches):
+        docs, packed = [], []
+        ids = batch.column(0).to_pylist()
+        for i, h in sets(raw(batch.column(1))):
+            docs.append(ids[i])
+            packed.append(h.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([len(p) // 8 for p in packed], pa.int64()), pa.array([set_id(np.frombuffer(p, np.uint64)) & int(_ID) for p in packed], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n", "key", "packed"])
 
-def _lists(frequent: np.ndarray):
+
+def _lists(keys: np.ndarray, levels: np.ndarray):
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, sizes, packed, heads = [], [], [], []
-            ids = batch.column(0).to_pylist()
-            for i, h in sets(batch.column(1).cast(pa.binary()).to_pylist()):
-                docs.append(ids[i])
-                sizes.append(len(h))
-                packed.append(h.tobytes())
-                heads.append(prefix(h, frequent).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary()), pa.array(heads, pa.list_(pa.int64()))], names=["doc_id", "n", "packed", "prefix"])
+        for batch in small(batches):
+            found = [prefix(np.frombuffer(x, np.uint64), keys, levels) for x in raw(batch.column(3))]
+            heads = pa.array([p.view(np.int64) for p, _ in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), heads, pa.array([k for _, k in found], pa.int64())], names=["doc_id", "n", "reach", "prefix", "narrow"])
 
     return lists
 
 
 def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         shared, n_a, n_b = [], [], []
         for a, b in zip(batch.column(2), batch.column(3), strict=True):
             x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
@@ -301,13 +351,25 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     summary = settle(slim.mapInArrow(_summaries, "doc_id bigint, n_shingles bigint, set_id bigint, need bigint"), "sets")
     grouped = summary.where("set_id IS NOT NULL").groupBy("set_id", "n_shingles", "need").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     classes = settle(grouped, "classes")
-    left, frequent = survivors(slim, classes.where("doc_id IS NOT NULL"))
 
+    # 2. survivors, by a part of the shingles, then by all of them
+    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = BUCKETS_PER_PARTITION * partitions
+    tally = tallied(slim.select("t").mapInArrow(_emit(buckets), "bucket bigint, body binary"), "tally")
+    keyed = classes.where("doc_id IS NOT NULL").withColumn("key", F.col("set_id").bitwiseAND(F.lit(int(_ID))))
+    left = settle(keyed.join(shared_counts(tally), "key").where("shared >= need").select("doc_id").distinct(), "survivors")
+    keys, levels = frequencies(tally)
+    chosen = slim.join(sized(left), "doc_id", "left_semi")
+    every = settle(chosen.mapInArrow(_sets, "doc_id bigint, n bigint, key bigint, packed binary"), "packed")
+    exact = tallied(every.select("packed").mapInArrow(_emit_all(buckets), "bucket bigint, body binary"), "exact")
+    # reach: the shingles of a set that any other one has
+    reaching = every.join(sized(shared_counts(exact)), "key").where("4 * shared >= 3 * n")
     # repeated rows of one document give one entry
-    chosen = slim.join(sized(left.select("doc_id").distinct()), "doc_id", "left_semi")
-    listed = settle(chosen.mapInArrow(_lists(frequent), "doc_id bigint, n bigint, packed binary, prefix array<bigint>"), "index")
-    packed = listed.select("doc_id", "n", "packed").dropDuplicates(["doc_id", "packed"])
-    entries = listed.select("doc_id", "n", F.explode("prefix").alias("h"), F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3))).cast("int").alias("band"))
+    packed = settle(reaching.select("doc_id", "n", F.col("shared").alias("reach"), "packed").dropDuplicates(["doc_id", "packed"]), "index")
+    listed = packed.mapInArrow(_lists(keys, levels), "doc_id bigint, n bigint, reach bigint, prefix array<bigint>, narrow bigint")
+    spread = listed.select("doc_id", "n", "reach", "narrow", F.posexplode("prefix").alias("pos", "h"))
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3))).cast("int")
+    entries = settle(spread.select("doc_id", "n", "reach", "h", (F.col("pos") < F.col("narrow")).alias("narrow"), band.alias("band")), "entries")
 
     # 4. leaders: the least set of a block (hash, size band), from aggregated rows
     least = entries.groupBy("h", "band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last").select("h", "band", "a")
@@ -318,23 +380,30 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     parts = components(links)
 
     # 5. pairs of sets in different components, of lists that hold several
-    labelled = entries.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("h", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+    led = known.groupBy(F.col("b").alias("doc_id")).agg(F.first("a").alias("leader"), F.max("shared").alias("common"), F.max(F.col("n_b") - F.col("shared")).alias("beyond"))
+    where = parts.withColumnRenamed("node", "doc_id").join(led, "doc_id", "full_outer")
+    labelled = entries.join(where, "doc_id", "left").select(
+        "h", "doc_id", "n", "reach", "narrow",
+        F.coalesce("component", "doc_id").alias("c"),
+        F.coalesce("leader", "doc_id").alias("leader"),
+        F.coalesce("common", "n").alias("common"),
+        F.coalesce("beyond", F.lit(0)).alias("beyond"),
+    )
     mixed_lists = labelled.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("h")
     open_ = settle(labelled.join(mixed_lists, "h", "left_semi"), "open")
-    one, two = (open_.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "c"))) for s in ("a", "b"))
-    fits = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("c_a") != F.col("c_b")) & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))
-    crossed = one.join(two, "h").where(fits).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), "n_a", "n_b").distinct()
-    rest = settle(crossed, "crossed")
-    # how far each set reaches beyond its leader
-    beyond = known.groupBy(F.col("b").alias("doc_id")).agg(F.first("a").alias("leader"), F.max(F.col("n_b") - F.col("shared")).alias("beyond"))
-    led = lambda s: beyond.select(F.col("doc_id").alias(s), F.col("leader").alias(f"l{s}"), F.col("beyond").alias(f"d{s}"))
-    asked = rest.join(led("a"), "a", "left").join(led("b"), "b", "left").select("a", "b", "n_a", "n_b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"), (F.coalesce("da", F.lit(0)) + F.coalesce("db", F.lit(0))).alias("slack"))
-    asked = settle(asked, "asked")
-    leaders = settle(verified(asked.select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct(), packed).groupBy("a", "b").agg(F.max("shared").alias("common")), "leaders")
-    bounded = asked.join(leaders.select(F.col("a").alias("la"), F.col("b").alias("lb"), "common"), ["la", "lb"], "left")
-    # leaders that are one set bound nothing
-    possible = bounded.where(F.col("common").isNull() | (175 * (F.col("common") + F.col("slack")) >= 75 * (F.col("n_a") + F.col("n_b"))))
-    more = linked(verified(possible.select("a", "b").distinct(), packed))
+    side = lambda s: open_.select("h", *(F.col(c).alias(f"{c}_{s}") for c in open_.columns if c != "h"))
+    one, two = side("a").where("narrow_a").drop("narrow_a"), side("b").drop("narrow_b")
+    # the smaller one is found by its narrow prefix; what both can share at most must suffice
+    least_shared = 75 * (F.col("n_a") + F.col("n_b"))
+    bound = F.least("reach_a", "reach_b", F.when(F.col("leader_a") == F.col("leader_b"), F.least("common_a", "common_b") + F.least("beyond_a", "beyond_b")).otherwise(F.col("n_a")))
+    smaller = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("doc_id_a") < F.col("doc_id_b"))
+    fits = (one["h"] == two["h"]) & (F.col("c_a") != F.col("c_b")) & smaller & (4 * F.col("n_a") >= 3 * F.col("n_b")) & (175 * bound >= least_shared)
+    crossed = one.join(two, fits).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), "n_a", "n_b", F.col("leader_a").alias("la"), F.col("leader_b").alias("lb"), (F.col("beyond_a") + F.col("beyond_b")).alias("slack"))
+    asked = settle(crossed.distinct(), "asked")
+    leaders = settle(verified(asked.select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct(), packed).groupBy("a", "b").agg(F.max("shared").alias("both")), "leaders")
+    bounded = asked.join(sized(leaders.select(F.col("a").alias("la"), F.col("b").alias("lb"), "both")), ["la", "lb"], "left")
+    possible = bounded.where(F.col("both").isNull() | (175 * (F.col("both") + F.col("slack")) >= least_shared))
+    more = settle(linked(verified(possible.select("a", "b").distinct(), packed)), "more")
     joined = settle(components(links.unionByName(more)), "components")
 
     # back to the rows: equal sets, then components

@@ -7,9 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Words at most that are hashed in one block; longer texts go in overlapping segments.
-SEGMENT = 200_000
+SEGMENT = 100_000
 #: Bytes of text at least that are gathered into a block.
-BLOCK = 3_000_000
+BLOCK = 1_000_000
 
 _SPAN = 4096
 _random = np.random.default_rng(20_240_611)
