@@ -15,10 +15,10 @@ blocks by position and size, and a set's answers come from those of a set it is
    a list hold sets whose sizes may link.
 4. Leaders. In each block sets pair with the least one only, and each set verifies its most frequent
    leader; linked sets take the leader's component.
-5. The rest. Lists that hold more than one component yield the pairs between components (a list
-   within one is never brought together) whose overlap may suffice: by the numbers of shingles that
-   others have at all, and by what the two sets share with their leaders and have beyond them.
-   Pairs that this leaves are verified.
+5. The rest. A set that does not link with its leader is compared with the leader's other sets through
+   what each has of the leader, as bits, and at most has beyond it. Sets of different leaders meet in
+   lists that hold more than one component (a list within one is never brought together), if what
+   other sets have of them at all may suffice. The pairs that this leaves are verified.
 
 Every step that could drop a link is a proven bound; there is no cap. Hashes are 64 bits wide.
 
@@ -318,31 +318,73 @@ def _lists(keys: np.ndarray, levels: np.ndarray):
 
 def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
-        shared, n_a, n_b = [], [], []
+        shared, n_a, n_b, masks = [], [], [], []
         for a, b in zip(batch.column(2), batch.column(3), strict=True):
             x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
             n_a.append(len(x))
             n_b.append(len(y))
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            shared.append(int((y[np.minimum(at, len(y) - 1)] == x).sum()))
+            there = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+            shared.append(int(there.sum()))
+            masks.append(np.packbits(there).tobytes())
         counts = [pa.array(v, pa.int64()) for v in (n_a, n_b, shared)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *counts], names=["a", "b", "n_a", "n_b", "shared"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *counts, pa.array(masks, pa.binary())], names=["a", "b", "n_a", "n_b", "shared", "mask"])
 
 
 def verified(pairs: DataFrame, packed: DataFrame) -> DataFrame:
-    """a, b, their sizes and what they share, for every pair (a, b)."""
+    """a, b, their sizes, what they share, and the bits of a's shingles that b has, for every pair (a, b)."""
     first = packed.select(F.col("doc_id").alias("a"), F.col("packed").alias("x"))
     second = packed.select(F.col("doc_id").alias("b"), F.col("packed").alias("y"))
     both = pairs.select("a", "b").join(second, "b").join(first, "a").select("a", "b", "x", "y")
-    return both.mapInArrow(_intersect, "a bigint, b bigint, n_a bigint, n_b bigint, shared bigint")
+    return both.mapInArrow(_intersect, "a bigint, b bigint, n_a bigint, n_b bigint, shared bigint, mask binary")
 
 
 def linked(pairs: DataFrame) -> DataFrame:
     return pairs.where("175 * shared >= 75 * (n_a + n_b)").select("a", "b")
 
 
+#: Sets at most on either side of a comparison of sets that have the same leader.
+SIDE = 2048
+
+
+def _compare(rows: pa.Table) -> pa.Table:
+    """Pairs of one leader's sets that may link though their components differ: outsiders on one side,
+    any on the other. What both have of the leader is counted from their masks."""
+    r = {c: rows.column(c).to_numpy() for c in ("doc_id", "n", "c", "beyond", "outsider", "role")}
+    masks = [np.frombuffer(m, np.uint8) for m in rows.column("mask").to_pylist()]
+    width = -(-max(map(len, masks)) // 8) * 8
+    bits = np.zeros((len(masks), width), np.uint8)
+    for i, m in enumerate(masks):
+        bits[i, : len(m)] = m
+    bits = bits.view(np.uint64)
+    from_, to = np.flatnonzero(r["role"] == 0), np.flatnonzero(r["role"] == 1)
+    a, b = [], []
+    for i in from_:
+        n = r["n"][to] + r["n"][i]
+        both = np.bitwise_count(bits[to] & bits[i]).sum(axis=1, dtype=np.int64) + np.minimum(r["beyond"][to], r["beyond"][i])
+        # two outsiders meet twice
+        once = ~r["outsider"][to] | (r["doc_id"][to] > r["doc_id"][i])
+        hit = to[(r["c"][to] != r["c"][i]) & once & (175 * both >= 75 * n)]
+        a += [r["doc_id"][i]] * len(hit)
+        b += r["doc_id"][hit].tolist()
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def same_leader(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) to verify among sets with one leader, which some of them don't link with.
+
+    ``members``: leader, doc_id, n, c, beyond, mask, outsider. Each outsider meets each member in the
+    task of their blocks: no task holds more than SIDE of either."""
+    counts = members.groupBy("leader").agg(F.count(F.lit(1)).alias("all"), F.count_if("outsider").alias("out")).where("out > 0 AND all > 1")
+    parts = counts.select("leader", F.ceil(F.col("all") / SIDE).cast("int").alias("n_to"), F.ceil(F.col("out") / SIDE).cast("int").alias("n_from"))
+    known = members.join(sized(parts), "leader")
+    slot = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["leader", "doc_id", "n", "c", "beyond", "mask", "outsider"]
+    from_ = known.where("outsider").select(*columns, F.lit(0).alias("role"), slot("n_from").alias("x"), every("n_to").alias("y"))
+    to = known.select(*columns, F.lit(1).alias("role"), every("n_from").alias("x"), slot("n_to").alias("y"))
+    return from_.unionByName(to).groupBy("leader", "x", "y").applyInArrow(_compare, "a bigint, b bigint")
+
+
 def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document row: doc_id (the key as a long), n_shingles, component_id."""
     spark = docs.sparkSession
@@ -371,39 +413,37 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3))).cast("int")
     entries = settle(spread.select("doc_id", "n", "reach", "h", (F.col("pos") < F.col("narrow")).alias("narrow"), band.alias("band")), "entries")
 
-    # 4. leaders: the least set of a block (hash, size band), from aggregated rows
-    least = entries.groupBy("h", "band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last").select("h", "band", "a")
-    votes = entries.join(least, ["h", "band"]).where("doc_id > a").groupBy(F.col("doc_id").alias("b"), "a").agg(F.count(F.lit(1)).alias("votes"))
+    # 4. leaders: the set of a block (hash, size band) that others share most of, from aggregated rows
+    central = F.struct((F.col("reach") / F.col("n")).alias("share"), (-F.col("doc_id")).alias("first"))
+    heads = entries.groupBy("h", "band").agg(F.max_by("doc_id", central).alias("a"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    heads = heads.where("low < high").select("h", "band", "a")
+    votes = entries.join(heads, ["h", "band"]).where("doc_id <> a").groupBy(F.col("doc_id").alias("b"), "a").agg(F.count(F.lit(1)).alias("votes"))
     stars = votes.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a"))
     known = settle(verified(stars, packed), "stars")
     links = settle(linked(known), "links")
     parts = components(links)
 
     # 5. pairs of sets in different components, of lists that hold several
-    led = known.groupBy(F.col("b").alias("doc_id")).agg(F.first("a").alias("leader"), F.max("shared").alias("common"), F.max(F.col("n_b") - F.col("shared")).alias("beyond"))
-    where = parts.withColumnRenamed("node", "doc_id").join(led, "doc_id", "full_outer")
-    labelled = entries.join(where, "doc_id", "left").select(
-        "h", "doc_id", "n", "reach", "narrow",
-        F.coalesce("component", "doc_id").alias("c"),
-        F.coalesce("leader", "doc_id").alias("leader"),
-        F.coalesce("common", "n").alias("common"),
-        F.coalesce("beyond", F.lit(0)).alias("beyond"),
-    )
+    # (an id with several sets has no leader here, and so no bound)
+    led = known.groupBy(F.col("b").alias("doc_id")).agg(F.first("a").alias("leader"), F.first("n_b").alias("n"), F.first("shared").alias("common"), F.first("mask").alias("mask"), F.count(F.lit(1)).alias("sets")).where("sets = 1").drop("sets")
+    where = settle(parts.withColumnRenamed("node", "doc_id").join(led, "doc_id", "full_outer"), "where")
+    labelled = entries.join(where.select("doc_id", "component", "leader"), "doc_id", "left").select("h", "doc_id", "n", "reach", "narrow", F.coalesce("component", "doc_id").alias("c"), F.coalesce("leader", "doc_id").alias("leader"))
     mixed_lists = labelled.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("h")
     open_ = settle(labelled.join(mixed_lists, "h", "left_semi"), "open")
     side = lambda s: open_.select("h", *(F.col(c).alias(f"{c}_{s}") for c in open_.columns if c != "h"))
     one, two = side("a").where("narrow_a").drop("narrow_a"), side("b").drop("narrow_b")
-    # the smaller one is found by its narrow prefix; what both can share at most must suffice
-    least_shared = 75 * (F.col("n_a") + F.col("n_b"))
-    bound = F.least("reach_a", "reach_b", F.when(F.col("leader_a") == F.col("leader_b"), F.least("common_a", "common_b") + F.least("beyond_a", "beyond_b")).otherwise(F.col("n_a")))
+    # different leaders: the smaller one is found by its narrow prefix; what others have must suffice
     smaller = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("doc_id_a") < F.col("doc_id_b"))
-    fits = (one["h"] == two["h"]) & (F.col("c_a") != F.col("c_b")) & smaller & (4 * F.col("n_a") >= 3 * F.col("n_b")) & (175 * bound >= least_shared)
-    crossed = one.join(two, fits).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), "n_a", "n_b", F.col("leader_a").alias("la"), F.col("leader_b").alias("lb"), (F.col("beyond_a") + F.col("beyond_b")).alias("slack"))
-    asked = settle(crossed.distinct(), "asked")
-    leaders = settle(verified(asked.select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct(), packed).groupBy("a", "b").agg(F.max("shared").alias("both")), "leaders")
-    bounded = asked.join(sized(leaders.select(F.col("a").alias("la"), F.col("b").alias("lb"), "both")), ["la", "lb"], "left")
-    possible = bounded.where(F.col("both").isNull() | (175 * (F.col("both") + F.col("slack")) >= least_shared))
-    more = settle(linked(verified(possible.select("a", "b").distinct(), packed)), "more")
+    near = smaller & (4 * F.col("n_a") >= 3 * F.col("n_b")) & (175 * F.least("reach_a", "reach_b") >= 75 * (F.col("n_a") + F.col("n_b")))
+    fits = (one["h"] == two["h"]) & (F.col("c_a") != F.col("c_b")) & (F.col("leader_a") != F.col("leader_b")) & near
+    asked = settle(one.join(two, fits).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct(), "asked")
+    # one leader: what they have of it is compared bit by bit
+    reach = packed.groupBy("doc_id").agg(F.max("reach").alias("reach"))
+    home = where.select(F.col("doc_id").alias("leader"), F.col("component").alias("home"))
+    placed = where.where("leader IS NOT NULL").drop("component").join(where.select("doc_id", F.coalesce("component", "doc_id").alias("c")), "doc_id").join(reach, "doc_id").join(home, "leader", "left")
+    members = placed.select("leader", "doc_id", "n", "c", F.greatest(F.col("reach") - F.col("common"), F.lit(0)).alias("beyond"), "mask", (F.col("c") != F.coalesce("home", "leader")).alias("outsider"))
+    alike = settle(same_leader(members), "alike")
+    more = settle(linked(verified(asked.unionByName(alike).distinct(), packed)), "more")
     joined = settle(components(links.unionByName(more)), "components")
 
     # back to the rows: equal sets, then components
