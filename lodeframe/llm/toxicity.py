@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import ship, table
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2500, 5000, 20_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 3000, 12_000
 FOLDS = 5
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (5, 6, 7)
@@ -138,11 +138,11 @@ class Tagger:
 # --- training -------------------------------------------------------------------------------
 
 
-def associated(docs: list[tuple[int, Counter]], toxic: int, clean: int) -> set[str]:
+def associated(docs: Iterator[tuple[int, set[str]]], toxic: int, clean: int) -> set[str]:
     """Terms found in toxic documents more often than chance allows, by G squared."""
     in_toxic, in_clean = Counter(), Counter()
     for label, terms in docs:
-        (in_toxic if label else in_clean).update(terms.keys())
+        (in_toxic if label else in_clean).update(terms)
     found = set()
     for term, a in in_toxic.items():
         b = in_clean[term]
@@ -155,9 +155,9 @@ def associated(docs: list[tuple[int, Counter]], toxic: int, clean: int) -> set[s
 
 
 def fit(rows: list[tuple[int, str | None]]) -> Model:
-    texts, seen = [], set()
+    texts, seen, known = [], set(), {}
     for label, text in rows:
-        own = tokens(text)
+        own = [known.setdefault(w, w) for w in tokens(text)]
         sketch = min(zlib.crc32(" ".join(own[i : i + 5]).encode()) for i in range(max(1, len(own) - 4)))
         if (label, sketch) not in seen:
             seen.add((label, sketch))
@@ -167,8 +167,8 @@ def fit(rows: list[tuple[int, str | None]]) -> Model:
     prior = sum(label for label, _ in rows) / len(rows) if rows else 0.0
     if not toxic or not clean:
         return Model({}, {}, -4.0, [[0.0, -2.0], [0.0, 0.0]], [], prior)
-    words = associated([(label, Counter(own)) for label, own in texts], toxic, clean)
-    begins = associated([(label, Counter(b for w in own for b in marks(w))) for label, own in texts], toxic, clean)
+    words = associated(((label, set(own)) for label, own in texts), toxic, clean)
+    begins = associated(((label, {b for w in own for b in marks(w)}) for label, own in texts), toxic, clean)
     # a beginning says something only if vocabulary words share it
     begins &= {b for b, n in Counter(b for w in words for b in marks(w)).items() if n > 1}
     field = fit_field(texts, sorted(words), sorted(begins))
