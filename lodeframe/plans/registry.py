@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodeframe.plans import views
+from lodeframe.plans.queries import ORACLES, QUERIES
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """The best passages of the corpus for a few questions, by hybrid score."""
+    found = views.hits(spark, sf_dir)
+    return found.select("query_id", "rank", "source_path", "line_start", "line_end", F.round("score", 6).alias("score"), "snippet").orderBy("query_id", "rank")
