@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, ship, sized, table
+from .common import settle, ship, sized, table, tidy
 from .components import components
 from .wordhash import Block, blocks, windows
 
@@ -47,7 +47,7 @@ WORDS = 5
 SHARES = ((0, 1.0), (40, 0.42), (300, 0.34), (2000, 0.30))
 #: Shingles that so many sets emit count as frequent; at most so many of them, the most frequent ones,
 #: are told apart (by powers of two): this orders the index and decides no link.
-FREQUENT, MAX_FREQUENT = 8, 1 << 18
+FREQUENT, MAX_FREQUENT = 16, 1 << 18
 BUCKETS_PER_PARTITION = 4
 
 _FROM = np.array([n for n, _ in SHARES])
@@ -78,7 +78,7 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.Re
         for k in range(0, len(batch), rows):
             yield batch.slice(k, rows)
         del batch
-        pa.default_memory_pool().release_unused()
+        tidy()
 
 
 def raw(column: pa.Array) -> Iterator[bytes | None]:
@@ -217,54 +217,87 @@ def _packed(given: Iterator[tuple[np.ndarray, np.ndarray, int]]):
     return rows
 
 
-TALLY = pa.schema([("frequent", pa.bool_()), ("key", pa.int64()), ("n", pa.int64())])
+TALLY = pa.schema([("frequent", pa.bool_()), ("key", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
+TALLY_SQL = "frequent boolean, key bigint, n bigint, body binary"
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket side: rows (false, set, shared shingles here) and (true, hash, sets that emit it)."""
+def _tally(n_buckets: int):
+    """Bucket side: rows (true, hash, sets that emit it) for frequent hashes, and (false, bucket, number,
+    body) with the sets of a bucket and their numbers of shared shingles found here."""
 
-    def out(frequent: bool, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(key), 200_000):
-            part = pa.array(key[k : k + 200_000].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), frequent)), part, pa.array(n[k : k + 200_000].astype(np.int64))], schema=TALLY)
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single_h, single_owner, many_h, many_n, known, known_n = [], [], [], [], [], []
+        for batch in small(batches):
+            for body in batch.column(1):
+                data = body.as_py()
+                n1, n2, n3 = np.frombuffer(data, np.int64, 3).tolist()
+                single_h.append(_wide(data, n1, 24))
+                single_owner.append(_wide(data, n1, 24 + 6 * n1))
+                many_h.append(_wide(data, n2, 24 + 12 * n1))
+                at = 24 + 12 * n1 + 6 * n2
+                many_n.append(np.frombuffer(data, np.int64, n2, at).copy())
+                known.append(np.frombuffer(data, np.int64, n3, at + 8 * n2).astype(np.uint64))
+                known_n.append(np.frombuffer(data, np.int64, n3, at + 8 * (n2 + n3)).copy())
+        if not single_h:
+            return
+        h, owner = np.concatenate(single_h), np.concatenate(single_owner)
+        single_h.clear()
+        single_owner.clear()
+        order = np.lexsort((owner, h))
+        h, owner = h[order], owner[order]
+        keep = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])) if len(h) else np.zeros(0, bool)
+        h, owner = h[keep], owner[keep]
+        mh, mn = np.concatenate(many_h), np.concatenate(many_n)
+        every, back = np.unique(np.concatenate([h, mh]), return_inverse=True)
+        total = np.bincount(back, np.concatenate([np.ones(len(h), np.int64), mn]), len(every)).astype(np.int64)
+        shared = total[back[: len(h)]] > 1
+        counted = owner[shared & (owner & np.uint64(1)).astype(bool)] >> np.uint64(1)
+        yield from _by_bucket(n_buckets, np.concatenate([counted, *known]), np.concatenate([np.ones(len(counted), np.int64), *known_n]))
+        often = np.flatnonzero(total >= FREQUENT)
+        often = often[np.argsort(-total[often], kind="stable")[:MAX_FREQUENT]]
+        none = pa.nulls(len(often), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(often), bool)), pa.array(every[often].astype(np.int64)), pa.array(total[often]), none], schema=TALLY)
+
+    return tally
+
+
+def _by_bucket(n_buckets: int, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    ids, back = np.unique(key, return_inverse=True)
+    sums = np.bincount(back, n, len(ids)).astype(np.int64)
+    bucket = (ids % np.uint64(n_buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    ids, sums, bucket = ids[order].astype(np.int64), sums[order], bucket[order]
+    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, int)
+    ends = np.append(edges[1:], len(bucket))
+    bodies = [ids[a:b].tobytes() + sums[a:b].tobytes() for a, b in zip(edges, ends, strict=False)]
+    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(bodies), bool)), pa.array(bucket[edges]), pa.array((ends - edges) if len(edges) else np.zeros(0, np.int64)), pa.array(bodies, pa.binary())], schema=TALLY)
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids, sums = [], []
+    for batch in small(batches):
+        for body in batch.column(0):
+            data = np.frombuffer(body.as_py(), np.int64).reshape(2, -1)
+            ids.append(data[0])
+            sums.append(data[1])
+    if ids:
+        every, back = np.unique(np.concatenate(ids), return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(np.bincount(back, np.concatenate(sums), len(every)).astype(np.int64))], names=["key", "shared"])
 
-    single_h, single_owner, many_h, many_n = [], [], [], []
-    for batch in batches:
-        for body in batch.column(1):
-            data = body.as_py()
-            n1, n2, n3 = np.frombuffer(data, np.int64, 3).tolist()
-            single_h.append(_wide(data, n1, 24))
-            single_owner.append(_wide(data, n1, 24 + 6 * n1))
-            many_h.append(_wide(data, n2, 24 + 12 * n1))
-            at = 24 + 12 * n1 + 6 * n2
-            many_n.append(np.frombuffer(data, np.int64, n2, at).copy())
-            if n3:
-                yield from out(False, np.frombuffer(data, np.int64, n3, at + 8 * n2), np.frombuffer(data, np.int64, n3, at + 8 * (n2 + n3)))
-    if not single_h:
-        return
-    h, owner = np.concatenate(single_h), np.concatenate(single_owner)
-    order = np.lexsort((owner, h))
-    h, owner = h[order], owner[order]
-    keep = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])) if len(h) else np.zeros(0, bool)
-    h, owner = h[keep], owner[keep]
-    mh, mn = np.concatenate(many_h), np.concatenate(many_n)
-    every, back = np.unique(np.concatenate([h, mh]), return_inverse=True)
-    total = np.bincount(back, np.concatenate([np.ones(len(h), np.int64), mn]), len(every)).astype(np.int64)
-    shared = total[back[: len(h)]] > 1
-    counted = owner[shared & (owner & np.uint64(1)).astype(bool)] >> np.uint64(1)
-    ids, counts = np.unique(counted, return_counts=True)
-    yield from out(False, ids, counts)
-    often = total >= FREQUENT
-    yield from out(True, every[often], total[often])
+
+def partitions_of(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def tallied(rows: DataFrame, name: str) -> DataFrame:
-    partitions = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return settle(rows.repartition(partitions, "bucket").mapInArrow(_tally, "frequent boolean, key bigint, n bigint"), name)
+    n = partitions_of(rows.sparkSession)
+    return settle(rows.repartition(n, "bucket").mapInArrow(_tally(n), TALLY_SQL), name)
 
 
 def shared_counts(tally: DataFrame) -> DataFrame:
-    return tally.where("NOT frequent").groupBy("key").agg(F.sum("n").alias("shared"))
+    """key, shared: a set's shingles that any other set emits too. A bucket's sets come together as arrays."""
+    n = partitions_of(tally.sparkSession)
+    return tally.where("NOT frequent").repartition(n, "key").select("body").mapInArrow(_sum, "key bigint, shared bigint")
 
 
 def frequencies(tally: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -395,8 +428,7 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes = settle(grouped, "classes")
 
     # 2. survivors, by a part of the shingles, then by all of them
-    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = BUCKETS_PER_PARTITION * partitions
+    buckets = BUCKETS_PER_PARTITION * partitions_of(spark)
     tally = tallied(slim.select("t").mapInArrow(_emit(buckets), "bucket bigint, body binary"), "tally")
     keyed = classes.where("doc_id IS NOT NULL").withColumn("key", F.col("set_id").bitwiseAND(F.lit(int(_ID))))
     left = settle(keyed.join(shared_counts(tally), "key").where("shared >= need").select("doc_id").distinct(), "survivors")
@@ -405,7 +437,7 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     every = settle(chosen.mapInArrow(_sets, "doc_id bigint, n bigint, key bigint, packed binary"), "packed")
     exact = tallied(every.select("packed").mapInArrow(_emit_all(buckets), "bucket bigint, body binary"), "exact")
     # reach: the shingles of a set that any other one has
-    reaching = every.join(sized(shared_counts(exact)), "key").where("4 * shared >= 3 * n")
+    reaching = every.join(sized(settle(shared_counts(exact), "reach")), "key").where("4 * shared >= 3 * n")
     # repeated rows of one document give one entry
     packed = settle(reaching.select("doc_id", "n", F.col("shared").alias("reach"), "packed").dropDuplicates(["doc_id", "packed"]), "index")
     listed = packed.mapInArrow(_lists(keys, levels), "doc_id bigint, n bigint, reach bigint, prefix array<bigint>, narrow bigint")
