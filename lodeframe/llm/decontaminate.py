@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, ship, table
+from .common import settle, ship, table, tidy
 
 WINDOW = 10
 #: Bytes of window text in one automaton: some 300 MB of nodes in a worker at the most.
@@ -188,6 +188,7 @@ def _drop(patterns: dict[bytes, list[str]], at: int):
         for batch in batches:
             clean = [not hits(tree, words(raw.as_py()))[0] for raw in batch.column(at).cast(pa.binary())]
             yield batch.filter(pa.array(clean, pa.bool_()))
+        tidy()
 
     return drop
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import ship, table, tidy
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 3000, 12_000
 FOLDS = 5
@@ -325,6 +325,7 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 own = tokens(raw.as_py())
                 clean.append(tagger.score(tagger.marginals(own)[1], len(own)) < 0.5)
             yield batch.filter(pa.array(clean, pa.bool_()))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
 
