@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, settle, ship, table
+from .common import BROADCAST_ROWS, settle, ship, table, tidy
 from .wordhash import Block, blocks, sliding_min, windows
 
 SIZE = 13
@@ -102,6 +102,7 @@ def _deal(n_buckets: int, size: int, minimiser: int):
                         travel.append(k)
                         strings.append(text)
                 yield from _packed(press, n_buckets, travel, strings, docs, at, least, decided)
+        tidy()
 
     return deal
 
@@ -220,7 +221,8 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     """Per document row: doc_id (the key as a long), n_words, n_removed and kept, the words left."""
     spark = docs.sparkSession
     ship(spark)
-    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a task sorts its windows in memory: half of the share that a row-wise shuffle would give it
+    partitions = 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     slim = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("t"))
     dealt = slim.mapInArrow(_deal(BUCKETS_PER_PARTITION * partitions, size, minimiser), DEALT)
     found = dealt.repartition(partitions, "bucket").mapInArrow(_sort(size), "doc_id bigint, first bigint, end bigint")
