@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.functions import text as tx
+from lodeframe.shipping import ship
 
 DIM = 384
 MODEL_ID = "localhashembedder"
@@ -37,6 +38,7 @@ def hash_vector(text: Column, dim: int = DIM) -> Column:
 
 def model_embedding(df: DataFrame, keys: list[str], model_name: str, text: str = "text", batch_size: int = 32, normalize: bool = True) -> DataFrame:
     """Dense vectors of a sentence-transformers model, loaded once per Python worker; needs that package."""
+    ship(df.sparkSession)
     slim = df.select(*keys, F.col(text).alias("t"))
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

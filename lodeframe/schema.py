@@ -22,7 +22,7 @@ DOCUMENTS = _struct(
 CHUNKS = _struct(
     ("chunk_id", _S, False), ("doc_id", _S, False), ("chunk_index", _I, False), ("char_start", _I, False), ("char_end", _I, False),
     ("line_start", _I, False), ("line_end", _I, False), ("section_path", _S, True), ("text", _S, False), ("text_hash", _S, False),
-    ("token_count", _I, True), ("quality_flags", _struct(("header", _B, False)), False), ("is_header", _B, False),
+    ("token_count", _I, True), ("quality_flags", _struct(("header", _B, True)), False), ("is_header", _B, False),
 )
 EMBEDDINGS = _struct(("chunk_id", _S, False), ("model_id", _S, False), ("dim", _I, False), ("bucket", _I, False), ("weight", _D, False))
 POSTINGS = _struct(("chunk_id", _S, False), ("token", _S, False), ("pos", _I, False))
