@@ -35,7 +35,7 @@ from .common import ship, table, tidy
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 3000, 12_000
 FOLDS = 5
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W_]+")
 BEGINNINGS = (5, 6, 7)
 #: Likelihood ratio (G squared) and documents from which a word or beginning enters the vocabulary.
 MIN_G2, MIN_DOCS = 14.0, 3
@@ -98,7 +98,7 @@ class Tagger:
     def between(self, gap: int) -> list[float]:
         """The normalised matrix power over ``gap`` outside words and the step into the next word."""
         m = (self.main + self.ratio**gap * self.other) @ self.t
-        return [m[0, 0], m[0, 1], m[1, 0], m[1, 1]]
+        return m.ravel().tolist()
 
     def marginals(self, own: list[str]) -> tuple[list[int], list[float]]:
         """Positions of vocabulary words and the probability that each is toxic."""
@@ -171,6 +171,8 @@ def fit(rows: list[tuple[int, str | None]]) -> Model:
     begins = associated(((label, {b for w in own for b in marks(w)}) for label, own in texts), toxic, clean)
     # a beginning says something only if vocabulary words share it
     begins &= {b for b, n in Counter(b for w in words for b in marks(w)).items() if n > 1}
+    if not words:  # nothing tells toxic documents apart
+        return Model({}, {}, -4.0, [[0.0, -2.0], [0.0, 0.0]], [], prior)
     field = fit_field(texts, sorted(words), sorted(begins))
     tagger = Tagger(field)
     x = np.array([[1.0, *tagger.features(tagger.marginals(own)[1], len(own))] for _, own in texts])
