@@ -376,7 +376,7 @@ def linked(pairs: DataFrame) -> DataFrame:
 
 
 #: Sets at most on either side of a comparison of sets that have the same leader.
-SIDE = 2048
+SIDE = 512
 
 
 def _compare(rows: pa.Table) -> pa.Table:
