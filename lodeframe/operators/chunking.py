@@ -110,8 +110,11 @@ def code_spans(own_lines: Column, size: int, least: int) -> Column:
 
 
 def _finished(docs: DataFrame, keys: list[str], chunks: str, text: str) -> DataFrame:
-    """Explode chunk arrays to rows with lines and trimmed texts."""
-    rows = docs.select(*keys, F.col(text).alias("_raw"), F.posexplode(chunks).alias("chunk_index", "c"))
+    """Explode chunk arrays to rows with lines and trimmed texts.
+
+    The outer form: of an inner one Spark infers a filter on the array's size, pushes it to the scan and
+    so evaluates all that made the array once more, inside lambdas even once per element."""
+    rows = docs.select(*keys, F.col(text).alias("_raw"), F.posexplode_outer(chunks).alias("chunk_index", "c")).where("chunk_index IS NOT NULL")
     return rows.select(
         *keys,
         "chunk_index",

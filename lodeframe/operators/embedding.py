@@ -17,15 +17,19 @@ MODEL_ID = "localhashembedder"
 
 
 def hash_embedding(df: DataFrame, keys: list[str], text: str = "text", dim: int = DIM) -> DataFrame:
-    """Sparse unit vectors: keys, bucket, weight. Texts without words have no rows (the zero vector)."""
+    """Sparse unit vectors of each row's text: keys, bucket, weight. Texts without words have no rows
+    (the zero vector). Counted inside the row, from runs of equal sorted buckets: no shuffle."""
     if dim <= 0:
         raise ValueError("dim must be > 0")
-    tokens = df.select(*keys, F.explode(tx.words(F.col(text))).alias("token"))
-    # words repeat inside a text: hash each once
-    once = tokens.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"))
-    buckets = once.groupBy(*keys, tx.hash_bucket(F.col("token"), dim).alias("bucket")).agg(F.sum("n").alias("n"))
-    norms = buckets.groupBy(*keys).agg(F.sqrt(F.sum(F.col("n").cast("double") * F.col("n"))).alias("norm"))
-    return buckets.join(norms, keys).select(*keys, "bucket", (F.col("n") / F.col("norm")).alias("weight"))
+    hashed = df.select(*keys, F.sort_array(F.transform(tx.words(F.col(text)), lambda w: tx.hash_bucket(w, dim))).alias("_b"))
+    b = F.col("_b")
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(b) - 1, F.lit(0))), lambda i: (F.size(b) > 0) & ((i == 0) | (F.get(b, i) != F.get(b, i - 1))))
+    cut = hashed.select(*keys, "_b", starts.alias("_s"))
+    s = F.col("_s")
+    counted = cut.select(*keys, F.transform(s, lambda at, i: F.struct(F.get(b, at).alias("bucket"), (F.coalesce(F.get(s, i + 1), F.size(b)) - at).cast("double").alias("n"))).alias("_c"))
+    normed = counted.select(*keys, "_c", F.sqrt(F.aggregate("_c", F.lit(0.0), lambda a, x: a + x["n"] * x["n"])).alias("_norm"))
+    rows = normed.select(*keys, "_norm", F.explode_outer("_c").alias("_x")).where("_x IS NOT NULL")
+    return rows.select(*keys, F.col("_x.bucket").alias("bucket"), (F.col("_x.n") / F.col("_norm")).alias("weight"))
 
 
 def hash_vector(text: Column, dim: int = DIM) -> Column:

@@ -97,7 +97,8 @@ def extract_symbols(docs: DataFrame, keys: list[str], text: str = "text", langua
     key = lambda s: F.struct(s["name"].alias("name"), s["kind"].alias("kind"), s["line_start"].alias("line_start"))
     keyed = listed.select(*keys, language, "_all", F.transform("_all", key).alias("_keys"))
     once = keyed.select(*keys, language, F.filter("_all", lambda s, i: F.array_position(F.col("_keys"), key(s)) == i + 1).alias("_once"))
-    rows = once.select(*keys, F.col(language).alias("language"), F.explode("_once").alias("s"))
+    # outer: no filter on the array's size is inferred and pushed to the scan
+    rows = once.select(*keys, F.col(language).alias("language"), F.explode_outer("_once").alias("s")).where("s IS NOT NULL")
     return rows.select(*keys, "s.name", "s.kind", "s.namespace", "s.line_start", F.lit(None).cast("int").alias("line_end"), F.lit(None).cast("string").alias("signature"), "language")
 
 
