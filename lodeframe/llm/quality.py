@@ -48,7 +48,8 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """The log ratio of every bucket, in bucket order: BUCKETS numbers, whatever the input."""
     flagged = docs.select("doc_id", whole().alias("t")).join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left")
     split = flagged.select(F.coalesce("good", F.lit(0)).alias("good"), words(F.col("t")).alias("w"))
-    spread = split.select("good", F.explode(grams("w")).alias("bucket"))
+    # outer: of an inner explode Spark infers a filter on the array's size that makes the array twice
+    spread = split.select("good", F.explode_outer(grams("w")).alias("bucket")).where("bucket IS NOT NULL")
     counts = {r["bucket"]: r for r in spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target")).collect()}
     raw, target = sum(r["raw"] for r in counts.values()), sum(r["target"] for r in counts.values())
     if not target:
