@@ -63,11 +63,18 @@ def release() -> None:
 atexit.register(release)
 
 _SHIPPED: set[str] = set()
+#: Bytes of rows at most that travel to a Python worker at once: long texts make small batches.
+BATCH_BYTES = 16 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each application."""
+    """Send this package to the executors' Python workers, once for each application, and see to it that
+    the session's batches to them are small (a setting that is smaller already stays)."""
     context = spark.sparkContext
+    now = spark.conf.get(_BYTES, "-1").rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
     if context.applicationId in _SHIPPED:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
