@@ -72,7 +72,7 @@ def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once for each application, and see to it that
     the session's batches to them are small (the default goes down, what a user has set in other units stays)."""
     context = spark.sparkContext
-    now = (spark.conf.get(_BYTES, None) or "").rstrip("b")
+    now = spark.conf.get(_BYTES).rstrip("b") if spark.conf.isModifiable(_BYTES) else ""
     if now.isdigit() and int(now) > BATCH_BYTES:
         spark.conf.set(_BYTES, str(BATCH_BYTES))
     if context.applicationId in _SHIPPED:
