@@ -73,9 +73,9 @@ def symbol_candidates(query: str | None, most: int = 4) -> list[str]:
 
 def context_symbols(symbols: DataFrame, documents: DataFrame, candidates: DataFrame, each: int = 5) -> DataFrame:
     """For queries' candidate words (query_id, candidate, position): the symbols that begin with one,
-    at most ``each`` a word, a symbol once per query. A broadcast join on the first two letters."""
+    at most ``each`` a word, a symbol once per query. An equi-join on the first two letters, then the whole beginning."""
     words = candidates.withColumn("low", F.lower("candidate")).withColumn("head", F.substring("low", 1, 2))
-    hits = symbols.withColumn("head", F.substring("name_lower", 1, 2)).join(F.broadcast(words), "head").where(F.startswith("name_lower", F.col("low")))
+    hits = symbols.withColumn("head", F.substring("name_lower", 1, 2)).join(words, "head").where(F.startswith("name_lower", F.col("low")))
     named = hits.join(documents.select("doc_id", F.col("path").alias("source_path")), "doc_id")
     ranked = named.withColumn("rn", F.row_number().over(Window.partitionBy("query_id", "position").orderBy("name", "line_start", "source_path", "symbol_id"))).where(F.col("rn") <= each)
     once = Window.partitionBy("query_id", "source_path", "name", "kind").orderBy("position", "rn")

@@ -8,12 +8,17 @@ as a limit inside each task before the shuffle (WindowGroupLimit), and only cand
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodeframe.functions import text as tx
+from lodeframe.shipping import ship
 
 #: Rows of a query side that may be broadcast.
 FEW_ROWS = 200_000
@@ -73,15 +78,44 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.coalesce(1 - F.try_divide(dot, F.sqrt(square(a)) * F.sqrt(square(b))), F.lit(float("nan")))
 
 
+#: Queries whose vectors go to the data as one block.
+QUERY_BLOCK = 2000
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", filters: Column | None = None) -> DataFrame:
     """Exact nearest vectors: query_id, key, distance, rn. ``queries`` (query_id, query) are a stated
-    set, taken to the data as one small array: one scan of the vectors, whatever their number."""
-    rows = vectors if filters is None else vectors.where(filters)
-    asked = [(r["query_id"], [float(x) for x in r["query"]]) for r in queries.limit(FEW_ROWS).collect()]
-    every = F.array(*(F.struct(F.lit(q).alias("query_id"), F.lit(v).cast("array<double>").alias("query")) for q, v in asked))
-    pairs = rows.select(key, F.col(vector).alias("_v"), F.explode(every).alias("q"))
-    scored = pairs.select("q.query_id", key, cosine_distance(F.col("_v"), F.col("q.query")).alias("distance"))
-    return per_query(scored, k, F.col("distance"), F.col(key))
+    set that goes to the data in blocks: a matrix product for each batch of vectors, of which only
+    each query's k nearest leave the task. A zero vector has no distance (NaN)."""
+    ship(vectors.sparkSession)
+    rows = (vectors if filters is None else vectors.where(filters)).select(F.col(key), F.col(vector).alias("_v"))
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, `{key}` {rows.schema[key].dataType.simpleString()}, distance double"
+    asked = [(r["query_id"], r["query"]) for r in queries.select("query_id", "query").toLocalIterator()]
+    found = None
+    for at in range(0, max(1, len(asked)), QUERY_BLOCK):
+        one = rows.mapInArrow(_nearest(asked[at : at + QUERY_BLOCK], k, key, to_arrow_type(queries.schema["query_id"].dataType)), kinds)
+        found = one if found is None else found.unionByName(one)
+    return per_query(found, k, F.round("distance", 12), F.col(key))
+
+
+def _nearest(asked: list[tuple], k: int, key: str, kind: pa.DataType):
+    """A batch of vectors to the k nearest ones of every query; ties of the last place stay."""
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = [q for q, _ in asked]
+        wanted = np.array([v for _, v in asked], np.float64)
+        norms = np.sqrt((wanted**2).sum(axis=1)) if len(asked) else np.zeros(0)
+        for batch in batches:
+            if not len(batch) or not ids:
+                continue
+            have = np.array(batch.column(1).to_pylist(), np.float64)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                distance = 1 - (have @ wanted.T) / np.outer(np.sqrt((have**2).sum(axis=1)), norms)
+            order = np.round(np.nan_to_num(distance, nan=np.inf), 12)
+            last = np.partition(order, min(k, len(order)) - 1, axis=0)[min(k, len(order)) - 1]
+            v, q = np.nonzero(order <= last)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], kind), batch.column(0).take(pa.array(v)), pa.array(distance[v, q])], names=["query_id", key, "distance"])
+
+    return nearest
 
 
 def sparse_topk(index: DataFrame, queries: DataFrame, k: int, n_queries: int = FEW_ROWS) -> DataFrame:

@@ -10,8 +10,7 @@ from lodeframe.operators import chunking, embedding, retrieval, symbols
 
 SIZE, OVERLAP, LEAST = 1200, 300, 200
 OPTIONS = retrieval.Options()
-N_QUERIES, N_TERMS = 5, 4
-MODULES = 200
+EVERY, N_TERMS = 50, 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,12 +52,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FTS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
-QUERIES = f"""queries AS (SELECT doc_id AS query_id, array_to_string(list_slice({FTS.format("text")}, 1, {N_TERMS}), ' ') AS query_text FROM documents WHERE doc_id < {N_QUERIES})"""
+QUERIES = f"""queries AS (SELECT doc_id AS query_id, array_to_string(list_slice({FTS.format("text")}, 1, {N_TERMS}), ' ') AS query_text FROM documents WHERE doc_id % {EVERY} = 0)"""
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stated set of questions: the first words of five documents, which find at least themselves."""
-    docs = table(spark, sf_dir, "documents").where(F.col("doc_id") < N_QUERIES)
+    """A stated set of questions: the first words of every fiftieth document, against all documents."""
+    docs = table(spark, sf_dir, "documents").where(F.col("doc_id") % EVERY == 0)
     return docs.select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(tx.fts_words(F.col("text")), 1, N_TERMS), " ").alias("query_text"))
 
 
@@ -109,22 +108,24 @@ def legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFr
     parts, asked = chunks(spark, sf_dir), queries(spark, sf_dir)
     vectors = embedding.hash_embedding(parts, ["chunk_id"])
     wanted = embedding.hash_embedding(asked, ["query_id"], "query_text")
-    vector = retrieval.sparse_topk(vectors, wanted, K, N_QUERIES)
-    keyword = retrieval.keyword_topk(retrieval.postings(parts), retrieval.query_terms(asked), K, N_QUERIES)
+    n = retrieval.counted(asked)
+    vector = retrieval.sparse_topk(vectors, wanted, K, n)
+    keyword = retrieval.keyword_topk(retrieval.postings(parts), retrieval.query_terms(asked), K, n)
     return parts, asked, vector, keyword
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts, _, vector, keyword = legs(spark, sf_dir)
-    return retrieval.fuse(vector, keyword, parts, OPTIONS, N_QUERIES)
+    parts, asked, vector, keyword = legs(spark, sf_dir)
+    return retrieval.fuse(vector, keyword, parts, OPTIONS, retrieval.counted(asked))
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked hits of the questions, with source_path and snippet."""
     asked = queries(spark, sf_dir)
+    n = retrieval.counted(asked)
     candidates = fused(spark, sf_dir)
-    best = candidates.join(F.broadcast(retrieval.greedy(candidates, OPTIONS)), ["query_id", "chunk_id"])
-    return best.join(F.broadcast(asked), "query_id").withColumn("snippet", tx.snippet(F.col("text"), F.col("query_text"))).withColumnRenamed("path", "source_path")
+    best = candidates.join(retrieval.few(retrieval.greedy(candidates, OPTIONS), OPTIONS.top_k * n), ["query_id", "chunk_id"])
+    return best.join(retrieval.few(asked, n), "query_id").withColumn("snippet", tx.snippet(F.col("text"), F.col("query_text"))).withColumnRenamed("path", "source_path")
 
 
 # --- code -----------------------------------------------------------------------------------
@@ -132,7 +133,7 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 CODE = f"""modules AS (SELECT p_partkey AS doc_id, 'code' AS repo_id,
   CASE p_partkey % 4 WHEN 0 THEN 'svc/api/handlers/' WHEN 1 THEN 'svc/core/service_' WHEN 2 THEN 'web/src/' ELSE 'lib/' END || 'mod_' || p_partkey || CASE p_partkey % 4 WHEN 2 THEN '.ts' ELSE '.py' END AS path,
   CASE p_partkey % 4 WHEN 2 THEN 'typescript' ELSE 'python' END AS language,
-  'Part' || (p_partkey % 50) AS cls, 'load_' || replace(lower(p_brand), '#', '_') AS fn, 'calc_' || (p_partkey % 30) AS own FROM part WHERE p_partkey <= {MODULES}),
+  'Part' || (p_partkey % 50) AS cls, 'load_' || replace(lower(p_brand), '#', '_') AS fn, 'calc_' || (p_partkey % 30) AS own FROM part),
 code AS (SELECT *, CASE language WHEN 'typescript' THEN
   'export class ' || cls || ' {{' || chr(10) || '  run() {{ return fetch_rows(); }}' || chr(10) || '}}' || chr(10) || 'export function ' || own || '(a) {{' || chr(10) || '  return ' || fn || '(a);' || chr(10) || '}}' || chr(10)
   ELSE 'class ' || cls || ':' || chr(10) || '    def ' || fn || '(self):' || chr(10) || '        return fetch_rows(' || own || '(1))' || chr(10) || chr(10) || 'def ' || own || '(n):' || chr(10) || '    return n' || chr(10) END AS text FROM modules)"""
@@ -143,7 +144,7 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, nl = F.col("p_partkey"), F.lit("\n")
     folder = F.when(k % 4 == 0, "svc/api/handlers/").when(k % 4 == 1, "svc/core/service_").when(k % 4 == 2, "web/src/").otherwise("lib/")
     ts = k % 4 == 2
-    modules = table(spark, sf_dir, "part").where(k <= MODULES).select(
+    modules = table(spark, sf_dir, "part").select(
         k.alias("doc_id"),
         F.lit("code").alias("repo_id"),
         F.concat(folder, F.lit("mod_"), k.cast("string"), F.when(ts, ".ts").otherwise(".py")).alias("path"),
