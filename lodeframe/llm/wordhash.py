@@ -26,12 +26,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Words of a text that are joined by single separators, of bytes up to 0x20."""
+    """Words of a text that are joined by single spaces or line feeds. Other control characters are
+    part of a word, as for ``bytes.split``, but for those that it splits at: no word holds these."""
 
     def __init__(self, body: bytes) -> None:
         self.body = body
         self.bytes = np.frombuffer(body, np.uint8)
-        gaps = np.flatnonzero(self.bytes <= 32)
+        gaps = np.flatnonzero((self.bytes == 32) | (self.bytes == 10))
         self.starts = np.concatenate([[0], gaps + 1]).astype(np.int64)
         self.ends = np.concatenate([gaps, [len(body)]]).astype(np.int64)
 

@@ -336,6 +336,26 @@ def test_op10_in_segments(spark):
     assert got[1][0] == 0 and got[2] == (120_000, "x")
 
 
+def controls():
+    """Texts whose words hold control characters, alone too, that bytes.split() does not split at."""
+    plain = [[f"t{i}w{k}" for k in range(40)] for i in range(4)]
+    out = []
+    for i, own in enumerate(plain):
+        odd = list(own)
+        odd[3], odd[9], odd[20], odd[21], odd[30] = "a\x00b", "\x08", "\x1b[0m", "c\x1fd\x1f", "\x0e\x1c"
+        near = list(odd)
+        near[-1] = "other"
+        out += [" ".join(odd), "\t".join(own), "\r\n".join(near) if i % 2 else " ".join(near), "x\x00y " + " ".join(odd)]
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize(("name", "brute"), [("op9_jaccard", classes), ("op10_substrings", kept)])
+def test_control_characters_in_words(spark, tmp_path, name, brute):
+    docs = controls()
+    spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    same([tuple(r) for r in rows(spark, tmp_path, name)], brute(docs))
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_empty_tables(spark, none, name):
     got = rows(spark, none, name)
