@@ -16,7 +16,7 @@ from lodeframe.llm.common import settle, sized, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5."""
-    model = toxicity.fit(toxicity.training_sample(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
 

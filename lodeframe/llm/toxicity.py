@@ -5,7 +5,9 @@ at most SAMPLE_CHARS code points, chosen by hash, near copies taken once), on th
 word beginnings that a likelihood-ratio test finds in toxic documents form the vocabulary; its words
 in toxic documents are the tokens labelled toxic. The field (two states, weights for words and
 beginnings, transitions) is fitted by gradient ascent on exact forward-backward expectations; a
-logistic layer turns a document's marginals into a score.
+logistic layer turns a document's marginals into a score. In the layer and in the share of toxic
+documents a sampled row stands for the labelled rows of its class outside the sample too, so that
+scores mean the same at every size.
 
 Tagging is a map over whole texts without a shuffle. Words outside the vocabulary share one
 potential, so that the chain between two vocabulary words is a power of one 2x2 matrix: the
@@ -154,7 +156,8 @@ def associated(docs: Iterator[tuple[int, set[str]]], toxic: int, clean: int) ->
     return found
 
 
-def fit(rows: list[tuple[int, str | None]]) -> Model:
+def fit(rows: list[tuple[int, str | None]], weights: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """``weights``: how many labelled rows a clean and a toxic row of the sample stand for."""
     texts, seen, known = [], set(), {}
     for label, text in rows:
         own = [known.setdefault(w, w) for w in tokens(text)]
@@ -164,7 +167,7 @@ def fit(rows: list[tuple[int, str | None]]) -> Model:
             texts.append((label, own))
     toxic = sum(label for label, _ in texts)
     clean = len(texts) - toxic
-    prior = sum(label for label, _ in rows) / len(rows) if rows else 0.0
+    prior = sum(weights[1] for label, _ in rows if label) / sum(weights[label] for label, _ in rows) if rows else 0.0
     if not toxic or not clean:
         return Model({}, {}, -4.0, [[0.0, -2.0], [0.0, 0.0]], [], prior)
     words = associated(((label, set(own)) for label, own in texts), toxic, clean)
@@ -176,7 +179,8 @@ def fit(rows: list[tuple[int, str | None]]) -> Model:
     field = fit_field(texts, sorted(words), sorted(begins))
     tagger = Tagger(field)
     x = np.array([[1.0, *tagger.features(tagger.marginals(own)[1], len(own))] for _, own in texts])
-    field.layer = fit_layer(x, np.array([label for label, _ in texts], float)).tolist()
+    shares = np.array([weights[label] for label, _ in texts], float)
+    field.layer = fit_layer(x, np.array([label for label, _ in texts], float), shares / shares.mean()).tolist()
     field.prior = prior
     return field
 
@@ -246,13 +250,13 @@ def expectations(unary: np.ndarray, trans: np.ndarray, mask: np.ndarray) -> tupl
     return p, pair.sum(axis=(0, 1))
 
 
-def fit_layer(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge-penalised logistic regression by Newton's method."""
+def fit_layer(x: np.ndarray, y: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Ridge-penalised logistic regression, rows weighted by ``shares``, by Newton's method."""
     w = np.zeros(x.shape[1])
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (y - p) - 0.01 * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(len(w))
+        slope = x.T @ (shares * (y - p)) - 0.01 * w
+        curve = (x * (shares * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(len(w))
         step = np.linalg.solve(curve, slope)
         w = w + step * min(1.0, 4.0 / (np.abs(step).max() + 1e-12))
     return np.round(w, 6)
@@ -261,9 +265,24 @@ def fit_layer(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 # --- Spark ----------------------------------------------------------------------------------
 
 
-def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str | None]]:
+def open_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of the labelled documents outside the held-out fifth."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    open_ = known.where(~held_out(F.col("doc_id")))
+    return known.where(~held_out(F.col("doc_id")))
+
+
+def class_weights(labels: DataFrame) -> tuple[float, float]:
+    """How many labelled documents each sampled one stands for: clean and toxic ones."""
+    counts = {r["toxic"]: r["count"] for r in open_labels(labels).groupBy("toxic").count().collect()}
+    return max(1.0, counts.get(0, 0) / SAMPLE_CLEAN), max(1.0, counts.get(1, 0) / SAMPLE_TOXIC)
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    return fit(training_sample(docs, labels), class_weights(labels))
+
+
+def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str | None]]:
+    open_ = open_labels(labels)
     part = lambda v, n: open_.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     picked = part(1, SAMPLE_TOXIC).unionByName(part(0, SAMPLE_CLEAN))
     slim = docs.select("doc_id", "text").where(F.length(F.coalesce("text", F.lit(""))) <= SAMPLE_CHARS)
@@ -334,5 +353,5 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(training_sample(docs, table(spark, sf_dir, "labels")))
+    model = learn(docs, table(spark, sf_dir, "labels"))
     return tag(docs, model, ["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic", "spans")

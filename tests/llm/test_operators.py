@@ -144,6 +144,18 @@ def test_op5(spark, sf, docs):
     assert right >= 0.95 * len(text)
 
 
+def test_op5_at_the_natural_rate(spark, tmp_path, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    text = lambda i: " ".join([*(rng.choice("abcdefghij") * 3 + str(rng.randrange(200)) for _ in range(30)), "idiot" if i % 5 == 0 else "fine"])
+    spark.createDataFrame([(i, text(i)) for i in range(600)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(600)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 60)
+    scores = [r["score"] for r in rows(spark, tmp_path, "op5_toxicity")]
+    assert abs(sum(scores) / len(scores) - 0.1) < 0.04
+
+
 def test_offsets_map_back():
     text = "İx idiot Ünd"
     assert [text[a:b] for a, b in toxicity.offsets(text)][-2:] == ["idiot", "Ünd"]
