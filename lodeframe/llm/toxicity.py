@@ -44,6 +44,8 @@ MIN_G2, MIN_DOCS = 14.0, 3
 #: Words beside a vocabulary word that a training segment spans.
 REACH = 3
 STEPS, RIDGE = 60, 1e-3
+#: Training segments whose expectations are held at once.
+SEGMENTS = 20_000
 #: Words whose potential a worker remembers.
 CACHE = 400_000
 
@@ -191,28 +193,34 @@ def fit_field(texts: list[tuple[int, list[str]]], words: list[str], begins: list
     width = 2 * REACH + 1
     ids, labels, masks = [], [], []
     for label, own in texts:
-        coded = [(index.get(w, 0), *(first.get(w[:k], 0) if len(w) >= k else 0 for k in BEGINNINGS)) for w in own]
-        centres = [i for i, c in enumerate(coded) if any(c)]
-        for i in [*centres[:200], *([len(own) // 2] if own else [])]:
-            span = range(max(0, i - REACH), min(len(own), i + REACH + 1))
-            pad = width - len(span)
-            ids.append([coded[j] for j in span] + [(0,) * (1 + len(BEGINNINGS))] * pad)
-            labels.append([int(label and coded[j][0] > 0) for j in span] + [0] * pad)
-            masks.append([1] * len(span) + [0] * pad)
-    x, y, mask = np.array(ids), np.array(labels), np.array(masks, float)
+        if not own:
+            continue
+        coded = np.array([(index.get(w, 0), *(first.get(w[:k], 0) if len(w) >= k else 0 for k in BEGINNINGS)) for w in own], np.int32)
+        centres = np.append(np.flatnonzero(coded.any(axis=1)), len(own) // 2)
+        places = np.maximum(0, centres - REACH)[:, None] + np.arange(width)
+        real = places < np.minimum(len(own), centres + REACH + 1)[:, None]
+        found = coded[np.minimum(places, len(own) - 1)] * real[:, :, None]
+        ids.append(found)
+        labels.append((found[:, :, 0] > 0) & bool(label))
+        masks.append(real)
+    x, y, real = np.concatenate(ids), np.concatenate(labels), np.concatenate(masks)
+    n = len(x)
+    parts = [slice(k, k + SEGMENTS) for k in range(0, n, SEGMENTS)]
+    seen_pairs = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & real[:, 1:] & real[:, :-1]).sum() for b in (0, 1)] for a in (0, 1)])
     weights, bias, trans = np.zeros(1 + len(words) + len(begins)), -2.0, np.zeros((2, 2))
     square = [np.zeros_like(weights), 0.0, np.zeros((2, 2))]
-    n = len(x)
-    both = mask[:, 1:] * mask[:, :-1]
-    seen_pairs = np.array([[((y[:, :-1] == a) * (y[:, 1:] == b) * both).sum() for b in (0, 1)] for a in (0, 1)])
     for _ in range(STEPS):
-        unary = (bias + weights[x].sum(axis=2)) * mask
-        p, pairs = expectations(unary, trans, mask)
-        off = (y - p) * mask
+        slope, off_sum, pairs = np.zeros_like(weights), 0.0, np.zeros((2, 2))
+        for part in parts:
+            mask = real[part].astype(float)
+            p, some = expectations((bias + weights[x[part]].sum(axis=2)) * mask, trans, mask)
+            off = (y[part] - p) * mask
+            slope += np.bincount(x[part].ravel(), np.repeat(off.ravel(), x.shape[2]), len(weights))
+            off_sum, pairs = off_sum + off.sum(), pairs + some
+        slope = slope / n - RIDGE * weights
         # the padding's own index 0 has no weight
-        slope = np.bincount(x.ravel(), np.repeat(off.ravel(), x.shape[2]), len(weights)) / n - RIDGE * weights
         slope[0] = 0.0
-        slopes = [slope, off.sum() / n, (seen_pairs - pairs) / n - RIDGE * trans]
+        slopes = [slope, off_sum / n, (seen_pairs - pairs) / n - RIDGE * trans]
         square = [s + g * g for s, g in zip(square, slopes, strict=True)]
         weights, bias, trans = (v + 0.5 * g / np.sqrt(s + 1e-8) for v, g, s in zip((weights, bias, trans), slopes, square, strict=True))
     return Model(

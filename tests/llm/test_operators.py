@@ -156,6 +156,15 @@ def test_op5_at_the_natural_rate(spark, tmp_path, monkeypatch):
     assert abs(sum(scores) / len(scores) - 0.1) < 0.04
 
 
+def test_every_vocabulary_word_trains(monkeypatch):
+    texts = [(1, ["bad"] * 250 + [f"x{i}", "late"]) for i in range(4)] + [(0, ["a", "b", "bad", "c"]), (0, [])]
+    whole = toxicity.fit_field(texts, ["bad", "late"], [])
+    assert whole.words["late"] > 0
+    monkeypatch.setattr(toxicity, "SEGMENTS", 100)
+    parts = toxicity.fit_field(texts, ["bad", "late"], [])
+    assert all(abs(whole.words[w] - parts.words[w]) < 1e-4 for w in whole.words)
+
+
 def test_offsets_map_back():
     text = "İx idiot Ünd"
     assert [text[a:b] for a, b in toxicity.offsets(text)][-2:] == ["idiot", "Ünd"]
