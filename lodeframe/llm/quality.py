@@ -2,11 +2,12 @@
 
 The ratio compares a trusted target's multinomial over hashed uni- and bigrams with the raw
 corpus's, per n-gram of the document; documents below a fixed ratio go. The raw counts cover every
-document; the target is the documents labelled good, a sample of at most TARGET_ROWS of them.
+document, the target all those labelled good.
 
 Built-in functions only. Two maps over the texts: the first counts hash buckets (BUCKETS rows after
 the map side's aggregation, whatever the input), the second scores; the weights travel as one array
-of BUCKETS numbers. Nothing else is shuffled or gathered.
+of BUCKETS numbers. The good ids are broadcast if counted to be few, else the first map's texts are
+shuffled to them; nothing else is shuffled or gathered.
 
 A null or empty text has no words: base_failed is true and kept false. Repeated rows are judged row
 by row (and counted as often); without labels the ratio is 0 for every document; an empty table
@@ -20,10 +21,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole
+from .common import sized, table, whole
 
 BUCKETS = 1 << 14
-TARGET_ROWS = 20_000
 SMOOTHING = 1.0
 #: Mean log-likelihood ratio (nats per n-gram) from which a document is kept.
 MIN_RATIO = -0.08
@@ -46,7 +46,7 @@ def grams(w: str) -> Column:
 
 def bucket_weights(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """The log ratio of every bucket, in bucket order: BUCKETS numbers, whatever the input."""
-    flagged = docs.select("doc_id", whole().alias("t")).join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left")
+    flagged = docs.select("doc_id", whole().alias("t")).join(sized(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left")
     split = flagged.select(F.coalesce("good", F.lit(0)).alias("good"), words(F.col("t")).alias("w"))
     # outer: of an inner explode Spark infers a filter on the array's size that makes the array twice
     spread = split.select("good", F.explode_outer(grams("w")).alias("bucket")).where("bucket IS NOT NULL")
@@ -59,10 +59,9 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame) -> list[float]:
     return [round(share(pair(b)[0], target) - share(pair(b)[1], raw), 4) for b in range(BUCKETS)]
 
 
-def trusted_sample(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
-    """Ids of good documents, at most ``rows``, the same ones on every run."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def trusted_sample(labels: DataFrame) -> DataFrame:
+    """Ids of all good documents."""
+    return labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
 def _repeated(h: str) -> Column:

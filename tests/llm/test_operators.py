@@ -120,6 +120,15 @@ def test_ratio_is_the_sum_of_bucket_weights(spark, sf):
     assert abs(ratio.first()["ratio"] - sum(own[b] for b in one["g"]) / (2 * one["n"] - 1)) < 1e-5
 
 
+def test_all_good_documents_are_the_target(spark, sf, monkeypatch):
+    good = spark.range(25_000).selectExpr("id AS doc_id", "1 AS quality")
+    assert quality.trusted_sample(good).count() == 25_000
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    weights = quality.bucket_weights(docs, quality.trusted_sample(labels))
+    monkeypatch.setattr(quality, "sized", lambda df: df)
+    assert quality.bucket_weights(docs, quality.trusted_sample(labels)) == weights
+
+
 def test_forward_backward_is_exact():
     m = toxicity.Model({"bad": 2.0, "worse": 1.0}, {"worse": 0.7}, -1.5, [[0.3, -0.4], [-0.2, 0.9]], [], 0)
     tagger = toxicity.Tagger(m)
