@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, whole
-from .spans import Kind, apart, counted, listed, located, pieces
+from .spans import BLOCK, Kind, apart, counted, in_blocks, listed, located, pieces, running
 
+SCORED = "struct<start:bigint,rank:int,end:bigint,kind:string,score:double>"
 #: Score from which a span that only the method adds is kept.
 MIN_SCORE = 0.5
 
@@ -100,7 +101,7 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
         F.array_sort(F.transform(F.concat(*(F.col(k.name) for k in BASE)), _scored)).alias("base"),
         F.transform(F.concat(*(F.col(k.name) for k in ADDED)), _scored).alias("more"),
     )
-    kept = both.select("row", "base", apart(F.filter("more", lambda s: s["score"] >= MIN_SCORE), F.col("base")).alias("more"))
+    kept = both.select("row", "base", apart(F.filter("more", lambda s: s["score"] >= MIN_SCORE), F.col("base"), SCORED).alias("more"))
     return kept.select("row", "base", F.array_sort(F.concat("base", "more")).alias("spans"))
 
 
@@ -109,16 +110,16 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     become one. A null text stays null; ``n_chars``, if there, is counted anew for changed texts."""
     found = find_pii(docs, text)
     body = F.col(f"row.{text}")
-
-    def step(s: Column, x: Column) -> Column:
-        inside = x["start"] < s["pos"]
-        return F.struct(
-            F.greatest(s["pos"], x["end"]).alias("pos"),
-            F.when(inside, s["out"]).otherwise(F.concat(s["out"], F.array(F.substring(body, (s["pos"] + 1).cast("int"), (x["start"] - s["pos"]).cast("int")), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("spans", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(body, (s["pos"] + 1).cast("int"), F.lit(2**31 - 1))))
+    reach = running(F.col("spans"), 0, lambda pos, x: F.greatest(pos, x["end"]))
+    cuts = F.arrays_zip(F.col("spans").alias("s"), F.concat(F.array(F.lit(0).cast("bigint")), reach).alias("since"))
+    fresh = F.transform(F.filter(cuts, lambda x: x["s"]["start"] >= x["since"]), lambda x: F.struct(x["since"].alias("since"), x["s"]["start"].alias("start"), x["s"]["kind"].alias("kind")))
+    part = lambda t, a, b: F.substring(t, (a + 1).cast("int"), (b - a).cast("int"))
+    # a block's own text is cut out once, as a substring's cost grows with its place
+    head = lambda k: F.element_at(k, 1)["since"]
+    blocks = F.transform(in_blocks(fresh, BLOCK // 4), lambda k: F.struct(k.alias("k"), head(k).alias("since"), part(body, head(k), F.element_at(k, -1)["start"]).alias("t")))
+    masked = F.transform(blocks, lambda b: F.array_join(F.transform(b["k"], lambda x: F.concat(part(b["t"], x["since"] - b["since"], x["start"] - b["since"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))), ""))
+    rest = F.substring(body, (F.array_max(F.transform("spans", lambda s: s["end"])) + 1).cast("int"), F.lit(2**31 - 1))
+    clean = F.concat(F.array_join(masked, ""), rest)
     out = found.select("row", "spans", F.when(F.size("spans") == 0, body).otherwise(clean).alias("clean"))
     columns = []
     for c in docs.columns:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import settle, table, whole
-from .spans import Kind, apart, counted, listed, located, pieces
+from .spans import SPAN, Kind, apart, counted, listed, located, pieces
 
 #: False-discovery rate over the candidates of a length class.
 FDR = 0.01
@@ -77,11 +77,17 @@ def _encoded(s: Column) -> Column:
 
 
 def _moments(s: Column) -> Column:
-    """Sums that the three tests need: two folds over the values."""
+    """Sums that the three tests need: folds over the values, and over the sorted ones for symbol counts."""
     v = s["v"]
     n = F.size(v).cast("double")
-    symbols = F.transform(F.sequence(F.lit(0), (s["a"] - 1).cast("int")), lambda i: i.cast("double"))
-    squares = F.aggregate(symbols, F.lit(0.0), lambda acc, i: acc + F.pow(F.size(F.filter(v, lambda x: x == i)).cast("double"), 2.0))
+
+    def count(acc: Column, x: Column) -> Column:
+        same = F.when(x == acc["last"], acc["run"]).otherwise(0.0)
+        # a symbol's k-th occurrence adds 2k - 1 to the sum of squared counts
+        return F.struct(x.alias("last"), (same + 1.0).alias("run"), (acc["sum"] + 2.0 * same + 1.0).alias("sum"))
+
+    none = F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+    squares = F.aggregate(F.sort_array(v), none, count, lambda acc: acc["sum"])
     mean = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x) / F.greatest(n, F.lit(1.0))
 
     def step(acc: Column, x: Column) -> Column:
@@ -139,7 +145,7 @@ def find_secrets(docs: DataFrame, keys: list[str], text: str = "text") -> DataFr
     kinds = (*BASE, TOKEN)
     cut = packed.select("row", *(pieces(F.col("t"), k).alias(k.name) for k in kinds))
     at = cut.select("row", F.array_sort(F.concat(*(located(k.name, k, i) for i, k in enumerate(BASE)))).alias("base"), located(TOKEN.name, TOKEN, len(BASE)).alias("tokens"))
-    coded = at.select("row", "base", F.transform(apart(F.col("tokens"), F.col("base")), _encoded).alias("coded"))
+    coded = at.select("row", "base", F.transform(apart(F.col("tokens"), F.col("base"), SPAN.removeprefix("array<").removesuffix(">")), _encoded).alias("coded"))
     summed = coded.select("row", "base", F.transform("coded", _moments).alias("summed"))
     short = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))
     found = settle(summed.select("row", F.transform("base", short).alias("base"), F.transform("summed", _tested).alias("candidates")), "secrets")
