@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,11 +12,14 @@ SEGMENT = 100_000
 #: Bytes of text at least that are gathered into a block.
 BLOCK = 1_000_000
 
-_SPAN = 4096
+#: Bytes of a word that the table covers; the hash of a longer word is that of its blake2b digest.
+SPAN = 64
 _random = np.random.default_rng(20_240_611)
-_BYTES = [_random.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
-_PLACE = [np.cumprod(np.full(_SPAN, int(_random.integers(2**62, 2**63)) * 2 + 1, np.uint64), dtype=np.uint64) for _ in range(2)]
-_STEP = [np.uint64(int(_random.integers(2**62, 2**63)) * 2 + 1) for _ in range(2)]
+#: For both hashes: an independent random value for every byte at every place (tabulation hashing), so
+#: that two different words of at most SPAN bytes agree with probability 2 ** -64, whatever their form.
+_TABLE = [_random.integers(0, 2**64, (SPAN, 256), np.uint64).ravel() for _ in range(2)]
+#: Independent odd factors of a window's words.
+_FACTORS = [_random.integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -38,14 +42,17 @@ class Block:
 
     def words(self, which: int = 0) -> np.ndarray:
         """A hash of every word; ``which`` is 0 or 1, for two independent ones."""
+        sizes = self.ends - self.starts
         place = np.arange(len(self.bytes), dtype=np.int64)
         place -= np.repeat(self.starts, np.append(np.diff(self.starts), len(self.bytes) - self.starts[-1]))
-        value = _BYTES[which][self.bytes]
-        value *= _PLACE[which][place & (_SPAN - 1)]
+        value = _TABLE[which][((place & (SPAN - 1)) << 8) + self.bytes]
         sums = np.zeros(len(value) + 1, np.uint64)
         np.cumsum(value, out=sums[1:])
-        length = (self.ends - self.starts).astype(np.uint64)
-        return mixed(sums[self.ends] - sums[self.starts] + length)
+        out = mixed(sums[self.ends] - sums[self.starts] + sizes.astype(np.uint64))
+        for i in np.flatnonzero(sizes > SPAN).tolist():
+            digest = hashlib.blake2b(self.body[self.starts[i] : self.ends[i]], digest_size=16).digest()
+            out[i] = np.frombuffer(digest, np.uint64)[which]
+        return out
 
 
 def windows(words: np.ndarray, size: int, which: int = 0) -> np.ndarray:
@@ -53,10 +60,10 @@ def windows(words: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    factors = _FACTORS[which] if size <= len(_FACTORS[which]) else np.random.default_rng(which).integers(0, 2**63, size, np.uint64) * np.uint64(2) + np.uint64(1)
     out = np.zeros(n, np.uint64)
     for k in range(size):
-        out *= _STEP[which]
-        out += words[k : k + n]
+        out += words[k : k + n] * factors[k]
     return mixed(out)
 
 
