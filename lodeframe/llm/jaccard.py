@@ -12,7 +12,8 @@ blocks by position and size, and a set's answers come from those of a set it is
    which gives each set's exact number of shingles that any other one has.
 3. Index. Survivors list a prefix of the emitted shingles, rare ones before frequent ones: two sets
    that link have a shingle in common there, within the first seventh for the smaller one. Blocks of
-   a list hold sets whose sizes may link.
+   a list hold sets of one size band; an entry has its position in the set's order, and a block's pair
+   is skipped if what is left from there on can't make a link.
 4. Leaders. In each block sets pair with the least one only, and each set verifies its most frequent
    leader; linked sets take the leader's component.
 5. The rest. A set that does not link with its leader is compared with the leader's other sets through
@@ -20,7 +21,10 @@ blocks by position and size, and a set's answers come from those of a set it is
    lists that hold more than one component (a list within one is never brought together), if what
    other sets have of them at all may suffice. The pairs that this leaves are verified.
 
-Every step that could drop a link is a proven bound; there is no cap. Hashes are 64 bits wide.
+Every step that could drop a link is a proven bound; there is no cap. Shingles are compared by 64-bit hashes
+(of N different ones some pair agrees with probability N * N / 2 ** 65, and a link of sets of many
+shingles needs many such accidents); a set of one shingle, a text of at most five words, is as safe as
+one hash.
 
 A document with fewer than five words is its whole sequence as one shingle; null and empty texts
 have the empty set and link with nothing; rows that share an id are one node; a null id is no node
@@ -311,22 +315,22 @@ def frequencies(tally: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 # --- index ----------------------------------------------------------------------------------
 
 
-def prefix(h: np.ndarray, keys: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, int]:
-    """The shingles under which a set is listed, and how many of them (from the start) it needs to be
-    found by sets that are not smaller."""
+def prefix(h: np.ndarray, keys: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, int, bool]:
+    """The shingles under which a set is listed, how many of them (from the start) it needs to be found
+    by sets that are not smaller, and whether they are its first ones in the order of all shingles."""
     n = len(h)
     spare = n - own_overlap(n)
     a = h[: int(np.searchsorted(h, limit(n)))]
     if len(a) <= spare:  # too few of its shingles lie in its share: all it emits
         out = emitted(h)[0]
-        return out, len(out)
+        return out, len(out), False
     level = np.zeros(len(a), np.int8)
     if len(keys):
         short = a >> np.uint64(16)
         at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
         level = np.where(keys[at] == short, levels[at], 0)
     klass = np.searchsorted(np.sort(_LIMIT), a, side="right")
-    return a[np.lexsort((a, level, klass))[: spare + 1]], n - wide_overlap(n) + 1
+    return a[np.lexsort((a, level, klass))[: spare + 1]], n - wide_overlap(n) + 1, True
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,8 +347,8 @@ def _lists(keys: np.ndarray, levels: np.ndarray):
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             found = [prefix(np.frombuffer(x, np.uint64), keys, levels) for x in raw(batch.column(3))]
-            heads = pa.array([p.view(np.int64) for p, _ in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), heads, pa.array([k for _, k in found], pa.int64())], names=["doc_id", "n", "reach", "prefix", "narrow"])
+            heads = pa.array([p.view(np.int64) for p, _, _ in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), heads, pa.array([k for _, k, _ in found], pa.int64()), pa.array([o for _, _, o in found], pa.bool_())], names=["doc_id", "n", "reach", "prefix", "narrow", "ordered"])
 
     return lists
 
@@ -375,47 +379,66 @@ def linked(pairs: DataFrame) -> DataFrame:
     return pairs.where("175 * shared >= 75 * (n_a + n_b)").select("a", "b")
 
 
-#: Sets at most on either side of a comparison of sets that have the same leader.
-SIDE = 512
-
-
-def _compare(rows: pa.Table) -> pa.Table:
-    """Pairs of one leader's sets that may link though their components differ: outsiders on one side,
-    any on the other. What both have of the leader is counted from their masks."""
-    r = {c: rows.column(c).to_numpy() for c in ("doc_id", "n", "c", "beyond", "outsider", "role")}
-    masks = [np.frombuffer(m, np.uint8) for m in rows.column("mask").to_pylist()]
-    width = -(-max(map(len, masks)) // 8) * 8
-    bits = np.zeros((len(masks), width), np.uint8)
+#: Sets in a block of a leader's sets, about.
+SIDE = 256
+#: Sizes of sets that link lie in the same or in neighbouring bands.
+BAND = 1.34
+
+
+def band(n: str):
+    return F.floor(F.log(F.col(n)) / F.log(F.lit(BAND))).cast("int")
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of one leader's sets that may link though their components differ: a block of outsiders
+    (column 0) against a block of any (column 1). What both have of the leader is counted from masks."""
+    for batch in small(batches, 64):
+        a, b = [], []
+        for k in range(len(batch)):
+            one, two = (_block(batch.column(i)[k].values) for i in range(2))
+            width = max(one["bits"].shape[1], two["bits"].shape[1])
+            bits = np.pad(two["bits"], ((0, 0), (0, width - two["bits"].shape[1])))
+            own = np.pad(one["bits"], ((0, 0), (0, width - one["bits"].shape[1])))
+            for i in range(len(own)):
+                both = np.bitwise_count(bits & own[i]).sum(axis=1, dtype=np.int64) + np.minimum(two["beyond"], one["beyond"][i])
+                # two outsiders meet twice
+                once = ~two["outsider"] | (two["doc_id"] > one["doc_id"][i])
+                hit = (two["c"] != one["c"][i]) & once & (175 * both >= 75 * (two["n"] + one["n"][i]))
+                found = two["doc_id"][hit]
+                a.append(np.full(len(found), one["doc_id"][i]))
+                b.append(found)
+        none = [np.zeros(0, np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a or none)), pa.array(np.concatenate(b or none))], names=["a", "b"])
+
+
+def _block(rows: pa.StructArray) -> dict[str, np.ndarray]:
+    out = {c: rows.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n", "c", "beyond", "outsider")}
+    masks = [np.frombuffer(m, np.uint8) for m in rows.field("mask").to_pylist()]
+    bits = np.zeros((len(masks), -(-max(map(len, masks)) // 8) * 8), np.uint8)
     for i, m in enumerate(masks):
         bits[i, : len(m)] = m
-    bits = bits.view(np.uint64)
-    from_, to = np.flatnonzero(r["role"] == 0), np.flatnonzero(r["role"] == 1)
-    a, b = [], []
-    for i in from_:
-        n = r["n"][to] + r["n"][i]
-        both = np.bitwise_count(bits[to] & bits[i]).sum(axis=1, dtype=np.int64) + np.minimum(r["beyond"][to], r["beyond"][i])
-        # two outsiders meet twice
-        once = ~r["outsider"][to] | (r["doc_id"][to] > r["doc_id"][i])
-        hit = to[(r["c"][to] != r["c"][i]) & once & (175 * both >= 75 * n)]
-        a += [r["doc_id"][i]] * len(hit)
-        b += r["doc_id"][hit].tolist()
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return out | {"bits": bits.view(np.uint64)}
 
 
 def same_leader(members: DataFrame) -> DataFrame:
     """Pairs (a, b) to verify among sets with one leader, which some of them don't link with.
 
-    ``members``: leader, doc_id, n, c, beyond, mask, outsider. Each outsider meets each member in the
-    task of their blocks: no task holds more than SIDE of either."""
-    counts = members.groupBy("leader").agg(F.count(F.lit(1)).alias("all"), F.count_if("outsider").alias("out")).where("out > 0 AND all > 1")
-    parts = counts.select("leader", F.ceil(F.col("all") / SIDE).cast("int").alias("n_to"), F.ceil(F.col("out") / SIDE).cast("int").alias("n_from"))
-    known = members.join(sized(parts), "leader")
+    ``members``: leader, doc_id, n, c, beyond, mask, outsider. A leader's sets are dealt to blocks of some
+    SIDE sets by size band and hash; each block of outsiders meets each block of its own and the next
+    bands, as one row that holds both. Rows of a large family are spread over all tasks."""
+    banded = members.withColumn("band", band("n"))
+    counts = banded.groupBy("leader", "band").agg(F.count(F.lit(1)).alias("all"), F.count_if("outsider").alias("out"))
+    mixed = counts.groupBy(F.col("leader").alias("of")).agg(F.sum("out").alias("outs"), F.sum("all").alias("alls")).where("outs > 0 AND alls > 1").select("of")
+    needed = counts.join(mixed, F.col("leader") == F.col("of"), "left_semi")
+    parts = settle(needed.select("leader", "band", F.ceil(F.col("all") / SIDE).cast("int").alias("n_to"), F.ceil(F.col("out") / SIDE).cast("int").alias("n_from")), "parts")
+    known = banded.join(sized(parts), ["leader", "band"])
     slot = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["leader", "doc_id", "n", "c", "beyond", "mask", "outsider"]
-    from_ = known.where("outsider").select(*columns, F.lit(0).alias("role"), slot("n_from").alias("x"), every("n_to").alias("y"))
-    to = known.select(*columns, F.lit(1).alias("role"), every("n_from").alias("x"), slot("n_to").alias("y"))
-    return from_.unionByName(to).groupBy("leader", "x", "y").applyInArrow(_compare, "a bigint, b bigint")
+    held = F.collect_list(F.struct("doc_id", "n", "c", "beyond", "outsider", "mask"))
+    from_ = known.where("outsider").groupBy("leader", "band", slot("n_from").alias("x")).agg(held.alias("from"))
+    to = known.groupBy("leader", F.col("band").alias("to_band"), slot("n_to").alias("y")).agg(held.alias("to"))
+    aims = from_.join(sized(parts.select("leader", F.col("band").alias("to_band"), "n_to")), "leader").where("abs(band - to_band) <= 1")
+    spread = aims.select("leader", "to_band", "from", F.explode(F.sequence(F.lit(0), F.col("n_to") - 1)).alias("y"))
+    return spread.join(to, ["leader", "to_band", "y"]).select("from", "to").mapInArrow(_compare, "a bigint, b bigint")
 
 
 def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -440,10 +463,11 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     reaching = every.join(sized(settle(shared_counts(exact), "reach")), "key").where("4 * shared >= 3 * n")
     # repeated rows of one document give one entry
     packed = settle(reaching.select("doc_id", "n", F.col("shared").alias("reach"), "packed").dropDuplicates(["doc_id", "packed"]), "index")
-    listed = packed.mapInArrow(_lists(keys, levels), "doc_id bigint, n bigint, reach bigint, prefix array<bigint>, narrow bigint")
-    spread = listed.select("doc_id", "n", "reach", "narrow", F.posexplode("prefix").alias("pos", "h"))
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3))).cast("int")
-    entries = settle(spread.select("doc_id", "n", "reach", "h", (F.col("pos") < F.col("narrow")).alias("narrow"), band.alias("band")), "entries")
+    listed = packed.mapInArrow(_lists(keys, levels), "doc_id bigint, n bigint, reach bigint, prefix array<bigint>, narrow bigint, ordered boolean")
+    spread = listed.select("doc_id", "n", "reach", "narrow", "ordered", F.posexplode("prefix").alias("pos", "h"))
+    # left: the set's shingles from this one on, in the order of all shingles
+    left_over = (F.col("n") - F.when(F.col("ordered"), F.col("pos")).otherwise(0)).alias("left")
+    entries = settle(spread.select("doc_id", "n", "reach", "h", (F.col("pos") < F.col("narrow")).alias("narrow"), left_over, band("n").alias("band")), "entries")
 
     # 4. leaders: the set of a block (hash, size band) that others share most of, from aggregated rows
     central = F.struct((F.col("reach") / F.col("n")).alias("share"), (-F.col("doc_id")).alias("first"))
@@ -459,15 +483,18 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # (an id with several sets has no leader here, and so no bound)
     led = known.groupBy(F.col("b").alias("doc_id")).agg(F.first("a").alias("leader"), F.first("n_b").alias("n"), F.first("shared").alias("common"), F.first("mask").alias("mask"), F.count(F.lit(1)).alias("sets")).where("sets = 1").drop("sets")
     where = settle(parts.withColumnRenamed("node", "doc_id").join(led, "doc_id", "full_outer"), "where")
-    labelled = entries.join(where.select("doc_id", "component", "leader"), "doc_id", "left").select("h", "doc_id", "n", "reach", "narrow", F.coalesce("component", "doc_id").alias("c"), F.coalesce("leader", "doc_id").alias("leader"))
+    labelled = entries.join(where.select("doc_id", "component", "leader"), "doc_id", "left").select("h", "band", "doc_id", "n", "reach", "narrow", "left", F.coalesce("component", "doc_id").alias("c"), F.coalesce("leader", "doc_id").alias("leader"))
     mixed_lists = labelled.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("h")
     open_ = settle(labelled.join(mixed_lists, "h", "left_semi"), "open")
-    side = lambda s: open_.select("h", *(F.col(c).alias(f"{c}_{s}") for c in open_.columns if c != "h"))
-    one, two = side("a").where("narrow_a").drop("narrow_a"), side("b").drop("narrow_b")
-    # different leaders: the smaller one is found by its narrow prefix; what others have must suffice
+    side = lambda s: open_.select("h", "band", *(F.col(c).alias(f"{c}_{s}") for c in open_.columns if c not in ("h", "band")))
+    # different leaders: the smaller one is found by its narrow prefix, in the list's blocks of its own
+    # and the next band; what others have and, at the first common shingle, what is left must suffice
+    one = side("a").where("narrow_a").withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    two = side("b")
     smaller = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("doc_id_a") < F.col("doc_id_b"))
-    near = smaller & (4 * F.col("n_a") >= 3 * F.col("n_b")) & (175 * F.least("reach_a", "reach_b") >= 75 * (F.col("n_a") + F.col("n_b")))
-    fits = (one["h"] == two["h"]) & (F.col("c_a") != F.col("c_b")) & (F.col("leader_a") != F.col("leader_b")) & near
+    enough = 175 * F.least("reach_a", "reach_b", "left_a", "left_b") >= 75 * (F.col("n_a") + F.col("n_b"))
+    near = smaller & (4 * F.col("n_a") >= 3 * F.col("n_b")) & enough
+    fits = (one["h"] == two["h"]) & (one["band"] == two["band"]) & (F.col("c_a") != F.col("c_b")) & (F.col("leader_a") != F.col("leader_b")) & near
     asked = settle(one.join(two, fits).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct(), "asked")
     # one leader: what they have of it is compared bit by bit
     reach = packed.groupBy("doc_id").agg(F.max("reach").alias("reach"))
@@ -487,3 +514,20 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+shingles AS (SELECT DISTINCT r, array_to_string(ws[k + 1 : k + 5], ' ') AS s FROM (SELECT r, ws, unnest(range(0, greatest(len(ws) - 4, 1))) AS k FROM docs WHERE len(ws) > 0)),
+sets AS (SELECT r, count(*) AS n, md5(string_agg(s, '  ' ORDER BY s)) AS id FROM shingles GROUP BY r),
+classes AS (SELECT id, min(r) AS r, any_value(n) AS n FROM sets GROUP BY id),
+own AS (SELECT c.r, c.n, s FROM classes c JOIN shingles USING (r)),
+pairs AS (SELECT a.r AS a, b.r AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i FROM own a JOIN own b ON a.s = b.s AND a.r < b.r GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * i >= 75 * (na + nb - i)),
+nodes AS (SELECT s.r, c.r AS class, doc_id FROM sets s JOIN classes c USING (id) JOIN docs ON docs.r = s.r),
+steps AS (SELECT a, b FROM links UNION SELECT b, a FROM links UNION SELECT x.class, y.class FROM nodes x JOIN nodes y ON x.doc_id = y.doc_id AND x.class <> y.class),
+reach AS (SELECT r AS a, r AS b FROM classes UNION SELECT reach.a, steps.b FROM reach JOIN steps ON reach.b = steps.a),
+least AS (SELECT reach.a AS class, min(doc_id) AS component_id FROM reach JOIN nodes ON nodes.class = reach.b GROUP BY 1)
+SELECT docs.doc_id, coalesce(sets.n, 0) AS n_shingles, coalesce(least.component_id, docs.doc_id) AS component_id
+FROM docs LEFT JOIN sets USING (r) LEFT JOIN nodes USING (r) LEFT JOIN least ON least.class = nodes.class
+"""
