@@ -8,9 +8,10 @@ documents become intervals of words to cut.
 
 A string that a task has met before in a document with a smaller id is decided at once and does not
 travel: what many documents share reaches its bucket about once per task, not once per document.
-Buckets are some times as many as shuffle partitions; no group is ever gathered beyond one bucket's
-share. The intervals return to the documents as one packed row per cut document: broadcast if
-counted to be small, else by a shuffled join.
+Buckets are some times as many as shuffle partitions; a task holds one bucket's packed strings and sorts
+at most MAX_WINDOWS of its windows at once (a bucket that a frequent minimiser fills is sorted in parts). The
+intervals return to the documents as one packed row per cut document: broadcast if counted to be small,
+else by a shuffled join.
 
 Null and empty texts have no words; a null id is never earlier than another one, and its text stays
 whole; rows that share an id are one document (they don't cut each other, and what is cut from one
@@ -33,6 +34,8 @@ from .wordhash import Block, blocks, sliding_min, windows
 SIZE = 13
 MINIMISER = 4
 BUCKETS_PER_PARTITION = 4
+#: Windows that a task sorts at once; a bucket with more is sorted in parts, by the windows' hashes.
+MAX_WINDOWS = 3_000_000
 #: Strings that a task remembers, with their least document, to decide later ones at once.
 REMEMBER = 200_000
 #: Bytes of intervals that are broadcast at the most.
@@ -101,39 +104,43 @@ def _deal(n_buckets: int, size: int, minimiser: int):
                     else:
                         travel.append(k)
                         strings.append(text)
-                yield from _packed(press, n_buckets, travel, strings, docs, at, least, decided)
+                yield from _packed(press, n_buckets, size, travel, strings, docs, at, least, decided)
         tidy()
 
     return deal
 
 
-def _packed(press, n_buckets, travel, strings, docs, at, least, decided) -> Iterator[pa.RecordBatch]:
+def _packed(press, n_buckets, size, travel, strings, docs, at, least, decided) -> Iterator[pa.RecordBatch]:
     bucket = (least[travel] % np.uint64(n_buckets)).astype(np.int64) if travel else np.zeros(0, np.int64)
     order = np.argsort(bucket, kind="stable").tolist()
     cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
-    rows, bodies, forwards = [], [], []
+    rows, counts, bodies, forwards = [], [], [], []
     for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
         own = order[a:b]
         head = np.array([[docs[travel[k]], at[travel[k]]] for k in own], np.int64)
         rows.append(int(bucket[own[0]]))
+        counts.append(sum(strings[k].count(b" ") for k in own) - (size - 2) * len(own))
         bodies.append(press.compress(np.int64(len(own)).tobytes() + head.T.copy().tobytes() + b"\n".join(strings[k] for k in own)))
         forwards.append(None)
     flat = [(doc, a, b) for doc, found in decided.items() for a, b in joined(found)]
     if flat:
         rows.append(int(flat[0][0]) % n_buckets)
+        counts.append(0)
         bodies.append(None)
         forwards.append(press.compress(np.array(flat, np.int64).tobytes()))
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(bodies, pa.binary()), pa.array(forwards, pa.binary())], names=["bucket", "body", "decided"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(counts, pa.int64()), pa.array(bodies, pa.binary()), pa.array(forwards, pa.binary())], names=["bucket", "windows", "body", "decided"])
 
 
-DEALT = "bucket bigint, body binary, decided binary"
+DEALT = "bucket bigint, windows bigint, body binary, decided binary"
 CUT = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("end", pa.int64())])
 
 
 def later_windows(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Positions of the windows whose sequence also starts in a document with a smaller id."""
     order = np.argsort(h1)
+    if not len(order):
+        return order
     same = h1[order][1:] == h1[order][:-1]
     some = order[np.append(same, False) | np.insert(same, 0, False)]
     some = some[np.lexsort((doc[some], h2[some], h1[some]))]
@@ -146,49 +153,66 @@ def later_windows(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarray
 
 
 def _sort(size: int):
-    """Bucket side: sort the windows of whole partitions (a bucket's rows are together in one)."""
+    """Bucket side: sort the windows of one bucket after the other, at most MAX_WINDOWS at once."""
 
     def emit(doc: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(first), pa.array(end)], schema=CUT)
 
+    def unpacked(packed: bytes) -> tuple[np.ndarray, ...]:
+        """Two hashes, document and place of every window of a body."""
+        n = int(np.frombuffer(packed, np.int64, 1)[0])
+        doc, at = np.frombuffer(packed, np.int64, 2 * n, 8).reshape(2, n)
+        block = Block(packed[8 + 16 * n :])
+        breaks = np.searchsorted(block.ends, np.append(np.flatnonzero(block.bytes == 10), len(block.body)))
+        count = np.diff(breaks, prepend=-1)
+        run_of = np.repeat(np.arange(n), count)
+        within = np.arange(len(run_of)) - np.repeat(np.cumsum(count) - count, count)
+        m = len(run_of) - size + 1
+        inside = np.flatnonzero(run_of[:m] == run_of[size - 1 :])
+        run = run_of[inside]
+        return windows(block.words(0), size, 0)[inside], windows(block.words(1), size, 1)[inside], doc[run], (at[run] + within[inside]).astype(np.int32)
+
+    def decided_here(bodies: list[bytes], n_windows: int, press) -> Iterator[pa.RecordBatch]:
+        n_parts = max(1, -(-n_windows // MAX_WINDOWS))
+        for k in range(n_parts):
+            parts = []
+            for body in bodies:
+                found = unpacked(press.decompress(body))
+                own = found[0] % np.uint64(n_parts) == k
+                parts.append(found if n_parts == 1 else tuple(x[own] for x in found))
+            h1, h2, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
+            late = later_windows(h1, h2, doc)
+            doc, at = doc[late], at[late].astype(np.int64)
+            order = np.lexsort((at, doc))
+            doc, at = doc[order], at[order]
+            if not len(doc):
+                continue
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + size)
+            a = np.flatnonzero(new)
+            b = np.append(a[1:], len(doc)) - 1
+            for i in range(0, len(a), 100_000):
+                yield emit(doc[a[i : i + 100_000]], at[a[i : i + 100_000]], at[b[i : i + 100_000]] + size)
+
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
-        parts: list[tuple[np.ndarray, ...]] = []
+        now, held, n_windows = None, [], 0
         for batch in batches:
-            for body, decided in zip(batch.column(1), batch.column(2), strict=True):
+            for bucket, more, body, decided in zip(*(batch.column(i) for i in range(4)), strict=True):
                 if decided.is_valid:
                     flat = np.frombuffer(press.decompress(decided.as_py()), np.int64).reshape(-1, 3)
                     yield emit(flat[:, 0].copy(), flat[:, 1].copy(), flat[:, 2].copy())
                 if not body.is_valid:
                     continue
-                packed = press.decompress(body.as_py())
-                n = int(np.frombuffer(packed, np.int64, 1)[0])
-                doc, at = np.frombuffer(packed, np.int64, 2 * n, 8).reshape(2, n)
-                block = Block(packed[8 + 16 * n :])
-                breaks = np.searchsorted(block.ends, np.append(np.flatnonzero(block.bytes == 10), len(block.body)))
-                count = np.diff(breaks, prepend=-1)
-                run_of = np.repeat(np.arange(n), count)
-                within = np.arange(len(run_of)) - np.repeat(np.cumsum(count) - count, count)
-                m = len(run_of) - size + 1
-                inside = np.flatnonzero(run_of[:m] == run_of[size - 1 :])
-                run = run_of[inside]
-                parts.append((windows(block.words(0), size, 0)[inside], windows(block.words(1), size, 1)[inside], doc[run], (at[run] + within[inside]).astype(np.int32)))
-        if not parts:
-            return
-        h1, h2, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        parts.clear()
-        late = later_windows(h1, h2, doc)
-        doc, at = doc[late], at[late].astype(np.int64)
-        order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order]
-        if not len(doc):
-            return
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + size)
-        a = np.flatnonzero(new)
-        b = np.append(a[1:], len(doc)) - 1
-        for k in range(0, len(a), 100_000):
-            yield emit(doc[a[k : k + 100_000]], at[a[k : k + 100_000]], at[b[k : k + 100_000]] + size)
+                if bucket.as_py() != now and held:
+                    yield from decided_here(held, n_windows, press)
+                    held, n_windows = [], 0
+                now = bucket.as_py()
+                held.append(body.as_py())
+                n_windows += more.as_py()
+        if held:
+            yield from decided_here(held, n_windows, press)
 
     return sort
 
@@ -221,11 +245,10 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     """Per document row: doc_id (the key as a long), n_words, n_removed and kept, the words left."""
     spark = docs.sparkSession
     ship(spark)
-    # a task sorts its windows in memory: half of the share that a row-wise shuffle would give it
     partitions = 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     slim = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("t"))
     dealt = slim.mapInArrow(_deal(BUCKETS_PER_PARTITION * partitions, size, minimiser), DEALT)
-    found = dealt.repartition(partitions, "bucket").mapInArrow(_sort(size), "doc_id bigint, first bigint, end bigint")
+    found = dealt.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort(size), "doc_id bigint, first bigint, end bigint")
     grouped = found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("found"))
     cuts = settle(grouped.mapInArrow(_merge, "doc_id bigint, cuts binary"), "cuts")
     extent = cuts.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("cuts")).alias("bytes")).first()
@@ -238,3 +261,14 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = cut_repeats(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+spread AS (SELECT doc_id, k, array_to_string(ws[k + 1 : k + SIZE_], ' ') AS w FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - SIZE_ + 1)) AS k FROM docs WHERE len(ws) >= SIZE_ AND doc_id IS NOT NULL)),
+late AS (SELECT doc_id, k FROM (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY w) AS first FROM spread) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + SIZE_)) AS p FROM late),
+words AS (SELECT r, doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS p FROM docs),
+kept AS (SELECT r, count(*) AS n, string_agg(w, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (r)
+""".replace("SIZE_", str(SIZE))
