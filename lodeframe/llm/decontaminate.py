@@ -1,11 +1,15 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark windows.
+"""Benchmark decontamination: one Aho-Corasick automaton over the normalised benchmark texts.
 
-Texts are normalised as bytes (A-Z lower-cased, everything that is no word character becomes a
-space, words joined by one space), so that one scan of the automaton finds every window at word
-boundaries; hits are mapped back to code point offsets of the original text.
+The automaton's letters are word numbers, not bytes, and it holds each item once: an item's consecutive
+blocks of half a window, each of which lies in every window around it. One scan of a document's word
+numbers finds all blocks; a found block grows to the longest run that document and item share, and runs
+of a window's length or more are hits (an item shorter than a window is a single block and must occur
+whole). So the automaton has about one node per benchmark word. Hits are mapped back to code point
+offsets of the original text.
 
-The scan is a map over the documents, without a shuffle. The automaton's size is checked: windows
-beyond MAX_PATTERN_BYTES are dealt to several automata, whose scans are united per document row.
+The scan is a map over the documents, without a shuffle. The benchmark's size is counted before it is
+collected and broadcast; beyond MAX_BYTES of text it is dealt to several automata, whose scans are
+united per document row (so many scans and one shuffle of the texts).
 
 Null and empty texts have no words and are clean; an item without words has no window; repeated
 rows are judged row by row; an empty benchmark leaves every document clean; other columns of the
@@ -14,73 +18,111 @@ input are not looked at and pass through ``clean_documents``.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
+import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle, ship, table, tidy
 
 WINDOW = 10
-#: Bytes of window text in one automaton: some 300 MB of nodes in a worker at the most.
-MAX_PATTERN_BYTES = 4_000_000
+#: Bytes of benchmark text in one automaton: some 5 million nodes, 500 MB in a worker, at the most.
+MAX_BYTES = 32 << 20
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")  # after A-Z are lower-cased
 
 _NORMAL = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
-#: The automata of this worker process, by digest of their windows.
-_BUILT: dict[str, object] = {}
+#: The scanner of this worker process, by name of its items.
+_BUILT: dict[str, Scanner] = {}
 
 
 def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_NORMAL).split()
 
 
-def windows(items: list[tuple[str, bytes | None]], size: int = WINDOW) -> dict[bytes, list[str]]:
-    """Each window as `` w1 ... w10 `` with the sorted ids of its items."""
-    found: dict[bytes, set[str]] = {}
-    for item, text in items:
-        own = words(text)
-        for i in range(max(1, len(own) - size + 1) if own else 0):
-            found.setdefault(b" " + b" ".join(own[i : i + size]) + b" ", set()).add(item)
-    return {w: sorted(ids) for w, ids in found.items()}
-
-
-def automaton(patterns: dict[bytes, list[str]], digest: str):
-    import ahocorasick
-
-    if digest not in _BUILT:
+class Scanner:
+    """The automaton over items (id, text), and the items' word numbers that its blocks grow in."""
+
+    def __init__(self, items: list[tuple[str, bytes | None]], size: int = WINDOW) -> None:
+        import ahocorasick
+
+        self.size = size
+        self.known: dict[bytes, int] = {}
+        self.items: list[list[int]] = []
+        self.names: list[list[str]] = []
+        texts: dict[tuple[int, ...], list[str]] = {}
+        for name, text in items:
+            own = tuple(self.known.setdefault(w, len(self.known) + 1) for w in words(text))
+            if own:
+                texts.setdefault(own, []).append(name)
+        block = (size + 1) // 2
+        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        for own, names in texts.items():
+            self.items.append(list(own))
+            self.names.append(names)
+            for at in range(0, len(own) - block + 1, block) if len(own) >= size else (0,):
+                places.setdefault(own[at : at + block] if len(own) >= size else own, []).append((len(self.items) - 1, at))
+        self.tree = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for letters, found in places.items():
+            self.tree.add_word(letters, (len(letters), found))
+        if places:
+            self.tree.make_automaton()
+
+    def hits(self, own: list[bytes]) -> tuple[list[tuple[int, int]], list[str]]:
+        """Runs of hit words as (first, end) word numbers, and the items whose windows occur."""
+        if not own or not self.items:
+            return [], []
+        known = self.known
+        text = tuple([known.get(w, 0) for w in own])
+        seen: dict[tuple[int, int], int] = {}  # how far an item's words have been compared, by item and shift
+        found: list[tuple[int, int]] = []
+        names: set[str] = set()
+        for last, (length, places) in self.tree.iter(text):
+            for item, at in places:
+                letters = self.items[item]
+                first = last + 1 - length
+                shift = first - at
+                if seen.get((item, shift), -1) > last:
+                    continue
+                a, b = first, last + 1
+                if len(letters) >= self.size:
+                    while a > 0 and a > shift and letters[a - 1 - shift] == text[a - 1]:
+                        a -= 1
+                    stop = min(len(text), shift + len(letters))
+                    while b < stop and letters[b - shift] == text[b]:
+                        b += 1
+                    seen[item, shift] = b
+                    if b - a < self.size:
+                        continue
+                found.append((a, b))
+                names.update(self.names[item])
+        runs: list[list[int]] = []
+        for a, b in sorted(found):
+            if runs and a <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], b)
+            else:
+                runs.append([a, b])
+        return [tuple(r) for r in runs], sorted(names)
+
+
+class Items(NamedTuple):
+    """Benchmark items (id, text) as the executors get them."""
+
+    name: str
+    rows: Broadcast
+
+
+def scanner(items: Items) -> Scanner:
+    if items.name not in _BUILT:
         _BUILT.clear()
-        tree = ahocorasick.Automaton()
-        for w, ids in patterns.items():
-            tree.add_word(w.decode("latin-1"), (len(w), w.count(b" ") - 1, ids))
-        tree.make_automaton()
-        _BUILT[digest] = tree
-    return _BUILT[digest]
-
-
-def hits(tree, own: list[bytes]) -> tuple[list[tuple[int, int]], list[str]]:
-    """Runs of hit words as (first, end) word numbers, and the items whose windows occur."""
-    if not own or not len(tree):
-        return [], []
-    body = b" " + b" ".join(own) + b" "
-    found = list(tree.iter(body.decode("latin-1")))
-    if not found:
-        return [], []
-    spaces = np.flatnonzero(np.frombuffer(body, np.uint8) == 32)
-    starts = np.searchsorted(spaces, [end - size + 1 for end, (size, _, _) in found])
-    runs: list[list[int]] = []
-    for first, end in sorted((int(s), int(s) + n) for s, (_, (_, n, _)) in zip(starts, found, strict=True)):
-        if runs and first <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], end)
-        else:
-            runs.append([first, end])
-    return [tuple(r) for r in runs], sorted({i for _, (_, _, ids) in found for i in ids})
+        _BUILT[items.name] = Scanner(items.rows.value)
+    return _BUILT[items.name]
 
 
 def original(text: str, runs: list[tuple[int, int]]) -> list[dict[str, int]]:
@@ -92,17 +134,15 @@ def original(text: str, runs: list[tuple[int, int]]) -> list[dict[str, int]]:
 OUT = "n_words bigint, n_hit bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
 
 
-def _scan(patterns: dict[bytes, list[str]], key: str):
-    digest = hashlib.sha256(repr(sorted(patterns.items())).encode()).hexdigest()
-
+def _scan(benchmark: Items, key: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = automaton(patterns, digest) if patterns else ()
+        find = scanner(benchmark)
         for batch in batches:
             n_words, n_hit, spans, items = [], [], [], []
             for raw in batch.column(1).cast(pa.binary()):
                 text = raw.as_py()
                 own = words(text)
-                runs, ids = hits(tree, own)
+                runs, ids = find.hits(own)
                 n_words.append(len(own))
                 n_hit.append(sum(b - a for a, b in runs))
                 spans.append(original(text.decode(), runs) if runs else [])
@@ -116,15 +156,16 @@ def _scan(patterns: dict[bytes, list[str]], key: str):
     return scan
 
 
-def shards(benchmark: DataFrame, item: str, text: str) -> list[dict[bytes, list[str]]]:
-    """The benchmark's windows, in as many parts as MAX_PATTERN_BYTES asks for."""
+def shards(benchmark: DataFrame, item: str, text: str) -> list[Items]:
+    """The benchmark's items, in as many parts as MAX_BYTES asks for: its size is counted first."""
     size = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n = max(1, math.ceil(size * WINDOW / MAX_PATTERN_BYTES))
+    n = max(1, math.ceil(size / MAX_BYTES))
     found = []
     for k in range(n):
         part = benchmark.where(F.pmod(F.xxhash64(item), F.lit(n)) == k) if n > 1 else benchmark
         rows = part.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(text).alias("t")).collect()
-        found.append(windows([(r["i"], r["t"].encode() if r["t"] is not None else None) for r in rows]))
+        items = [(r["i"], r["t"].encode() if r["t"] is not None else None) for r in rows]
+        found.append(Items(uuid.uuid4().hex, benchmark.sparkSession.sparkContext.broadcast(items)))
     return found
 
 
@@ -133,18 +174,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     ship(docs.sparkSession)
     parts = shards(benchmark, item, item_text)
     if len(parts) == 1:
-        slim = docs.select(F.col(key), F.col(text).alias("t"))
+        slim = docs.select(F.col(key), F.col(text).alias(f"{key}_t"))
         kind = slim.schema[key].dataType.simpleString()
         return slim.mapInArrow(_scan(parts[0], key), f"`{key}` {kind}, {OUT}")
     # rows are told apart by position, as keys may repeat; spans of different automata can overlap
-    slim = settle(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key), F.col(text).alias("t")), "scan")
+    slim = settle(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), F.col(text).alias("t")), "scan")
     united = None
     for part in parts:
         one = slim.select("row", "t").mapInArrow(_scan(part, "row"), f"row bigint, {OUT}")
         united = one if united is None else united.unionByName(one)
     grouped = united.groupBy("row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    joined = slim.join(grouped, "row").select(key, "t", "n_words", "spans", "items")
-    kind = joined.schema[key].dataType.simpleString()
+    joined = slim.join(grouped, "row").select("k", "t", "n_words", "spans", "items")
+    kind = joined.schema["k"].dataType.simpleString()
     return joined.mapInArrow(_united(key), f"`{key}` {kind}, {OUT}")
 
 
@@ -154,16 +195,16 @@ def _united(key: str):
             spans, n_hit = [], []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 own = [m.span() for m in WORD.finditer((text or "").translate(_LOWER))] if found else []
-                merged: list[dict[str, int]] = []
-                for s in sorted(found, key=lambda s: s["start"]):
-                    # neighbours with no word between are one run, as in a single automaton
-                    first = next(i for i, w in enumerate(own) if w[0] == s["start"])
-                    if merged and (s["start"] <= merged[-1]["end"] or own[first - 1][1] <= merged[-1]["end"]):
-                        merged[-1]["end"] = max(merged[-1]["end"], s["end"])
+                number = {edge: i for i, (a, b) in enumerate(own) for edge in ((0, a), (1, b))}
+                # runs without a word between them are one, as in a single automaton
+                runs: list[list[int]] = []
+                for a, b in sorted((number[0, s["start"]], number[1, s["end"]] + 1) for s in found):
+                    if runs and a <= runs[-1][1]:
+                        runs[-1][1] = max(runs[-1][1], b)
                     else:
-                        merged.append(dict(s))
-                spans.append(merged)
-                n_hit.append(sum(any(m["start"] <= a and b <= m["end"] for m in merged) for a, b in own))
+                        runs.append([a, b])
+                spans.append([{"start": own[a][0], "end": own[b - 1][1]} for a, b in runs])
+                n_hit.append(sum(b - a for a, b in runs))
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_hit, pa.int64()), pa.array(spans, span), batch.column(4)], names=[key, "n_words", "n_hit", "spans", "items"])
 
@@ -175,18 +216,16 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
     ship(docs.sparkSession)
     parts = shards(benchmark, item, item_text)
     kept = docs
-    for patterns in parts:
-        kept = kept.mapInArrow(_drop(patterns, docs.columns.index(text)), docs.schema)
+    for part in parts:
+        kept = kept.mapInArrow(_drop(part, docs.columns.index(text)), docs.schema)
     return kept
 
 
-def _drop(patterns: dict[bytes, list[str]], at: int):
-    digest = hashlib.sha256(repr(sorted(patterns.items())).encode()).hexdigest()
-
+def _drop(benchmark: Items, at: int):
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = automaton(patterns, digest) if patterns else ()
+        find = scanner(benchmark)
         for batch in batches:
-            clean = [not hits(tree, words(raw.as_py()))[0] for raw in batch.column(at).cast(pa.binary())]
+            clean = [not find.hits(words(raw.as_py()))[0] for raw in batch.column(at).cast(pa.binary())]
             yield batch.filter(pa.array(clean, pa.bool_()))
         tidy()
 
@@ -203,3 +242,17 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+OP6_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL),
+known AS (SELECT DISTINCT item, n, array_to_string(ws[k + 1 : k + n], ' ') AS w FROM (SELECT item, ws, least(len(ws), WINDOW_) AS n, unnest(range(0, greatest(len(ws) - WINDOW_ + 1, 1))) AS k FROM items WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM known),
+spread AS (SELECT r, n, k, array_to_string(ws[k + 1 : k + n], ' ') AS w FROM (SELECT r, ws, n, unnest(range(0, len(ws) - n + 1)) AS k FROM docs, sizes WHERE len(ws) >= n)),
+hits AS (SELECT r, k, n, item FROM spread JOIN known USING (n, w)),
+covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT r, k, n FROM hits)) GROUP BY r),
+found AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
+""".replace("WINDOW_", str(WINDOW))

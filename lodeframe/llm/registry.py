@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP8_SQL, op8_chat
-from .decontaminate import op6_decontaminate
-from .jaccard import op9_jaccard
+from .decontaminate import OP6_SQL, op6_decontaminate
+from .jaccard import OP9_SQL, op9_jaccard
 from .packing import op7_packing
 from .pii import op1_pii
 from .quality import op4_quality
 from .secret_scan import op3_secrets
-from .substrings import op10_substrings
+from .substrings import OP10_SQL, op10_substrings
 from .toxicity import op5_toxicity
 from .urls import OP2_SQL, op2_urls
 
@@ -29,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard": op9_jaccard,
     "op10_substrings": op10_substrings,
 }
-ORACLES: dict[str, str] = {"op2_urls": OP2_SQL, "op8_chat": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_urls": OP2_SQL, "op6_decontaminate": OP6_SQL, "op8_chat": OP8_SQL, "op9_jaccard": OP9_SQL, "op10_substrings": OP10_SQL}
