@@ -16,6 +16,7 @@ gives no piece; other columns are not looked at.
 from __future__ import annotations
 
 import bisect
+import itertools
 import json
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settle, ship, table, tidy
+from .common import settle, ship, sized, table, tidy
 
 SEQUENCE = 1024
 END = 2
@@ -189,11 +190,32 @@ def places(patterns: list[Pattern]) -> dict[int, np.ndarray]:
 _CODERS: dict[str, object] = {}
 
 
+def fast_vocabulary(spec: dict) -> dict[bytes, int] | None:
+    """Ranks of a ``tokenizers`` file whose ids tiktoken must give too, else None.
+
+    That is so for plain byte-level BPE (nothing normalised, dropped, marked or guessed) in which every
+    vocabulary entry is a byte or the result of a merge and merges come in the order of their results' ids:
+    then the next merge is the pair whose result has the least id, which is tiktoken's rule."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [spec.get("normalizer"), spec.get("truncation"), *(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges", "fuse_unk"))]
+    if model.get("type") != "BPE" or any(odd) or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return None
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+    special = {t["content"] for t in spec["added_tokens"]}
+    vocab = {t: i for t, i in model["vocab"].items() if t not in special}
+    made = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    single = {i for t, i in vocab.items() if len(t) == 1}
+    if None in made or any(a >= b for a, b in itertools.pairwise(made)) or len(single) != 256 or single | set(made) != set(vocab.values()):
+        return None
+    return {bytes(shown[c] for c in t): i for t, i in vocab.items()}
+
+
 class Coder:
-    """The ids of a byte-level BPE file of ``tokenizers``.
+    """The ids of a file of ``tokenizers``.
 
-    The vocabulary is read from the file and run by tiktoken, which gives the same ids several
-    times faster; a text that holds one of the file's special tokens goes to ``tokenizers`` itself.
+    Where ``fast_vocabulary`` proves that tiktoken gives the same ids, it does so, several times faster; a
+    text that holds one of the file's special tokens, and any text for other files, goes to ``tokenizers``.
     """
 
     def __init__(self, path: str) -> None:
@@ -203,14 +225,12 @@ class Coder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-        ranks = {bytes(shown[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
-        self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        ranks = fast_vocabulary(spec)
+        self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
         self.path, self.exact = path, None
 
     def ids(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special):
             if self.exact is None:
                 from tokenizers import Tokenizer
 
@@ -290,19 +310,19 @@ def _place(found: dict[int, np.ndarray], size: int):
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
     """One row per piece: ``key``, piece, start, length, ids_crc32, [ids], sequence_id, offset."""
     ship(docs.sparkSession)
-    slim = docs.select(F.col(key), F.col(text).alias("t"))
+    slim = docs.select(F.col(key), F.col(text).alias(f"{key}_text"))
     kind = slim.schema[key].dataType.simpleString()
     more = ", ids array<int>" if with_ids else ""
     pieces = settle(slim.mapInArrow(_cut(path, key, size, with_ids), f"`{key}` {kind}, {PIECE_SQL}{more}"), "pieces")
     # the rank of a piece among those of its length: its number in its task, after the earlier tasks
     counts = pieces.where(F.col("length") < size).groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
-    counts = settle(counts.coalesce(8), "lengths")
+    counts = settle(counts, "lengths")
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     earlier = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
     # at most one row for each length below the sequence length
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     found = places(plan(histogram, size))
-    ranked = pieces.join(earlier, ["length", "task"], "left").withColumn("rank", F.col("nth") + F.coalesce("earlier", F.lit(0))).drop("earlier")
+    ranked = pieces.join(sized(earlier), ["length", "task"], "left").withColumn("rank", F.col("nth") + F.coalesce("earlier", F.lit(0))).drop("earlier")
     ids = ["ids"] if with_ids else []
     ordered = ranked.select(key, "piece", "start", "length", "ids_crc32", *ids, "task", "nth", "rank")
     return ordered.mapInArrow(_place(found, size), f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint{more}, sequence_id bigint, offset bigint")
