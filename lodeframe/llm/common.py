@@ -26,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests on one machine) gets a temporary folder.
-    """
+    A session in one process (``local[...]``, as in tests) that names none gets a temporary folder; on a
+    cluster, where a folder of one machine would lose data, its absence is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lodeframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -70,7 +72,8 @@ _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once for each application, and see to it that
-    the session's batches to them are small (the default goes down, what a user has set in other units stays)."""
+    the session's batches to them are small: this lowers the session's setting for all that comes after
+    (the default goes down, what a user has set in other units stays)."""
     context = spark.sparkContext
     now = spark.conf.get(_BYTES).rstrip("b") if spark.conf.isModifiable(_BYTES) else ""
     if now.isdigit() and int(now) > BATCH_BYTES:
