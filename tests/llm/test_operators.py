@@ -196,9 +196,9 @@ def leaks(docs, items):
         yield d, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)
 
 
-@pytest.mark.parametrize("limit", [4_000_000, 200])
+@pytest.mark.parametrize("limit", [4_000_000, 60])
 def test_op6(spark, sf, docs, limit, monkeypatch):
-    monkeypatch.setattr(decontaminate, "MAX_PATTERN_BYTES", limit)
+    monkeypatch.setattr(decontaminate, "MAX_BYTES", limit)
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     same([tuple(r) for r in rows(spark, sf, "op6_decontaminate")], leaks(docs, items))
 
