@@ -46,6 +46,10 @@ def trim_newlines(c: Column) -> Column:
     return F.regexp_replace(c, r"^\n+|\n+$", "")
 
 
+def newlines(c: Column) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+
+
 def line_at(text: Column, position: Column) -> Column:
     """1-based line of a code point offset; only \\n ends a line."""
     head = F.substring(text, F.lit(1), position.cast("int"))

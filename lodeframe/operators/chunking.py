@@ -112,16 +112,25 @@ def code_spans(own_lines: Column, size: int, least: int) -> Column:
 def _finished(docs: DataFrame, keys: list[str], chunks: str, text: str) -> DataFrame:
     """Explode chunk arrays to rows with lines and trimmed texts.
 
-    The outer form: of an inner one Spark infers a filter on the array's size, pushes it to the scan and
+    Lines are counted between the starts of a document's chunks, which ascend, and summed after the
+    explode, so that no chunk reads the text before it or carries the whole text. The outer form: of an inner one Spark infers a filter on the array's size, pushes it to the scan and
     so evaluates all that made the array once more, inside lambdas even once per element."""
-    rows = docs.select(*keys, F.col(text).alias("_raw"), F.posexplode_outer(chunks).alias("chunk_index", "c")).where("chunk_index IS NOT NULL")
+    cs = F.col(chunks)
+
+    def gap(c: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get(cs, i - 1)["char_start"]).otherwise(0)
+        return tx.newlines(F.substring(F.col(text), before + 1, c["char_start"] - before))
+
+    counted = docs.select(*keys, chunks, F.transform(cs, gap).alias("_gaps"))
+    rows = counted.select(*keys, "_gaps", F.posexplode_outer(chunks).alias("chunk_index", "c")).where("chunk_index IS NOT NULL")
+    first = F.aggregate(F.slice("_gaps", F.lit(1), F.col("chunk_index") + 1), F.lit(1), lambda a, x: a + x)
     return rows.select(
         *keys,
         "chunk_index",
         F.col("c.char_start").alias("char_start"),
         F.col("c.char_end").alias("char_end"),
-        tx.line_at(F.col("_raw"), F.col("c.char_start")).alias("line_start"),
-        tx.line_at(F.col("_raw"), F.greatest(F.col("c.char_start"), F.col("c.char_end") - 1)).alias("line_end"),
+        first.alias("line_start"),
+        (first + tx.newlines(F.substring(F.col("c.body"), F.lit(1), F.length("c.body") - 1))).alias("line_end"),
         F.col("c.section_path").alias("section_path"),
         tx.trim_newlines(F.col("c.body")).alias("text"),
         F.lit(False).alias("is_header"),

@@ -67,8 +67,10 @@ def looks_like_symbol(word: str) -> bool:
 
 def symbol_candidates(query: str | None, most: int = 4) -> list[str]:
     """The first words shaped like symbols, each once in any case."""
-    found = [w for w in re.findall("[A-Za-z0-9_]+", query or "") if looks_like_symbol(w)][:most]
-    return list({w.lower(): w for w in reversed(found)}.values())[::-1]
+    first: dict[str, str] = {}
+    for word in [w for w in re.findall("[A-Za-z0-9_]+", query or "") if looks_like_symbol(w)][:most]:
+        first.setdefault(word.lower(), word)
+    return list(first.values())
 
 
 def context_symbols(symbols: DataFrame, documents: DataFrame, candidates: DataFrame, each: int = 5) -> DataFrame:

@@ -1,7 +1,7 @@
 """Hybrid retrieval for batches of queries: a vector leg, a keyword leg, fusion, greedy selection.
 
-All of it is a DataFrame plan over any number of queries at once. Queries are the small side: they
-are broadcast after a check of their number (``few``), else joined by shuffle. Per-query top-k runs
+All of it is a DataFrame plan over any number of queries at once. Queries are the small side: their
+rows are counted and broadcast if they are few (``few``), else joined by shuffle. Per-query top-k runs
 as a limit inside each task before the shuffle (WindowGroupLimit), and only candidates, at most
 8 * top_k a query, reach the fusion.
 """
@@ -45,14 +45,10 @@ def few(df: DataFrame, rows: int) -> DataFrame:
 
 
 def counted(queries: DataFrame) -> int:
-    """Number of queries, which bounds every query side below."""
+    """Number of rows, as far as it matters for ``few``."""
     return queries.limit(FEW_ROWS + 1).count()
 
 
-#: Terms or buckets that a query of the longest allowed text (8000 characters) can have.
-TERMS = 4000
-
-
 def per_query(df: DataFrame, k: int, *order: Column, rank: str = "rn") -> DataFrame:
     """The first k rows of each query, with their rank."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col(rank) <= k)
@@ -118,13 +114,13 @@ def _nearest(asked: list[tuple], k: int, key: str, kind: pa.DataType):
     return nearest
 
 
-def sparse_topk(index: DataFrame, queries: DataFrame, k: int, n_queries: int = FEW_ROWS) -> DataFrame:
+def sparse_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Nearest chunks by sparse unit vectors: query_id, chunk_id, similarity, vrank.
 
     ``index``: chunk_id, bucket, weight; ``queries``: query_id, bucket, weight. Chunks that share no
     bucket with a query have similarity 0, which can't pass a positive least score by itself."""
     asked = queries.select("query_id", "bucket", F.col("weight").alias("qw"))
-    hits = index.join(few(asked, n_queries * TERMS), "bucket").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("qw")).alias("similarity"))
+    hits = index.join(few(asked, counted(asked)), "bucket").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("qw")).alias("similarity"))
     return per_query(hits, k, F.round("similarity", 9).desc(), F.col("chunk_id"), rank="vrank")
 
 
@@ -132,20 +128,33 @@ def sparse_topk(index: DataFrame, queries: DataFrame, k: int, n_queries: int = F
 
 
 def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
-    return chunks.select("chunk_id", F.posexplode(tx.fts_words(F.col(text))).alias("pos", "token"))
+    return chunks.select("chunk_id", F.posexplode_outer(tx.fts_words(F.col(text))).alias("pos", "token")).where("token IS NOT NULL")
 
 
 def query_terms(queries: DataFrame, text: str = "query_text") -> DataFrame:
     """query_id, term number, token, number of terms: the distinct words of each query."""
     listed = queries.select("query_id", F.array_distinct(tx.fts_words(F.coalesce(text, F.lit("")))).alias("ts"))
-    return listed.select("query_id", F.size("ts").alias("n_terms"), F.posexplode("ts").alias("ti", "token"))
+    return listed.select("query_id", F.size("ts").alias("n_terms"), F.posexplode_outer("ts").alias("ti", "token")).where("token IS NOT NULL")
+
 
+def and_matches(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """Hits of chunks that hold all terms of a query: one row per query and chunk, hits by position.
 
-def and_matches(index: DataFrame, asked: DataFrame, n_queries: int = FEW_ROWS) -> DataFrame:
-    """Hits of chunks that hold all terms of a query: one row per query and chunk, hits by position."""
-    found = index.join(few(asked, n_queries * TERMS), "token")
-    lists = found.groupBy("query_id", "chunk_id", "n_terms").agg(F.array_sort(F.collect_list(F.struct("pos", "ti"))).alias("hits"), F.count_distinct("ti").alias("n"))
-    return lists.where("n = n_terms").drop("n")
+    A chunk's asked words are gathered once, whatever the number of queries. Only the chunks that hold a
+    query's rarest term meet the query; hits are made for those that hold the other terms too."""
+    n = counted(asked)
+    words = few(asked.select("token").distinct(), n)
+    held = index.join(words, "token", "left_semi").groupBy("chunk_id").agg(F.collect_list(F.struct("pos", "token")).alias("held"))
+    held = held.withColumn("tokens", F.array_distinct(F.transform("held", lambda h: h["token"])))
+    common = held.select(F.explode_outer("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n_chunks"))
+    # a term that no chunk holds leaves its query without a row for it: n_terms then never fits
+    terms = common.join(few(asked, n), "token").groupBy("query_id", "n_terms").agg(F.min_by("token", F.struct("n_chunks", "ti")).alias("token"), F.array_sort(F.collect_list(F.struct("ti", "token"))).alias("ts"))
+    rarest = terms.where(F.size("ts") == F.col("n_terms")).select("query_id", "n_terms", "token", F.transform("ts", lambda t: t["token"]).alias("ts"))
+    met = held.select("chunk_id", "held", "tokens", F.explode_outer("tokens").alias("token")).join(few(rarest, n), "token")
+    every = met.where(F.size(F.array_intersect("ts", "tokens")) == F.col("n_terms"))
+    mine = F.filter("held", lambda h: F.array_contains(F.col("ts"), h["token"]))
+    hits = F.transform(mine, lambda h: F.struct(h["pos"].alias("pos"), (F.array_position(F.col("ts"), h["token"]) - 1).cast("int").alias("ti")))
+    return every.select("query_id", "chunk_id", "n_terms", F.array_sort(hits).alias("hits"))
 
 
 def cover_density(hits: Column, n_terms: Column) -> Column:
@@ -170,9 +179,9 @@ def cover_density(hits: Column, n_terms: Column) -> Column:
     return F.aggregate(hits, begin, step, lambda s: s["rank"])
 
 
-def keyword_topk(index: DataFrame, asked: DataFrame, k: int, n_queries: int = FEW_ROWS) -> DataFrame:
+def keyword_topk(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """query_id, chunk_id, rank, krank."""
-    ranked = and_matches(index, asked, n_queries).select("query_id", "chunk_id", cover_density(F.col("hits"), F.col("n_terms")).alias("rank"))
+    ranked = and_matches(index, asked).select("query_id", "chunk_id", cover_density(F.col("hits"), F.col("n_terms")).alias("rank"))
     return per_query(ranked, k, F.round("rank", 9).desc(), F.col("chunk_id"), rank="krank")
 
 
@@ -194,10 +203,12 @@ def fuse(vector: DataFrame, keyword: DataFrame, chunks: DataFrame, o: Options, n
 
 def greedy(fused: DataFrame, o: Options) -> DataFrame:
     """Walk each query's candidates by score: skip a text already taken and a document that has its
-    share; stop at top_k. One fold over at most 2 * candidates entries per query.
+    share; stop at top_k. One fold over at most 2 * candidates entries per query, which hold the
+    candidates' rows, so that ``fused`` is made once.
 
     A skipped candidate reserves nothing, so that this is not two row_number filters. Returns
-    query_id, chunk_id, rank."""
+    the columns of ``fused`` and rank."""
+    rest = [c for c in fused.columns if c != "query_id"]
     entry = F.struct(
         (-F.round("score", 9)).alias("o1"),
         F.coalesce("vrank", F.lit(2**31 - 1)).alias("o2"),
@@ -205,27 +216,29 @@ def greedy(fused: DataFrame, o: Options) -> DataFrame:
         "chunk_id",
         "doc_id",
         F.coalesce("text_hash", F.lit("")).alias("text_hash"),
+        F.struct(*rest).alias("row"),
     )
     lists = fused.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("es"))
-    taken = f"array<struct<chunk_id:{fused.schema['chunk_id'].dataType.simpleString()},doc_id:{fused.schema['doc_id'].dataType.simpleString()},text_hash:string>>"
+    taken = f"array<struct<i:int,doc_id:{fused.schema['doc_id'].dataType.simpleString()},text_hash:string>>"
 
     def step(acc: Column, x: Column) -> Column:
         new_text = (x["text_hash"] == "") | ~F.exists(acc, lambda a: a["text_hash"] == x["text_hash"])
         share = x["doc_id"].isNull() | (F.size(F.filter(acc, lambda a: a["doc_id"] == x["doc_id"])) < o.max_chunks_per_doc)
-        one = F.array(F.struct(x["chunk_id"].alias("chunk_id"), x["doc_id"].alias("doc_id"), x["text_hash"].alias("text_hash"))).cast(taken)
+        one = F.array(F.struct(x["i"].alias("i"), x["doc_id"].alias("doc_id"), x["text_hash"].alias("text_hash"))).cast(taken)
         return F.when((F.size(acc) < o.top_k) & new_text & share, F.concat(acc, one)).otherwise(acc)
 
-    picked = lists.select("query_id", F.aggregate("es", F.array().cast(taken), step).alias("out"))
-    return picked.select("query_id", F.posexplode("out").alias("i", "a")).select("query_id", F.col("a.chunk_id").alias("chunk_id"), (F.col("i") + 1).alias("rank"))
+    slim = F.transform("es", lambda x, i: F.struct(i.alias("i"), x["doc_id"].alias("doc_id"), x["text_hash"].alias("text_hash")))
+    picked = lists.select("query_id", F.transform(F.aggregate(slim, F.array().cast(taken), step), lambda a: F.get("es", a["i"])["row"]).alias("out"))
+    rows = picked.select("query_id", F.posexplode_outer("out").alias("i", "row")).where("row IS NOT NULL")
+    return rows.select("query_id", "row.*", (F.col("i") + 1).alias("rank"))
 
 
 def retrieve(chunks: DataFrame, sparse: DataFrame, index: DataFrame, queries: DataFrame, query_vectors: DataFrame, o: Options = Options()) -> DataFrame:
     """Ranked hits of every query: query_id, rank, the chunk's columns, scores and a snippet."""
     n = counted(queries)
-    vector = sparse_topk(sparse, query_vectors, o.candidates, n)
-    keyword = keyword_topk(index, query_terms(queries), o.candidates, n)
-    fused = fuse(vector, keyword, chunks, o, n)
-    best = fused.join(few(greedy(fused, o), o.top_k * n), ["query_id", "chunk_id"])
+    vector = sparse_topk(sparse, query_vectors, o.candidates)
+    keyword = keyword_topk(index, query_terms(queries), o.candidates)
+    best = greedy(fuse(vector, keyword, chunks, o, n), o)
     asked = queries.select("query_id", "query_text")
     return best.join(few(asked, n), "query_id").withColumn("snippet", tx.snippet(F.col("text"), F.col("query_text")))
 

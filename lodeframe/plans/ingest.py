@@ -75,17 +75,21 @@ def children(docs: DataFrame, s: Settings) -> dict[str, DataFrame]:
     return {"chunks": chunks, "chunk_embeddings": vectors, "postings": retrieval.postings(chunks), "symbols": found, "symbol_refs": refs}
 
 
-def ingest(spark: SparkSession, store: Store, repo_id: str, scanned: DataFrame, mode: str = "incremental", settings: Settings = Settings()) -> dict[str, int]:
+def ingest(spark: SparkSession, store: Store, repo_id: str, scanned: DataFrame, mode: str = "incremental", settings: Settings = Settings(), whole: bool = True) -> dict[str, int]:
     """Bring the store to what ``scanned`` (read_tree's columns) holds; returns the run's counts.
 
     incremental: unchanged documents stay, vanished ones are marked deleted, unreadable ones keep what
-    is stored. full: all are written anew; stored ones that were not indexed go with all their rows."""
-    if mode not in ("incremental", "full"):
-        raise ValueError("mode is incremental or full")
+    is stored. full: all are written anew; stored ones that were not indexed go with all their rows.
+    ``whole`` false: ``scanned`` is a part of the repository, and documents outside it are left alone.
+    Tables that the run doesn't change are not written."""
+    if mode not in ("incremental", "full") or mode == "full" and not whole:
+        raise ValueError("mode is incremental, or full for a whole repository")
     now = F.current_timestamp()
     docs = documents_of(scanned, repo_id).cache()
     every = store.read("documents")
     stored = every.where(F.col("repo_id") == repo_id)
+    if not whole:
+        stored = stored.join(docs.select(*merge.KEY), merge.KEY, "left_semi")
     states = merge.classify(docs, stored).cache()
     readable = docs.where("text IS NOT NULL")
     todo = readable if mode == "full" else readable.join(merge.to_index(states).select(*merge.KEY), merge.KEY, "left_semi")
@@ -107,27 +111,30 @@ def ingest(spark: SparkSession, store: Store, repo_id: str, scanned: DataFrame,
     drop = changed.unionByName(gone) if mode == "full" else changed
     old_chunks = store.read("chunks")
     old_ids = old_chunks.join(drop.distinct(), "doc_id", "left_semi").select("chunk_id")
-    tables = {
-        "documents": merged,
+    counts = states.agg(*(F.count_if(F.col("state") == s).alias(s) for s in ("unchanged", "unreadable", "vanished"))).first()
+    n_seen, n_indexed, n_gone = docs.count(), fresh.count(), gone.distinct().count()
+    tables = {"documents": merged} if n_indexed or n_gone else {}
+    children_of = {
         "chunks": merge.replace_children(old_chunks, drop.distinct(), new["chunks"]),
         "chunk_embeddings": merge.replace_children(store.read("chunk_embeddings"), old_ids.withColumnRenamed("chunk_id", "doc_id"), new["chunk_embeddings"], "chunk_id"),
         "postings": merge.replace_children(store.read("postings"), old_ids.withColumnRenamed("chunk_id", "doc_id"), new["postings"], "chunk_id"),
         "symbols": merge.replace_children(store.read("symbols"), drop.distinct(), new["symbols"]),
         "symbol_refs": merge.replace_children(store.read("symbol_refs"), drop.distinct(), new["symbol_refs"], "caller_doc_id"),
     }
+    if n_indexed or mode == "full" and n_gone:
+        tables |= children_of
     run = spark.range(1).select(F.lit(str(uuid.uuid4())).alias("run_id"), F.lit(repo_id).alias("repo_id"), F.lit(embedding.MODEL_ID).alias("embedding_model"), F.lit(settings.dim).alias("dim"), F.lit(CHUNKER_VERSION).alias("chunker_version"), F.lit(json.dumps(asdict(settings), default=str)).alias("config_snapshot"), now.alias("started_at"), now.alias("finished_at"))
     tables["index_runs"] = store.read("index_runs").unionByName(run)
-    counts = states.agg(*(F.count_if(F.col("state") == s).alias(s) for s in ("unchanged", "unreadable", "vanished"))).first()
-    n_indexed, n_chunks = fresh.count(), new["chunks"].count()
     version = store.commit(tables)
+    n_chunks = store.read("chunks", version).join(changed, "doc_id", "left_semi").count() if n_indexed else 0
     for df in (docs, states, fresh):
         df.unpersist()
     return {
-        "files_seen": scanned.count(),
+        "files_seen": n_seen,
         "files_indexed": n_indexed,
         "files_skipped": (counts["unchanged"] if mode == "incremental" else 0) + counts["unreadable"],
         "chunks_written": n_chunks,
-        "deleted_rows": gone.distinct().count() if mode == "full" else counts["vanished"],
+        "deleted_rows": n_gone if mode == "full" else counts["vanished"],
         "version": version,
     }
 

@@ -52,7 +52,7 @@ outer_kept AS (SELECT *, max(k) OVER (PARTITION BY doc_id) AS all_most FROM inne
 # I2 W3
 @query(f"WITH {_MD.replace('at AS', 'placed AS').replace('FROM at)', 'FROM placed)')} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ws) - 1 AS INTEGER) AS chunk_index, section_path, CAST(ws AS INTEGER) AS char_start, trim(b, chr(10)) AS text FROM outer_kept WHERE k >= 200 OR all_most < 200")
 def chunk_markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = v.table(spark, sf_dir, "documents")
+    docs = v.spread(spark, sf_dir, "documents")
     md = F.concat(F.lit("# Doc "), F.col("doc_id").cast("string"), F.lit("\n"), F.replace("text", F.lit("\n"), F.lit("\n## ")))
     return chunking.chunk_markdown(docs.select("doc_id", md.alias("text")), ["doc_id"]).select("doc_id", "chunk_index", "section_path", "char_start", "text")
 
@@ -88,7 +88,7 @@ _NORM = v.STRIP.format(r"regexp_replace(text, '\r\n?', chr(10), 'g')")
 # I7 I8 P11
 @query(f"SELECT doc_id, sha256({_NORM}) AS content_hash FROM documents")
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.table(spark, sf_dir, "documents").select("doc_id", tx.content_hash(F.col("text")).alias("content_hash"))
+    return v.spread(spark, sf_dir, "documents").select("doc_id", tx.content_hash(F.col("text")).alias("content_hash"))
 
 
 # I9
@@ -97,8 +97,9 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.table(spark, sf_dir, "documents").select("doc_id", tx.token_count(F.col("text")).alias("token_count"))
 
 
-# I10: SQL has no such function; tests compare with Python's uuid5
-@query()
+# I10: a version 5 UUID is a SHA-1 with the version's and the variant's bits set
+@query(f"""WITH {v.CORPUS}, h AS (SELECT path, sha1(from_hex('{tx.DOCUMENT_NAMESPACE.hex}') || encode('corpus:' || lower(path))) AS h FROM corpus)
+SELECT path, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1))::BIGINT % 4 + 1 AS BIGINT), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS doc_uuid FROM h""")
 def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.corpus(spark, sf_dir).select("path", tx.uuid5(F.concat_ws(":", "repo_id", "path_norm")).alias("doc_uuid"))
 
@@ -119,7 +120,7 @@ def source_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 # R1 A12
 @query(f"WITH {v.sparse_sql('sparse', 'documents', 'doc_id', 'text')} SELECT doc_id, bucket, round(weight, 6) AS weight FROM sparse")
 def hash_embedding_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = embedding.hash_embedding(v.table(spark, sf_dir, "documents"), ["doc_id"])
+    found = embedding.hash_embedding(v.spread(spark, sf_dir, "documents"), ["doc_id"])
     return found.select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
@@ -128,7 +129,7 @@ def hash_embedding_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 found AS (SELECT DISTINCT page_id, CAST(i AS INTEGER) AS line, unnest(regexp_extract_all(line, '\b([A-Za-z_][A-Za-z0-9_]{3,})\s*\(', 1)) AS callee_name FROM cut)
 SELECT * FROM found WHERE lower(callee_name) NOT IN ('if', 'for', 'while', 'class', 'catch', 'switch', 'with')""")
 def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = v.table(spark, sf_dir, "pages").select("page_id", "html", F.lit("").alias("language"))
+    pages = v.spread(spark, sf_dir, "pages").select("page_id", "html", F.lit("").alias("language"))
     return symbols.extract_call_sites(pages, ["page_id"], "html").select("page_id", "line", "callee_name")
 
 
@@ -271,26 +272,31 @@ def hybrid_topk_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SNIPPET = r"""ws AS (SELECT doc_id, d.text, (SELECT list(w ORDER BY -length(w), w) FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(b.text), '[\p{L}\p{N}_]+')) AS w) WHERE length(w) >= 3 AND instr(lower(d.text), w) > 0) AS found
-  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
+  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
 cut AS (SELECT *, instr(lower(text), found[1]) AS hit, least(length(text), greatest(0, instr(lower(text), found[1]) - 1 - 150) + 300) AS e FROM ws),
 body AS (SELECT *, greatest(0, e - 300) AS s, regexp_replace(substr(text, CAST(greatest(0, e - 300) + 1 AS BIGINT), CAST(e - greatest(0, e - 300) AS BIGINT)), '^[\s]+|[\s]+$', '', 'g') AS b FROM cut)"""
 
 
+def _with_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document beside one item of the benchmark, all items in turn."""
+    items = v.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
+    n = items.count()
+    return v.spread(spark, sf_dir, "documents").withColumn("item_id", F.col("doc_id") % n).join(retrieval.few(items, n), "item_id")
+
+
 # R6
 @query(f"""WITH {_SNIPPET} SELECT doc_id, CASE WHEN length(text) <= 300 THEN text WHEN hit IS NULL OR b = '' THEN substr(text, 1, 297) || '...'
   ELSE CASE WHEN s > 0 THEN '...' ELSE '' END || b || CASE WHEN e < length(text) THEN '...' ELSE '' END END AS snippet FROM body""")
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = v.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
-    both = v.table(spark, sf_dir, "documents").withColumn("item_id", F.col("doc_id") % 40).join(F.broadcast(items), "item_id")
+    both = _with_items(spark, sf_dir)
     return both.select("doc_id", tx.snippet(F.col("text"), F.col("query")).alias("snippet"))
 
 
 # F4
-@query(r"""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9_]{3,}')) AS hay, regexp_extract_all(lower(b.text), '[a-z0-9_]{3,}') AS ask FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)
+@query(r"""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9_]{3,}')) AS hay, regexp_extract_all(lower(b.text), '[a-z0-9_]{3,}') AS ask FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))
 SELECT doc_id, (SELECT count(DISTINCT w) FROM (SELECT unnest(ask) AS w) WHERE list_contains(hay, w)) AS n_overlap FROM t""")
 def term_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = v.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
-    both = v.table(spark, sf_dir, "documents").withColumn("item_id", F.col("doc_id") % 40).join(F.broadcast(items), "item_id")
+    both = _with_items(spark, sf_dir)
     return both.select("doc_id", F.size(F.array_intersect(tx.terms(F.col("query")), tx.terms(F.col("text")))).cast("bigint").alias("n_overlap"))
 
 
@@ -333,6 +339,26 @@ def repo_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.repo_stats(docs, v.chunks(spark, sf_dir), v.code_symbols(spark, sf_dir).where("false").select("doc_id"))
 
 
+# A1 J2 over files that have symbols
+@query(f"""WITH {v.CODE}, {v.SYMBOLS} SELECT 'code' AS repo_id, (SELECT count(*) FROM code WHERE doc_id % 17 <> 0) AS documents, (SELECT count(*) FROM code WHERE doc_id % 17 <> 0) AS chunks, count(*) AS symbols FROM symbols WHERE doc_id % 17 <> 0""")
+def code_repo_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.repo_stats(v.code_documents(spark, sf_dir), chunking.chunk_code(v.code(spark, sf_dir), ["doc_id"]), v.code_symbols(spark, sf_dir))
+
+
+# R5 R4: every third document is a header, and similarities follow the id
+@query("""WITH s AS (SELECT doc_id, (doc_id % 101) / 100.0::DOUBLE AS sim, doc_id % 7 AS rank, doc_id % 3 = 0 AS head FROM documents),
+k AS (SELECT *, sim * 0.5 + rank / 6.0::DOUBLE * 0.5 AS raw FROM s), p AS (SELECT *, CASE WHEN head THEN greatest(0, raw - 0.05) ELSE raw END AS score FROM k)
+SELECT 0::BIGINT AS query_id, doc_id, round(score, 6) AS score FROM p WHERE score >= 0.2""")
+def header_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    docs = v.table(spark, sf_dir, "documents").select("doc_id", k.cast("string").alias("chunk_id"), F.lit("").alias("text_hash"), (k % 3 == 0).alias("is_header"))
+    leg = docs.select(F.lit(0).cast("bigint").alias("query_id"), "chunk_id")
+    vector = leg.withColumns({"similarity": (F.col("chunk_id").cast("bigint") % 101) / F.lit(100.0), "vrank": F.lit(1)})
+    keyword = leg.withColumns({"rank": (F.col("chunk_id").cast("bigint") % 7).cast("double"), "krank": F.lit(1)})
+    found = retrieval.fuse(vector, keyword, docs, v.OPTIONS, retrieval.counted(docs))
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
 # N2 O9
 @query(f"WITH {v.CODE}, {v.SYMBOLS} SELECT path AS source_path, name, kind, CAST(line_start AS INTEGER) AS line_start FROM symbols WHERE doc_id % 17 <> 0")
 def symbols_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -299,10 +299,10 @@ class Service:
         o = retrieval.Options(top_k=12, max_chunks_per_doc=3, min_score=self.config.min_score)
         sparse, index = self.store.read("chunk_embeddings"), self.store.read("postings")
         n = len(areas)
-        vectors = retrieval.sparse_topk(sparse.join(chunks.select("chunk_id", "path_norm"), "chunk_id"), embedding.hash_embedding(asked, ["query_id"], "query_text", self.config.embedding_dim), 100 * o.candidates, n)
-        keyword = retrieval.keyword_topk(index, retrieval.query_terms(asked), 100 * o.candidates, n)
+        vectors = retrieval.sparse_topk(sparse.join(chunks.select("chunk_id", "path_norm"), "chunk_id"), embedding.hash_embedding(asked, ["query_id"], "query_text", self.config.embedding_dim), 100 * o.candidates)
+        keyword = retrieval.keyword_topk(index, retrieval.query_terms(asked), 100 * o.candidates)
         fused = retrieval.fuse(vectors, keyword, chunks, o, n).join(within, "query_id").where(F.startswith("path_norm", F.col("prefix")))
-        hits = fused.join(F.broadcast(retrieval.greedy(fused, o)), ["query_id", "chunk_id"]).withColumn("snippet", tx.snippet(F.col("text")))
+        hits = retrieval.greedy(fused, o).withColumn("snippet", tx.snippet(F.col("text")))
         found = catalog.join(hits.select("query_id", "source_path").distinct(), "source_path")
         core = assemble.core_files(assemble.file_groups(hits, found, asked)).cache()
         best = [r.asDict(recursive=True) for r in workitem.top_files(core, top).collect()]

@@ -13,10 +13,22 @@ OPTIONS = retrieval.Options()
 EVERY, N_TERMS = 50, 4
 
 
+#: Bytes up to which a table is dealt to all cores: one row group is one task, however many cores there are.
+SPREAD_BYTES = 256 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are costly to work on: a small one is dealt to all cores, a large one has row
+    groups enough and is read as it lies."""
+    df = table(spark, sf_dir, name)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+
+
 # --- corpus ---------------------------------------------------------------------------------
 
 CORPUS = """corpus AS (SELECT doc_id, 'corpus' AS repo_id, lang || '/' || source || '/doc_' || doc_id || '.txt' AS path, lang AS language, 'text' AS doc_type, text FROM documents)"""
@@ -24,7 +36,7 @@ CORPUS = """corpus AS (SELECT doc_id, 'corpus' AS repo_id, lang || '/' || source
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat("lang", F.lit("/"), "source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.lit("corpus").alias("repo_id"), path.alias("path"), F.lower(path).alias("path_norm"), F.col("lang").alias("language"), F.lit("text").alias("doc_type"), "text")
+    return spread(spark, sf_dir, "documents").select("doc_id", F.lit("corpus").alias("repo_id"), path.alias("path"), F.lower(path).alias("path_norm"), F.col("lang").alias("language"), F.lit("text").alias("doc_type"), "text")
 
 
 STRIP = r"regexp_replace({}, '^[\s]+|[\s]+$', '', 'g')"
@@ -108,9 +120,8 @@ def legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFr
     parts, asked = chunks(spark, sf_dir), queries(spark, sf_dir)
     vectors = embedding.hash_embedding(parts, ["chunk_id"])
     wanted = embedding.hash_embedding(asked, ["query_id"], "query_text")
-    n = retrieval.counted(asked)
-    vector = retrieval.sparse_topk(vectors, wanted, K, n)
-    keyword = retrieval.keyword_topk(retrieval.postings(parts), retrieval.query_terms(asked), K, n)
+    vector = retrieval.sparse_topk(vectors, wanted, K)
+    keyword = retrieval.keyword_topk(retrieval.postings(parts), retrieval.query_terms(asked), K)
     return parts, asked, vector, keyword
 
 
@@ -122,10 +133,8 @@ def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked hits of the questions, with source_path and snippet."""
     asked = queries(spark, sf_dir)
-    n = retrieval.counted(asked)
-    candidates = fused(spark, sf_dir)
-    best = candidates.join(retrieval.few(retrieval.greedy(candidates, OPTIONS), OPTIONS.top_k * n), ["query_id", "chunk_id"])
-    return best.join(retrieval.few(asked, n), "query_id").withColumn("snippet", tx.snippet(F.col("text"), F.col("query_text"))).withColumnRenamed("path", "source_path")
+    best = retrieval.greedy(fused(spark, sf_dir), OPTIONS)
+    return best.join(retrieval.few(asked, retrieval.counted(asked)), "query_id").withColumn("snippet", tx.snippet(F.col("text"), F.col("query_text"))).withColumnRenamed("path", "source_path")
 
 
 # --- code -----------------------------------------------------------------------------------
