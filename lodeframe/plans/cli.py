@@ -1,9 +1,10 @@
-"""Command line: init, list-projects, ingest, query, context, export-snapshot, readiness."""
+"""Command line: init, list-projects, ingest, query, context, export-snapshot, readiness, and the servers."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from datetime import datetime, timezone
 
@@ -11,6 +12,7 @@ from pyspark.sql import SparkSession
 
 from lodeframe import schema
 from lodeframe.plans import config as cfg
+from lodeframe.plans import transport
 from lodeframe.plans.ingest import Settings, fingerprint, index_fingerprint, ingest_tree
 from lodeframe.plans.projects import Registry
 from lodeframe.plans.service import Service
@@ -21,7 +23,7 @@ from lodeframe.sources.store import Store
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="lodeframe")
     top.add_argument("--config")
-    top.add_argument("--store", required=True)
+    top.add_argument("--store", help="needed by every command but proxy")
     sub = top.add_subparsers(dest="command", required=True)
     for name in ("init", "list-projects", "readiness"):
         sub.add_parser(name)
@@ -38,6 +40,13 @@ def parser() -> argparse.ArgumentParser:
     one = sub.add_parser("export-snapshot")
     one.add_argument("--project-id", required=True)
     one.add_argument("--output", required=True)
+    for name in ("serve-stdio", "serve-http"):
+        one = sub.add_parser(name)
+        one.add_argument("--snapshots", default="snapshots", help="the folder that holds a folder for each exported project")
+    one.add_argument("--host", default="127.0.0.1")
+    one.add_argument("--port", type=int, default=8765)
+    sub.choices["serve-stdio"].add_argument("--content-length", action="store_true", help="messages behind headers, not one to a line")
+    sub.add_parser("proxy").add_argument("--url", default="http://127.0.0.1:8765/rpc")
     return top
 
 
@@ -66,6 +75,12 @@ def run_ingest(spark: SparkSession, store: Store, registry: Registry, config: cf
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
+    token = os.environ.get("LODEFRAME_TOKEN", "").strip() or None
+    if args.command == "proxy":
+        transport.proxy(sys.stdin.buffer, sys.stdout.buffer, args.url, token)
+        return 0
+    if not args.store:
+        parser().error("--store is needed")
     spark = spark or SparkSession.builder.appName("lodeframe").getOrCreate()
     config = cfg.load(args.config)
     store, registry = Store(spark, args.store), Registry(config.projects_registry_path, config.projects_state_path)
@@ -81,6 +96,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         show(service.readiness())
     elif args.command == "ingest":
         show(run_ingest(spark, store, registry, config, args.project_id, args.mode))
+    elif args.command == "serve-stdio":
+        transport.serve_stdio(transport.Dispatcher(service, args.snapshots), sys.stdin.buffer, sys.stdout.buffer, args.content_length)
+    elif args.command == "serve-http":
+        transport.server(transport.Dispatcher(service, args.snapshots), args.host, args.port, token).serve_forever()
     elif args.command == "export-snapshot":
         show(service.export_snapshot(args.project_id, args.output))
     else:
