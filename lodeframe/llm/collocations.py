@@ -35,8 +35,8 @@ from .wordhash import mixed
 DEPTH, MIN_COUNT, TOP = 4, 30, 2000
 #: A candidate goes if some longer one has so many of a hundred of its occurrences.
 WITHIN = 80
-#: Bytes of text in one automaton.
-SHARD_BYTES = 6_000_000
+#: Bytes of text in one automaton, and rows of counts that leave a task at once.
+SHARD_BYTES, ROWS = 2_000_000, 50_000
 #: The table of frequent pairs has some 16 bits for each, and no more than so many in all (8 MB); beyond that
 #: more pairs slip in, to be counted in vain.
 MAX_BITS = 1 << 26
@@ -81,29 +81,37 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
             langs.append(lang)
             size += len(texts[-1])
             if size >= SHARD_BYTES:
-                yield Words(texts, langs)
+                own = Words(texts, langs)
                 texts, langs, size = [], [], 0
+                yield own
+                del own
+                tidy()
     if texts:
         yield Words(texts, langs)
     tidy()
 
 
-def _rows(lang: pa.Array, pair: np.ndarray | None, word: pa.Array | None, n: np.ndarray) -> pa.RecordBatch:
+def _slices(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(rows), ROWS):
+        yield rows.slice(k, ROWS)
+
+
+def _rows(lang: pa.Array, pair: np.ndarray | None, word: pa.Array | None, n: np.ndarray) -> Iterator[pa.RecordBatch]:
     pair_ = pa.nulls(len(lang), pa.int64()) if pair is None else pa.array(pair.view(np.int64))
     word_ = pa.nulls(len(lang), pa.string()) if word is None else word.cast(pa.string())
-    return pa.RecordBatch.from_arrays([lang, pair_, word_, pa.array(n.astype(np.int64))], names=["lang", "pair", "word", "n"])
+    yield from _slices(pa.RecordBatch.from_arrays([lang, pair_, word_, pa.array(n.astype(np.int64))], names=["lang", "pair", "word", "n"]))
 
 
 def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, pair, word, n): counts of words, of pairs' hashes, and of all words (both null)."""
     for own in _shards(batches):
         total = np.bincount(own.lang, own.count, len(own.langs)) if len(own.lang) else np.zeros(len(own.langs))
-        yield _rows(own.langs, None, None, total)
-        yield _rows(own.langs.take(pa.array(own.lang)), None, own.spelt, own.count)
+        yield from _rows(own.langs, None, None, total)
+        yield from _rows(own.langs.take(pa.array(own.lang)), None, own.spelt, own.count)
         at, number, hashes = own.pairs()
         lang = np.zeros(len(hashes), np.int64)
         lang[number] = own.lang[own.word[at]]
-        yield _rows(own.langs.take(pa.array(lang)), hashes, None, np.bincount(number, minlength=len(hashes)))
+        yield from _rows(own.langs.take(pa.array(lang)), hashes, None, np.bincount(number, minlength=len(hashes)))
 
 
 def _second(table_, depth: int):
@@ -126,7 +134,7 @@ def _second(table_, depth: int):
                 lang = own.langs.take(pa.array(own.lang[path[:, 0]]))
                 parts = [own.spelt.take(pa.array(path[:, k])) for k in range(path.shape[1])]
                 phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary()))
-                yield pa.RecordBatch.from_arrays([lang, phrase.cast(pa.string()), pa.array(found.count[state])], names=["lang", "phrase", "n"])
+                yield from _slices(pa.RecordBatch.from_arrays([lang, phrase.cast(pa.string()), pa.array(found.count[state])], names=["lang", "phrase", "n"]))
 
     return second
 
