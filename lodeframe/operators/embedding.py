@@ -10,26 +10,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.functions import text as tx
+from lodeframe.functions.arrays import bound
 from lodeframe.shipping import ship
 
 DIM = 384
 MODEL_ID = "localhashembedder"
 
 
-def hash_embedding(df: DataFrame, keys: list[str], text: str = "text", dim: int = DIM) -> DataFrame:
-    """Sparse unit vectors of each row's text: keys, bucket, weight. Texts without words have no rows
-    (the zero vector). Counted inside the row, from runs of equal sorted buckets: no shuffle."""
+def hash_vectors(df: DataFrame, keys: list[str], text: str = "text", dim: int = DIM) -> DataFrame:
+    """Sparse unit vectors of each row's text: keys, vector (an array of bucket and weight, empty for a text without
+    words). Counted inside the row, from runs of equal sorted buckets: no shuffle."""
     if dim <= 0:
         raise ValueError("dim must be > 0")
-    hashed = df.select(*keys, F.sort_array(F.transform(tx.words(F.col(text)), lambda w: tx.hash_bucket(w, dim))).alias("_b"))
-    b = F.col("_b")
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(b) - 1, F.lit(0))), lambda i: (F.size(b) > 0) & ((i == 0) | (F.get(b, i) != F.get(b, i - 1))))
-    cut = hashed.select(*keys, "_b", starts.alias("_s"))
-    s = F.col("_s")
-    counted = cut.select(*keys, F.transform(s, lambda at, i: F.struct(F.get(b, at).alias("bucket"), (F.coalesce(F.get(s, i + 1), F.size(b)) - at).cast("double").alias("n"))).alias("_c"))
-    normed = counted.select(*keys, "_c", F.sqrt(F.aggregate("_c", F.lit(0.0), lambda a, x: a + x["n"] * x["n"])).alias("_norm"))
-    rows = normed.select(*keys, "_norm", F.explode_outer("_c").alias("_x")).where("_x IS NOT NULL")
-    return rows.select(*keys, F.col("_x.bucket").alias("bucket"), (F.col("_x.n") / F.col("_norm")).alias("weight"))
+    hashed = F.sort_array(F.transform(tx.words(F.col(text)), lambda w: tx.hash_bucket(w, dim)))
+
+    def counted(b: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(b) - 1, F.lit(0))), lambda i: (F.size(b) > 0) & ((i == 0) | (F.get(b, i) != F.get(b, i - 1))))
+        return bound(starts, lambda s: F.transform(s, lambda at, i: F.struct(F.get(b, at).alias("bucket"), (F.coalesce(F.get(s, i + 1), F.size(b)) - at).cast("double").alias("n"))))
+
+    def normed(c: Column) -> Column:
+        norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x["n"] * x["n"]))
+        return bound(norm, lambda n: F.transform(c, lambda x: F.struct(x["bucket"].alias("bucket"), (x["n"] / n).alias("weight"))))
+
+    vector = bound(bound(hashed, counted), normed)
+    return df.select(*keys, F.coalesce(vector, F.array().cast("array<struct<bucket:int,weight:double>>")).alias("vector"))
+
+
+def hash_embedding(df: DataFrame, keys: list[str], text: str = "text", dim: int = DIM) -> DataFrame:
+    """The same vectors as rows: keys, bucket, weight. Texts without words have none."""
+    rows = hash_vectors(df, keys, text, dim).select(*keys, F.explode_outer("vector").alias("_x")).where("_x IS NOT NULL")
+    return rows.select(*keys, "_x.bucket", "_x.weight")
 
 
 def hash_vector(text: Column, dim: int = DIM) -> Column:

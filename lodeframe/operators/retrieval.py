@@ -8,17 +8,13 @@ as a limit inside each task before the shuffle (WindowGroupLimit), and only cand
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from lodeframe.functions import text as tx
-from lodeframe.shipping import ship
+from lodeframe.operators import vectors
 
 #: Rows of a query side that may be broadcast.
 FEW_ROWS = 200_000
@@ -74,54 +70,19 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.coalesce(1 - F.try_divide(dot, F.sqrt(square(a)) * F.sqrt(square(b))), F.lit(float("nan")))
 
 
-#: Queries whose vectors go to the data as one block.
-QUERY_BLOCK = 2000
+def vector_topk(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", filters: Column | None = None) -> DataFrame:
+    """Exact nearest vectors: query_id, key, distance, rn; ``queries``: query_id, query."""
+    return vectors.exact_topk(rows if filters is None else rows.where(filters), queries, k, key, vector)
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", filters: Column | None = None) -> DataFrame:
-    """Exact nearest vectors: query_id, key, distance, rn. ``queries`` (query_id, query) are a stated
-    set that goes to the data in blocks: a matrix product for each batch of vectors, of which only
-    each query's k nearest leave the task. A zero vector has no distance (NaN)."""
-    ship(vectors.sparkSession)
-    rows = (vectors if filters is None else vectors.where(filters)).select(F.col(key), F.col(vector).alias("_v"))
-    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, `{key}` {rows.schema[key].dataType.simpleString()}, distance double"
-    asked = [(r["query_id"], r["query"]) for r in queries.select("query_id", "query").toLocalIterator()]
-    found = None
-    for at in range(0, max(1, len(asked)), QUERY_BLOCK):
-        one = rows.mapInArrow(_nearest(asked[at : at + QUERY_BLOCK], k, key, to_arrow_type(queries.schema["query_id"].dataType)), kinds)
-        found = one if found is None else found.unionByName(one)
-    return per_query(found, k, F.round("distance", 12), F.col(key))
-
-
-def _nearest(asked: list[tuple], k: int, key: str, kind: pa.DataType):
-    """A batch of vectors to the k nearest ones of every query; ties of the last place stay."""
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = [q for q, _ in asked]
-        wanted = np.array([v for _, v in asked], np.float64)
-        norms = np.sqrt((wanted**2).sum(axis=1)) if len(asked) else np.zeros(0)
-        for batch in batches:
-            if not len(batch) or not ids:
-                continue
-            have = np.array(batch.column(1).to_pylist(), np.float64)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                distance = 1 - (have @ wanted.T) / np.outer(np.sqrt((have**2).sum(axis=1)), norms)
-            order = np.round(np.nan_to_num(distance, nan=np.inf), 12)
-            last = np.partition(order, min(k, len(order)) - 1, axis=0)[min(k, len(order)) - 1]
-            v, q = np.nonzero(order <= last)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], kind), batch.column(0).take(pa.array(v)), pa.array(distance[v, q])], names=["query_id", key, "distance"])
-
-    return nearest
-
-
-def sparse_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def sparse_topk(index: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
     """Nearest chunks by sparse unit vectors: query_id, chunk_id, similarity, vrank.
 
-    ``index``: chunk_id, bucket, weight; ``queries``: query_id, bucket, weight. Chunks that share no
-    bucket with a query have similarity 0, which can't pass a positive least score by itself."""
-    asked = queries.select("query_id", "bucket", F.col("weight").alias("qw"))
-    hits = index.join(few(asked, counted(asked)), "bucket").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("qw")).alias("similarity"))
-    return per_query(hits, k, F.round("similarity", 9).desc(), F.col("chunk_id"), rank="vrank")
+    ``index``: chunk_id, vector; ``queries``: query_id, vector (arrays of bucket and weight). Chunks that share
+    no bucket with a query have similarity 0, which can't pass a positive least score by itself."""
+    asked = queries.select("query_id", F.col("vector").alias("query"))
+    found = vectors.exact_topk(index, asked, k, "chunk_id", "vector", dim, digits=9)
+    return similar(found)
 
 
 # --- keyword leg ----------------------------------------------------------------------------
@@ -131,6 +92,16 @@ def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
     return chunks.select("chunk_id", F.posexplode_outer(tx.fts_words(F.col(text))).alias("pos", "token")).where("token IS NOT NULL")
 
 
+def posting_blocks(chunks: DataFrame, slots: int, text: str = "text") -> DataFrame:
+    """Lists of each token (slot, token, n, most, entries), cut into blocks by documents' slots: the blocks of all tokens
+    are aligned, so that a chunk with several tokens is in the same slot of each one's list."""
+    rows = chunks.select(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(slots)).cast("int").alias("slot"), "chunk_id", "doc_id", F.posexplode_outer(tx.fts_words(F.col(text))).alias("pos", "token"))
+    dealt = rows.where("token IS NOT NULL").repartition("slot", "token")
+    each = dealt.groupBy("slot", "token", "chunk_id", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("pos"))
+    entry = F.struct("chunk_id", "doc_id", "pos")
+    return each.groupBy("slot", "token").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max(F.size("pos")).alias("most"), F.sort_array(F.collect_list(entry)).alias("entries"))
+
+
 def query_terms(queries: DataFrame, text: str = "query_text") -> DataFrame:
     """query_id, term number, token, number of terms: the distinct words of each query."""
     listed = queries.select("query_id", F.array_distinct(tx.fts_words(F.coalesce(text, F.lit("")))).alias("ts"))
@@ -185,6 +156,68 @@ def keyword_topk(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     return per_query(ranked, k, F.round("rank", 9).desc(), F.col("chunk_id"), rank="krank")
 
 
+def block_bounds(blocks: DataFrame, asked: DataFrame) -> DataFrame:
+    """query_id, slot and bound: slots in which all terms of a query have a block, and what no chunk there can exceed.
+
+    A cover counts 1 at most, and no two covers start at the same hit, so that a chunk's rank is at most its number of
+    hits; and as no more covers than the query has terms hold the same hit of its rarest term, it is at most that
+    often the number of those. Entries are not read for this."""
+    held = blocks.select("token", "slot", "most").join(few(asked, counted(asked)), "token")
+    least = held.groupBy("query_id", "slot", "n_terms").agg(F.count(F.lit(1)).alias("terms"), F.min("most").alias("low"), F.sum("most").alias("all"))
+    return least.where(F.col("terms") == F.col("n_terms")).select("query_id", "slot", F.least(F.col("n_terms") * F.col("low"), "all").cast("double").alias("bound"))
+
+
+def block_ranks(blocks: DataFrame, asked: DataFrame, opened: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, rank of chunks with all terms, in the opened slots (query_id, slot) only."""
+    wanted = opened.select("query_id", "slot").join(few(asked, counted(asked)), "query_id")
+    met = blocks.select("token", "slot", "entries").join(wanted, ["token", "slot"])
+    hits = met.select("query_id", "n_terms", "ti", F.explode_outer("entries").alias("e")).select("query_id", "n_terms", "ti", "e.chunk_id", "e.doc_id", "e.pos").where("chunk_id IS NOT NULL")
+    if within is not None:
+        on = [c for c in ("query_id", "doc_id") if c in within.columns]
+        hits = hits.join(within.select(*on).distinct(), on, "left_semi")
+    places = F.transform("pos", lambda p: F.struct(p.alias("pos"), F.col("ti").cast("int").alias("ti")))
+    found = hits.groupBy("query_id", "chunk_id", "n_terms").agg(F.count(F.lit(1)).alias("terms"), F.array_sort(F.flatten(F.collect_list(places))).alias("hits"))
+    return found.where(F.col("terms") == F.col("n_terms")).select("query_id", "chunk_id", cover_density(F.col("hits"), F.col("n_terms")).alias("rank"))
+
+
+def block_topk(blocks: DataFrame, asked: DataFrame, k: int, within: DataFrame | None = None, first: int = 4) -> DataFrame:
+    """query_id, chunk_id, rank, krank, as ``keyword_topk`` of all postings, but from few of their blocks.
+
+    Slots without one of the terms are never opened. The ``first`` slots of the highest bounds give each query
+    a k-th best rank; of the others only those are opened whose bound may reach it."""
+    bounds = block_bounds(blocks, asked)
+    placed = bounds.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "slot")))
+    one = block_ranks(blocks, asked, placed.where(F.col("place") <= first), within)
+    last = per_query(one, k, F.round("rank", 9).desc(), F.col("chunk_id")).where(F.col("rn") == k).select("query_id", F.round("rank", 9).alias("last"))
+    rest = placed.where(F.col("place") > first).join(last, "query_id", "left").where(F.col("bound") >= F.coalesce("last", F.lit(0.0)))
+    return per_query(one.unionByName(block_ranks(blocks, asked, rest, within)), k, F.round("rank", 9).desc(), F.col("chunk_id"), rank="krank")
+
+
+def area_documents(docs: DataFrame, areas: DataFrame, path: str = "path_norm") -> DataFrame:
+    """query_id, doc_id of the documents whose path starts with an area's prefix (areas: query_id, prefix).
+
+    An equality join: a path's beginnings of those lengths that prefixes have, which are few, meet the prefixes."""
+    given = areas.select("query_id", F.lower(F.replace(F.coalesce("prefix", F.lit("")), F.lit("\\"), F.lit("/"))).alias("start"))
+    lengths = sorted(r["n"] for r in given.select(F.length("start").alias("n")).distinct().collect())
+    starts = docs.select("doc_id", F.col(path).alias("p"), F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")).alias("n")).where(F.length("p") >= F.col("n"))
+    return starts.select("doc_id", F.substring("p", F.lit(1), F.col("n")).alias("start")).join(given, "start").select("query_id", "doc_id")
+
+
+def area_vector_topk(index: DataFrame, areas: DataFrame, queries: DataFrame, k: int, dim: int, vector: str = "embedding") -> DataFrame:
+    """query_id, chunk_id, similarity, vrank: nearest chunks inside each query's area (areas: query_id, doc_id).
+
+    An area is a list of the block join, so that a query meets the vectors of its own area only."""
+    left = index.join(areas.distinct(), "doc_id").select(F.col("query_id").alias("_list"), "chunk_id", F.col(vector).alias("_v"))
+    right = queries.select(F.col("query_id").alias("_list"), "query_id", F.col("vector").alias("_q"))
+    found = vectors.first(vectors.block_topk(left, right, k, "chunk_id", dim, 9), k, "chunk_id", 9)
+    return similar(found)
+
+
+def similar(found: DataFrame) -> DataFrame:
+    """Nearest vectors as the vector leg's rows; those that share nothing with the query go."""
+    return found.select("query_id", "chunk_id", (1 - F.nanvl("distance", F.lit(1.0))).alias("similarity"), F.col("rn").alias("vrank")).where(F.round("similarity", 9) > 0)
+
+
 # --- fusion and selection -------------------------------------------------------------------
 
 
@@ -233,11 +266,9 @@ def greedy(fused: DataFrame, o: Options) -> DataFrame:
     return rows.select("query_id", "row.*", (F.col("i") + 1).alias("rank"))
 
 
-def retrieve(chunks: DataFrame, sparse: DataFrame, index: DataFrame, queries: DataFrame, query_vectors: DataFrame, o: Options = Options()) -> DataFrame:
-    """Ranked hits of every query: query_id, rank, the chunk's columns, scores and a snippet."""
+def retrieve(chunks: DataFrame, vector: DataFrame, keyword: DataFrame, queries: DataFrame, o: Options = Options()) -> DataFrame:
+    """Ranked hits of every query from both legs: query_id, rank, the chunk's columns, scores and a snippet."""
     n = counted(queries)
-    vector = sparse_topk(sparse, query_vectors, o.candidates)
-    keyword = keyword_topk(index, query_terms(queries), o.candidates)
     best = greedy(fuse(vector, keyword, chunks, o, n), o)
     asked = queries.select("query_id", "query_text")
     return best.join(few(asked, n), "query_id").withColumn("snippet", tx.snippet(F.col("text"), F.col("query_text")))

@@ -57,7 +57,7 @@ def run_ingest(spark: SparkSession, store: Store, registry: Registry, config: cf
         raise PermissionError("ingest is not enabled for this project")
     now = lambda: datetime.now(timezone.utc).isoformat()
     keep = Filter(config.include_patterns, config.exclude_patterns, project.include_dirs or config.include_dirs, [*config.exclude_globs, *project.exclude_globs], config.never_index_ext, config.assets_template_only, config.assets_root_dir, config.assets_template_dir)
-    settings = Settings(config.chunk_size, config.md_chunk_size, config.code_chunk_size, config.chunk_overlap, config.min_chunk_chars, config.max_bytes, config.embedding_dim, keep)
+    settings = Settings(config.chunk_size, config.md_chunk_size, config.code_chunk_size, config.chunk_overlap, config.min_chunk_chars, config.max_bytes, config.embedding_dim, config.embedding_model, filter=keep)
     started = now()
     registry.save_state(project_id, last_ingest_status="running", last_ingest_started_at=started)
     registry.save_manifest(project_id, last_ingest_status="running", last_ingest_started_at=started, last_error=None)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions import paths
 from lodeframe.functions import text as tx
-from lodeframe.operators import assemble, embedding, lookup, retrieval, workitem
+from lodeframe.operators import assemble, embedding, lookup, retrieval, vectors, workitem
 from lodeframe.plans.config import AppConfig, as_bool
 from lodeframe.plans.projects import Project, Registry, integrity, integrity_counts
 from lodeframe.sources.store import Store
@@ -86,24 +86,36 @@ class Service:
 
     # --- retrieval --------------------------------------------------------------------------
 
-    def chunks(self, repo_id: str, path_prefix: str | None, doc_type: str | None, language: str | None) -> DataFrame:
-        docs = lookup.live(self.store.read("documents"))
-        docs = retrieval.scoped(docs, repo_id, path_prefix, doc_type, language)
-        shown = docs.select("doc_id", F.col("path").alias("source_path"), "path_norm")
-        return self.store.read("chunks").join(shown, "doc_id")
+    def documents(self, repo_id: str, path_prefix: str | None, doc_type: str | None, language: str | None, version: int | None = None) -> DataFrame:
+        return retrieval.scoped(lookup.live(self.store.read("documents", version)), repo_id, path_prefix, doc_type, language)
+
+    def chunks(self, repo_id: str, path_prefix: str | None, doc_type: str | None, language: str | None, version: int | None = None) -> DataFrame:
+        shown = self.documents(repo_id, path_prefix, doc_type, language, version).select("doc_id", F.col("path").alias("source_path"), "path_norm")
+        return self.store.read("chunks", version).join(shown, "doc_id")
+
+    def _asked(self, asked: DataFrame, vector: list[float] | None) -> DataFrame:
+        """query_id and vector of questions: as given, by the model of the stored vectors, or hashed."""
+        if vector is not None:
+            return asked.select("query_id", F.lit(vector).cast("array<double>").alias("vector"))
+        if self.config.embedding_model:
+            return embedding.model_embedding(asked, ["query_id"], self.config.embedding_model, "query_text").withColumnRenamed("embedding", "vector")
+        return embedding.hash_vectors(asked, ["query_id"], "query_text", self.config.embedding_dim)
+
+    def _postings(self, terms: DataFrame, version: int) -> DataFrame:
+        """The parts of the posting lists that hold some terms."""
+        return self.store.read("postings", version, parts=self.store.parts_of("postings", terms, "token"))
 
     def search_frame(self, text: str | None, vector: list[float] | None, o: retrieval.Options, **scope: Any) -> DataFrame:
-        chunks = self.chunks(**scope)
-        within = chunks.select("chunk_id")
+        version = self.store.version()
+        chunks = self.chunks(**scope, version=version)
+        within = self.documents(**scope, version=version).select("doc_id")
         asked = self.spark.createDataFrame([(0, text or "")], "query_id bigint, query_text string")
-        if vector is None:
-            wanted = embedding.hash_embedding(asked, ["query_id"], "query_text", self.config.embedding_dim)
-        else:
-            norm = sum(x * x for x in vector) ** 0.5 or 1.0
-            wanted = self.spark.createDataFrame([(0, i, x / norm) for i, x in enumerate(vector) if x] or [(0, -1, 0.0)], "query_id bigint, bucket int, weight double")
-        sparse = self.store.read("chunk_embeddings").join(within, "chunk_id", "left_semi")
-        index = self.store.read("postings").join(within, "chunk_id", "left_semi")
-        return retrieval.retrieve(chunks, sparse, index, asked, wanted, o).orderBy("rank")
+        wanted = self._asked(asked, vector).select("query_id", F.col("vector").alias("query"))
+        stored = self.store.read("chunk_embeddings", version).join(within, "doc_id", "left_semi")
+        found = vectors.exact_topk(stored, wanted, o.candidates, "chunk_id", "embedding", self.config.embedding_dim, digits=9)
+        terms = retrieval.query_terms(asked)
+        keyword = retrieval.block_topk(self._postings(terms, version), terms, o.candidates, within)
+        return retrieval.retrieve(chunks, retrieval.similar(found), keyword, asked, o).orderBy("rank")
 
     def context(self, args: dict[str, Any], cached: bool = True) -> dict[str, Any]:
         """Ranked hits and symbols assembled into files, entry points and a text."""
@@ -295,14 +307,13 @@ class Service:
         catalog = mine.join(lookup.live(docs).select("doc_id", F.col("path").alias("source_path")), "doc_id").select("name", "kind", "namespace", "line_start", "line_end", "signature", "language", "source_path")
         asked = self.spark.createDataFrame([(i, " ".join(ks[:3]), p) for i, p, ks in areas], "query_id bigint, query_text string, prefix string")
         chunks = self.chunks(project_id, None, None, None)
-        within = F.broadcast(asked.select("query_id", F.lower(F.replace("prefix", F.lit("\\"), F.lit("/"))).alias("prefix")))
+        # both legs, their normaliser and their top k are those of each area by itself
+        within = retrieval.area_documents(self.documents(project_id, None, None, None), asked)
         o = retrieval.Options(top_k=12, max_chunks_per_doc=3, min_score=self.config.min_score)
-        sparse, index = self.store.read("chunk_embeddings"), self.store.read("postings")
-        n = len(areas)
-        vectors = retrieval.sparse_topk(sparse.join(chunks.select("chunk_id", "path_norm"), "chunk_id"), embedding.hash_embedding(asked, ["query_id"], "query_text", self.config.embedding_dim), 100 * o.candidates)
-        keyword = retrieval.keyword_topk(index, retrieval.query_terms(asked), 100 * o.candidates)
-        fused = retrieval.fuse(vectors, keyword, chunks, o, n).join(within, "query_id").where(F.startswith("path_norm", F.col("prefix")))
-        hits = retrieval.greedy(fused, o).withColumn("snippet", tx.snippet(F.col("text")))
+        vector = retrieval.area_vector_topk(self.store.read("chunk_embeddings"), within, self._asked(asked, None), o.candidates, self.config.embedding_dim)
+        terms = retrieval.query_terms(asked)
+        keyword = retrieval.block_topk(self._postings(terms, self.store.version()), terms, o.candidates, within)
+        hits = retrieval.retrieve(chunks, vector, keyword, asked, o).withColumn("snippet", tx.snippet(F.col("text")))
         found = catalog.join(hits.select("query_id", "source_path").distinct(), "source_path")
         core = assemble.core_files(assemble.file_groups(hits, found, asked)).cache()
         best = [r.asDict(recursive=True) for r in workitem.top_files(core, top).collect()]

@@ -118,9 +118,9 @@ HITS = f"{BEFORE}, {GREEDY}"
 def legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """chunks, queries, vector leg, keyword leg."""
     parts, asked = chunks(spark, sf_dir), queries(spark, sf_dir)
-    vectors = embedding.hash_embedding(parts, ["chunk_id"])
-    wanted = embedding.hash_embedding(asked, ["query_id"], "query_text")
-    vector = retrieval.sparse_topk(vectors, wanted, K)
+    vectors = embedding.hash_vectors(parts, ["chunk_id"])
+    wanted = embedding.hash_vectors(asked, ["query_id"], "query_text")
+    vector = retrieval.sparse_topk(vectors, wanted, K, embedding.DIM)
     keyword = retrieval.keyword_topk(retrieval.postings(parts), retrieval.query_terms(asked), K)
     return parts, asked, vector, keyword
 

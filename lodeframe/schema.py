@@ -24,8 +24,16 @@ CHUNKS = _struct(
     ("line_start", _I, False), ("line_end", _I, False), ("section_path", _S, True), ("text", _S, False), ("text_hash", _S, False),
     ("token_count", _I, True), ("quality_flags", _struct(("header", _B, True)), False), ("is_header", _B, False),
 )
-EMBEDDINGS = _struct(("chunk_id", _S, False), ("model_id", _S, False), ("dim", _I, False), ("bucket", _I, False), ("weight", _D, False))
-POSTINGS = _struct(("chunk_id", _S, False), ("token", _S, False), ("pos", _I, False))
+EMBEDDINGS = _struct(
+    ("doc_id", _S, False), ("chunk_id", _S, False), ("model_id", _S, False), ("dim", _I, False), ("list", _I, False), ("embedding", T.ArrayType(T.FloatType()), False),
+)
+#: Centres of the inverted lists that vectors are stored by.
+VECTOR_LISTS = _struct(("model_id", _S, False), ("list", _I, False), ("centre", T.ArrayType(_D), False))
+#: A token's block: its chunks whose documents fall into one slot, their number and the most places in one of them.
+POSTINGS = _struct(
+    ("slot", _I, False), ("token", _S, False), ("n", _I, False), ("most", _I, False),
+    ("entries", T.ArrayType(_struct(("chunk_id", _S, True), ("doc_id", _S, True), ("pos", T.ArrayType(_I), True))), False),
+)
 SYMBOLS = _struct(
     ("symbol_id", _S, False), ("doc_id", _S, False), ("repo_id", _S, False), ("name", _S, False), ("name_lower", _S, False), ("kind", _S, False),
     ("namespace", _S, True), ("line_start", _I, False), ("line_end", _I, True), ("signature", _S, True), ("language", _S, True),
@@ -40,6 +48,7 @@ TABLES = {
     "documents": DOCUMENTS,
     "chunks": CHUNKS,
     "chunk_embeddings": EMBEDDINGS,
+    "vector_lists": VECTOR_LISTS,
     "postings": POSTINGS,
     "symbols": SYMBOLS,
     "symbol_refs": SYMBOL_REFS,
