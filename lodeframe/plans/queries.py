@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions import paths
 from lodeframe.functions import text as tx
-from lodeframe.operators import assemble, chunking, embedding, lookup, merge, retrieval, symbols, workitem
+from lodeframe.operators import assemble, chunking, embedding, lookup, merge, retrieval, symbols, vectors, workitem
 from lodeframe.plans import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -251,6 +251,31 @@ def keyword_cover_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword.select("query_id", "chunk_id", F.round("rank", 6).alias("rank"), "krank")
 
 
+# R3 P9 from blocks of posting lists
+@query(f"{v.BEFORE} SELECT query_id, chunk_id, round(rank, 6) AS rank, CAST(krank AS INTEGER) AS krank FROM keyword")
+def keyword_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = retrieval.posting_blocks(v.chunks(spark, sf_dir), v.SLOTS)
+    keyword = retrieval.block_topk(blocks, retrieval.query_terms(v.queries(spark, sf_dir)), v.K)
+    return keyword.select("query_id", "chunk_id", F.round("rank", 6).alias("rank"), "krank")
+
+
+# R2 S8: approximate, so that tests compare it with vector_topk
+@query()
+def vector_probe_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors among those of the inverted lists nearest to each question."""
+    rows = v.table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    centres = vectors.fit_lists(rows, lists=v.LISTS)
+    found = vectors.probe_topk(vectors.assign(rows, centres), asked, centres, 10, v.PROBES)
+    return found.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rn")
+
+
+# N1: areas as an equality join of path beginnings, both legs inside each
+@query(f"{v.AREA_HITS} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM best")
+def area_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.area_hits(spark, sf_dir).select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
+
+
 # R1 R2 J1 over sparse vectors
 @query(f"{v.BEFORE} SELECT query_id, chunk_id, round(similarity, 6) AS similarity, CAST(vrank AS INTEGER) AS vrank FROM vector")
 def sparse_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

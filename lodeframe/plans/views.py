@@ -13,6 +13,10 @@ OPTIONS = retrieval.Options()
 EVERY, N_TERMS = 50, 4
 
 
+#: Slots of posting blocks in the registered queries.
+SLOTS = 64
+#: Inverted lists of the registered query over vectors, and lists that a question reads.
+LISTS, PROBES = 32, 24
 #: Bytes up to which a table is dealt to all cores: one row group is one task, however many cores there are.
 SPREAD_BYTES = 256 << 20
 
@@ -137,6 +141,36 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.join(retrieval.few(asked, retrieval.counted(asked)), "query_id").withColumn("snippet", tx.snippet(F.col("text"), F.col("query_text"))).withColumnRenamed("path", "source_path")
 
 
+# --- areas ----------------------------------------------------------------------------------
+
+#: Every folder of the corpus is an area, and so is all of it; its question is the first words of its least document.
+AREAS = f"""firsts AS (SELECT lang || '/' || source || '/' AS prefix, min(doc_id) AS query_id FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1 UNION ALL SELECT '', -1),
+queries AS (SELECT query_id, lower(prefix) AS prefix, array_to_string(list_slice({FTS.format("text")}, 1, {N_TERMS}), ' ') AS query_text FROM firsts JOIN documents ON doc_id = greatest(query_id, (SELECT min(doc_id) FROM documents))),
+scope AS (SELECT query_id, chunk_id FROM named JOIN queries ON starts_with(lower(path), prefix))"""
+AREA_LEGS = LEGS.replace("JOIN asked a USING (bucket) GROUP BY ALL", "JOIN asked a USING (bucket) JOIN scope USING (query_id, chunk_id) GROUP BY ALL").replace("FROM postings JOIN numbered USING (token)", "FROM postings JOIN numbered USING (token) JOIN scope USING (query_id, chunk_id)")
+AREA_HITS = f"WITH RECURSIVE {CORPUS}, {CHUNKS}, {AREAS}, {AREA_LEGS}, {GREEDY}"
+
+
+def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, prefix, query_text of every area."""
+    docs = table(spark, sf_dir, "documents")
+    prefix = F.concat("lang", F.lit("/"), "source", F.lit("/"))
+    firsts = docs.where("lang IS NOT NULL AND source IS NOT NULL").groupBy(prefix.alias("prefix")).agg(F.min("doc_id").alias("query_id"))
+    whole = docs.agg(F.lit("").alias("prefix"), F.lit(-1).cast("bigint").alias("query_id"), F.min("doc_id").alias("doc_id"))
+    named = firsts.select("prefix", "query_id", F.col("query_id").alias("doc_id")).unionByName(whole)
+    return named.join(docs.select("doc_id", "text"), "doc_id").select("query_id", "prefix", F.array_join(F.slice(tx.fts_words(F.col("text")), 1, N_TERMS), " ").alias("query_text"))
+
+
+def area_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked hits of every area's question inside the area: both legs, their normaliser and their top k are its own."""
+    asked, docs, parts = areas(spark, sf_dir), corpus(spark, sf_dir), chunks(spark, sf_dir)
+    within = retrieval.area_documents(docs, asked)
+    vectors = embedding.hash_vectors(parts, ["doc_id", "chunk_id"])
+    vector = retrieval.area_vector_topk(vectors, within, embedding.hash_vectors(asked, ["query_id"], "query_text"), K, embedding.DIM, "vector")
+    keyword = retrieval.block_topk(retrieval.posting_blocks(parts, SLOTS), retrieval.query_terms(asked), K, within)
+    return retrieval.greedy(retrieval.fuse(vector, keyword, parts, OPTIONS, retrieval.counted(asked)), OPTIONS)
+
+
 # --- code -----------------------------------------------------------------------------------
 
 CODE = f"""modules AS (SELECT p_partkey AS doc_id, 'code' AS repo_id,
