@@ -6,10 +6,13 @@ accumulator are folds over a document's own lines. Offsets are code points of th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.functions import text as tx
+from lodeframe.functions.arrays import bound, running
 
 CHUNK = "array<struct<char_start:int,char_end:int,section_path:string,body:string>>"
 
@@ -34,12 +37,12 @@ def _chunk(start: Column, end: Column, section: Column, body: Column) -> Column:
     return F.struct(start.cast("int").alias("char_start"), end.cast("int").alias("char_end"), section.alias("section_path"), body.alias("body"))
 
 
-def long_enough(chunks: Column, least: int) -> Column:
+def long_enough(chunks: Column, least: int, body: Callable[[Column], Column] = lambda x: x["body"]) -> Column:
     """Non-blank chunks of ``least`` characters or more; if there is none, all non-blank ones."""
-    solid = F.filter(chunks, lambda x: ~tx.is_blank(x["body"]))
+    solid = F.filter(chunks, lambda x: ~tx.is_blank(body(x)))
     if least <= 0:
         return solid
-    kept = F.filter(solid, lambda x: F.length(tx.stripped(x["body"])) >= least)
+    kept = F.filter(solid, lambda x: F.length(tx.stripped(body(x))) >= least)
     return F.when(F.size(kept) > 0, kept).otherwise(solid)
 
 
@@ -58,30 +61,33 @@ def fixed_windows(text: Column, size: int, overlap: int, base: Column | None = N
 
 
 def sections(text: Column, own_lines: Column) -> Column:
-    """Parts between headings: array<struct<start, end, path>>; a path joins the open headings."""
-    stack = "array<struct<level:int,title:string>>"
-    out = "array<struct<start:int,path:string>>"
+    """Parts between headings: array<struct<start, first, path>>; a path joins the open headings, first is a line's number."""
+    kind = "struct<start:int,pos:int,line:int,head:boolean,stack:array<struct<level:int,title:string>>>"
 
     def step(s: Column, line: Column) -> Column:
         level = F.length(F.regexp_extract(line, HEADING, 1))
         head = F.struct(level.cast("int").alias("level"), tx.stripped(F.regexp_extract(line, HEADING, 2)).alias("title"))
-        open_ = F.when(level > 0, F.concat(F.filter(s["stack"], lambda h: h["level"] < level), F.array(head)).cast(stack)).otherwise(s["stack"])
-        path = F.array_join(F.transform(open_, lambda h: h["title"]), " > ")
-        new = (level > 0) | (F.size(s["out"]) == 0)
-        return F.struct(
-            (s["pos"] + F.length(line)).cast("int").alias("pos"),
-            open_.alias("stack"),
-            F.when(new, F.concat(s["out"], F.array(F.struct(s["pos"].alias("start"), path.alias("path"))).cast(out))).otherwise(s["out"]).alias("out"),
-        )
+        open_ = F.when(level > 0, F.concat(F.filter(s["stack"], lambda h: h["level"] < level), F.array(head))).otherwise(s["stack"])
+        return F.struct(s["pos"].alias("start"), (s["pos"] + F.length(line)).cast("int").alias("pos"), (s["line"] + 1).alias("line"), (level > 0).alias("head"), open_.alias("stack"))
+
+    zero = F.lit(0)
+    begin = F.struct(zero.alias("start"), zero.alias("pos"), F.lit(-1).alias("line"), F.lit(False).alias("head"), F.array().cast("array<struct<level:int,title:string>>").alias("stack"))
+    opened = F.filter(running(own_lines, begin, step, kind), lambda s, i: s["head"] | (i == 0))
+    return F.transform(opened, lambda s: F.struct(s["start"].alias("start"), s["line"].alias("first"), F.array_join(F.transform(s["stack"], lambda h: h["title"]), " > ").alias("path")))
 
-    begin = F.struct(F.lit(0).alias("pos"), F.array().cast(stack).alias("stack"), F.array().cast(out).alias("out"))
-    return F.aggregate(own_lines, begin, step, lambda s: s["out"])
 
+def _joined(own_lines: Column, first: Column, end: Column) -> Column:
+    """Lines as a text. A text's substring is looked for from its start, which in long texts costs far more."""
+    return F.array_join(F.slice(own_lines, first + 1, end - first), "")
 
-def markdown_chunks(text: Column, parts: Column, size: int, overlap: int, least: int) -> Column:
+
+def markdown_chunks(text: Column, own_lines: Column, parts: Column, size: int, overlap: int, least: int) -> Column:
     def cut(p: Column, i: Column) -> Column:
         end = F.coalesce(F.get(parts, i + 1)["start"], F.length(text))
-        body = F.substring(text, p["start"] + 1, end - p["start"])
+        made = _joined(own_lines, p["first"], F.coalesce(F.get(parts, i + 1)["first"], F.size(own_lines)))
+        return bound(made, lambda body: chunks_of(p, end, body))
+
+    def chunks_of(p: Column, end: Column, body: Column) -> Column:
         whole = F.array(_chunk(p["start"], end, p["path"], body)).cast(CHUNK)
         return F.when(F.length(body) <= size, whole).otherwise(long_enough(fixed_windows(body, size, overlap, p["start"], p["path"]), least))
 
@@ -89,41 +95,53 @@ def markdown_chunks(text: Column, parts: Column, size: int, overlap: int, least:
 
 
 def code_spans(own_lines: Column, size: int, least: int) -> Column:
-    """Runs of lines: array<struct<start, end>>."""
-    out = "array<struct<start:int,end:int>>"
+    """Runs of lines: array<struct<start, end, first, last>>, the latter two lines' numbers. A line may end the run
+    before it, and its own."""
+    span = "array<struct<start:int,end:int,first:int,last:int>>"
+    kind = f"struct<pos:int,line:int,start:int,first:int,held:int,ended:{span}>"
+
+    def one(start: Column, end: Column, first: Column, last: Column) -> Column:
+        return F.array(F.struct(start.alias("start"), end.alias("end"), first.alias("first"), last.alias("last"))).cast(span)
 
     def step(s: Column, line: Column) -> Column:
         n = F.length(line)
         cut = line.rlike(BOUNDARY) & (s["held"] >= least)
-        start = F.when(cut | (s["held"] == 0), s["pos"]).otherwise(s["start"])
+        start, first = (F.when(cut | (s["held"] == 0), s[now]).otherwise(s[kept]) for now, kept in (("pos", "start"), ("line", "first")))
         held = F.when(cut, n).otherwise(s["held"] + n)
         full = ~cut & (held >= size)
-        after = F.when(cut & (s["held"] > 0), F.concat(s["out"], F.array(F.struct(s["start"].alias("start"), s["pos"].alias("end"))).cast(out))).otherwise(s["out"])
-        done = F.when(full, F.concat(after, F.array(F.struct(start.cast("int").alias("start"), (s["pos"] + n).cast("int").alias("end"))).cast(out))).otherwise(after)
-        return F.struct((s["pos"] + n).cast("int").alias("pos"), start.cast("int").alias("start"), F.when(full, 0).otherwise(held).cast("int").alias("held"), done.alias("out"))
-
-    def finish(s: Column) -> Column:
-        return F.when(s["held"] > 0, F.concat(s["out"], F.array(F.struct(s["start"].alias("start"), s["pos"].alias("end"))).cast(out))).otherwise(s["out"])
+        before = F.when(cut & (s["held"] > 0), one(s["start"], s["pos"], s["first"], s["line"])).otherwise(F.array().cast(span))
+        ended = F.when(full, F.concat(before, one(start, s["pos"] + n, first, s["line"] + 1))).otherwise(before)
+        return F.struct((s["pos"] + n).alias("pos"), (s["line"] + 1).alias("line"), start.alias("start"), first.alias("first"), F.when(full, 0).otherwise(held).alias("held"), ended.alias("ended"))
 
     zero = F.lit(0)
-    return F.aggregate(own_lines, F.struct(zero.alias("pos"), zero.alias("start"), zero.alias("held"), F.array().cast(out).alias("out")), step, finish)
+    begin = F.struct(zero.alias("pos"), zero.alias("line"), zero.alias("start"), zero.alias("first"), zero.alias("held"), F.array().cast(span).alias("ended"))
+
+    def finish(states: Column) -> Column:
+        last = F.element_at(states, -1)
+        rest = F.when(F.size(states) == 0, F.array().cast(span)).when(last["held"] > 0, one(last["start"], last["pos"], last["first"], last["line"])).otherwise(F.array().cast(span))
+        return F.concat(F.flatten(F.transform(states, lambda s: s["ended"])), rest)
+
+    return bound(running(own_lines, begin, step, kind), finish)
 
 
-def _finished(docs: DataFrame, keys: list[str], chunks: str, text: str) -> DataFrame:
-    """Explode chunk arrays to rows with lines and trimmed texts.
+def _finished(docs: DataFrame, keys: list[str], chunks: str, text: str, least: int) -> DataFrame:
+    """Explode chunk arrays, without the short ones, to rows with lines and trimmed texts.
 
-    Lines are counted between the starts of a document's chunks, which ascend, and summed after the
-    explode, so that no chunk reads the text before it or carries the whole text. The outer form: of an inner one Spark infers a filter on the array's size, pushes it to the scan and
+    Lines are counted from chunk to chunk, in the body of the one before where it reaches the next one, so that the whole text is
+    not read for each. The outer explode: of an inner one Spark infers a filter on the array's size, pushes it to the scan and
     so evaluates all that made the array once more, inside lambdas even once per element."""
     cs = F.col(chunks)
 
     def gap(c: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(cs, i - 1)["char_start"]).otherwise(0)
-        return tx.newlines(F.substring(F.col(text), before + 1, c["char_start"] - before))
-
-    counted = docs.select(*keys, chunks, F.transform(cs, gap).alias("_gaps"))
-    rows = counted.select(*keys, "_gaps", F.posexplode_outer(chunks).alias("chunk_index", "c")).where("chunk_index IS NOT NULL")
-    first = F.aggregate(F.slice("_gaps", F.lit(1), F.col("chunk_index") + 1), F.lit(1), lambda a, x: a + x)
+        prev = F.get(cs, i - 1)
+        between = tx.newlines(prev["body"]) + tx.newlines(F.substring(F.col(text), prev["char_end"] + 1, c["char_start"] - prev["char_end"]))
+        shared = tx.newlines(F.when(c["char_start"] == prev["char_end"], prev["body"]).otherwise(F.substring(prev["body"], F.lit(1), c["char_start"] - prev["char_start"])))
+        return F.when(i == 0, tx.newlines(F.substring(F.col(text), F.lit(1), c["char_start"]))).when(c["char_start"] <= prev["char_end"], shared).otherwise(between)
+
+    lined = docs.select(*keys, F.arrays_zip(cs.alias("c"), running(F.transform(cs, gap), F.lit(1), lambda a, x: a + x, "int").alias("line")).alias("_both"))
+    kept = lined.select(*keys, long_enough(F.col("_both"), least, lambda x: x["c"]["body"]).alias("_kept"))
+    rows = kept.select(*keys, F.posexplode_outer("_kept").alias("chunk_index", "_one")).where("chunk_index IS NOT NULL").select(*keys, "chunk_index", "_one.c", F.col("_one.line").alias("_first"))
+    first = F.col("_first")
     return rows.select(
         *keys,
         "chunk_index",
@@ -139,22 +157,21 @@ def _finished(docs: DataFrame, keys: list[str], chunks: str, text: str) -> DataF
 
 def chunk_fixed(docs: DataFrame, keys: list[str], size: int = 1200, overlap: int = 300, least: int = 200, text: str = "text") -> DataFrame:
     made = docs.select(*keys, text, fixed_windows(F.col(text), size, overlap).alias("_all"))
-    return _finished(made.select(*keys, text, long_enough(F.col("_all"), least).alias("_chunks")), keys, "_chunks", text)
+    return _finished(made, keys, "_all", text, least)
 
 
 def chunk_markdown(docs: DataFrame, keys: list[str], size: int = 1600, overlap: int = 300, least: int = 200, text: str = "text") -> DataFrame:
-    split = docs.select(*keys, text, lines(F.col(text)).alias("_lines"))
-    parts = split.select(*keys, text, sections(F.col(text), F.col("_lines")).alias("_parts"))
-    made = parts.select(*keys, text, markdown_chunks(F.col(text), F.col("_parts"), size, overlap, least).alias("_all"))
-    return _finished(made.select(*keys, text, long_enough(F.col("_all"), least).alias("_chunks")), keys, "_chunks", text)
+    t = F.col(text)
+    made = bound(lines(t), lambda own: bound(sections(t, own), lambda parts: markdown_chunks(t, own, parts, size, overlap, least)))
+    return _finished(docs.select(*keys, text, made.alias("_all")), keys, "_all", text, least)
 
 
 def chunk_code(docs: DataFrame, keys: list[str], size: int = 2500, least: int = 200, text: str = "text") -> DataFrame:
-    split = docs.select(*keys, text, lines(F.col(text)).alias("_lines"))
-    spans = split.select(*keys, text, code_spans(F.col("_lines"), size, least).alias("_spans"))
-    body = lambda s: _chunk(s["start"], s["end"], F.lit(""), F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"]))
-    made = spans.select(*keys, text, F.transform("_spans", body).cast(CHUNK).alias("_all"))
-    return _finished(made.select(*keys, text, long_enough(F.col("_all"), least).alias("_chunks")), keys, "_chunks", text)
+    def chunk(s: Column, own: Column) -> Column:
+        return _chunk(s["start"], s["end"], F.lit(""), _joined(own, s["first"], s["last"]))
+
+    made = bound(lines(F.col(text)), lambda own: F.transform(code_spans(own, size, least), lambda s: chunk(s, own)).cast(CHUNK))
+    return _finished(docs.select(*keys, text, made.alias("_all")), keys, "_all", text, least)
 
 
 def chunk_documents(docs: DataFrame, keys: list[str], sizes: dict[str, int], overlap: int, least: int, headers: DataFrame | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.functions import text as tx
+from lodeframe.functions.arrays import bound, running
 from lodeframe.operators.chunking import LINE
 
 SYMBOL = "array<struct<name:string,kind:string,namespace:string,line_start:int>>"
@@ -66,16 +67,15 @@ def _found(cut: str, form: Form, namespace: Column) -> Column:
     c = F.col(cut)
     rows = F.arrays_zip(c["m"].alias("m"), c["n"].alias("n"), c["k"].alias("k"), c["g"].alias("g"))
 
-    def step(s: Column, x: Column) -> Column:
-        line = s["line"] + _newlines(x["g"])
+    # the line behind each match: line ends of the gaps and matches so far
+    after = running(rows, F.lit(1), lambda line, x: line + _newlines(x["g"]) + F.coalesce(_newlines(x["m"]), F.lit(0)), "int")
+
+    def one(x: Column) -> Column:
         kind = F.lower(x["k"]) if form.kind_from else F.when(F.length(x["k"]) > 0, "method").otherwise(form.kind) if form is FORMS[INDENTED] else F.lit(form.kind)
-        one = F.struct(x["n"].alias("name"), kind.alias("kind"), (namespace if form.namespaced else F.lit(None).cast("string")).alias("namespace"), line.cast("int").alias("line_start"))
-        return F.struct(
-            (line + F.coalesce(_newlines(x["m"]), F.lit(0))).cast("int").alias("line"),
-            F.when(x["m"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(one).cast(SYMBOL))).alias("out"),
-        )
+        return F.struct(x["n"].alias("name"), kind.alias("kind"), (namespace if form.namespaced else F.lit(None).cast("string")).alias("namespace"), (x["after"] - _newlines(x["m"])).cast("int").alias("line_start"))
 
-    return F.aggregate(rows, F.struct(F.lit(1).alias("line"), F.array().cast(SYMBOL).alias("out")), step, lambda s: s["out"])
+    both = F.arrays_zip(c["m"].alias("m"), c["n"].alias("n"), c["k"].alias("k"), F.slice(after, 1, F.size(c["m"])).alias("after"))
+    return F.transform(both, one).cast(SYMBOL)
 
 
 def extract_symbols(docs: DataFrame, keys: list[str], text: str = "text", language: str = "language") -> DataFrame:
@@ -94,12 +94,13 @@ def extract_symbols(docs: DataFrame, keys: list[str], text: str = "text", langua
     wide = docs.select(*keys, language, F.nullif(F.regexp_extract(t, NAMESPACE, 1), F.lit("")).alias("_ns"), *cut)
     each = [F.when(F.col(f"_f{i}").isNotNull(), _found(f"_f{i}", f, F.col("_ns"))).otherwise(F.array().cast(SYMBOL)) for i, f in enumerate(FORMS)]
     listed = wide.select(*keys, language, F.concat(*each).alias("_all"))
+    # of equal names, kinds and lines the first one counts: neighbours once they are sorted
     key = lambda s: F.struct(s["name"].alias("name"), s["kind"].alias("kind"), s["line_start"].alias("line_start"))
-    keyed = listed.select(*keys, language, "_all", F.transform("_all", key).alias("_keys"))
-    once = keyed.select(*keys, language, F.filter("_all", lambda s, i: F.array_position(F.col("_keys"), key(s)) == i + 1).alias("_once"))
+    order = F.array_sort(F.transform("_all", lambda s, i: F.struct(key(s).alias("key"), i.alias("i"), s["namespace"].alias("namespace"))))
+    once = bound(order, lambda o: F.filter(o, lambda s, i: (i == 0) | (F.get(o, i - 1)["key"] != s["key"])))
     # outer: no filter on the array's size is inferred and pushed to the scan
-    rows = once.select(*keys, F.col(language).alias("language"), F.explode_outer("_once").alias("s")).where("s IS NOT NULL")
-    return rows.select(*keys, "s.name", "s.kind", "s.namespace", "s.line_start", F.lit(None).cast("int").alias("line_end"), F.lit(None).cast("string").alias("signature"), "language")
+    rows = listed.select(*keys, language, F.explode_outer(once).alias("s")).where("s IS NOT NULL").select(*keys, F.col(language).alias("language"), "s.key", "s.namespace")
+    return rows.select(*keys, "key.name", "key.kind", "namespace", "key.line_start", F.lit(None).cast("int").alias("line_end"), F.lit(None).cast("string").alias("signature"), "language")
 
 
 def extract_call_sites(docs: DataFrame, keys: list[str], text: str = "text", language: str = "language") -> DataFrame:
@@ -108,9 +109,9 @@ def extract_call_sites(docs: DataFrame, keys: list[str], text: str = "text", lan
     skip = F.array(*map(F.lit, SKIP_ALL))
     for name, more in SKIP.items():
         skip = F.when(lang == name, F.array(*map(F.lit, sorted({*more, *SKIP_ALL})))).otherwise(skip)
-    rows = docs.where(F.contains(text, F.lit("("))).select(*keys, F.col(language).alias("language"), skip.alias("_skip"), F.posexplode(F.regexp_extract_all(text, F.lit(LINE), F.lit(0))).alias("_i", "_line"))
-    names = rows.select(*keys, "language", "_skip", (F.col("_i") + 1).alias("line"), F.explode(F.array_distinct(F.regexp_extract_all("_line", F.lit(CALL), F.lit(1)))).alias("callee_name"))
-    return names.where(~F.array_contains("_skip", F.lower("callee_name"))).select(*keys, "callee_name", "line", "language")
+    rows = docs.where(F.contains(text, F.lit("("))).select(*keys, F.col(language).alias("language"), skip.alias("_skip"), F.posexplode_outer(F.regexp_extract_all(text, F.lit(LINE), F.lit(0))).alias("_i", "_line"))
+    names = rows.where(F.contains("_line", F.lit("("))).select(*keys, "language", "_skip", (F.col("_i") + 1).alias("line"), F.explode_outer(F.array_distinct(F.regexp_extract_all("_line", F.lit(CALL), F.lit(1)))).alias("callee_name"))
+    return names.where(F.col("callee_name").isNotNull() & ~F.array_contains("_skip", F.lower("callee_name"))).select(*keys, "callee_name", "line", "language")
 
 
 # --- code headers ---------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodeframe import schema
 from lodeframe.functions import text as tx
-from lodeframe.operators import chunking, embedding, merge, retrieval, symbols, vectors
+from lodeframe.operators import chunking, declarations, embedding, merge, retrieval, symbols, vectors
 from lodeframe.sources import files
 from lodeframe.sources.store import Change, Store
 
@@ -73,7 +73,7 @@ def children(docs: DataFrame, s: Settings) -> dict[str, DataFrame]:
         tx.token_count(F.col("text")).alias("token_count"),
         F.struct(F.col("is_header").alias("header")).alias("quality_flags"),
     )
-    found = symbols.extract_symbols(code, keys).withColumn("name_lower", F.lower("name"))
+    found = declarations.extract_declarations(code, keys).withColumn("name_lower", F.lower("name"))
     found = found.withColumn("symbol_id", F.sha2(F.concat_ws(":", "doc_id", "kind", "name", F.col("line_start").cast("string")), 256))
     refs = symbols.extract_call_sites(code, keys).withColumnRenamed("doc_id", "caller_doc_id")
     refs = refs.withColumn("ref_id", F.sha2(F.concat_ws(":", "caller_doc_id", "callee_name", F.col("line").cast("string")), 256))

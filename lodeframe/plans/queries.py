@@ -145,6 +145,12 @@ def symbols_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.code_symbols(spark, sf_dir).select("doc_id", "name", "kind", "line_start", "language")
 
 
+# I13
+@query(f"WITH {v.CODE}, {v.DECLARATIONS} SELECT doc_id, name, kind, CAST(line_start AS INTEGER) AS line_start, CAST(line_end AS INTEGER) AS line_end, signature FROM declarations")
+def symbols_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.code_declarations(spark, sf_dir).select("doc_id", "name", "kind", "line_start", "line_end", "signature")
+
+
 # I6 I5
 @query(f"""WITH {v.CODE}, segs AS (SELECT *, list_filter(regexp_split_to_array(path, '[/_.\\-\\s]+'), lambda x: x <> '') AS toks, string_split(path, '/') AS ps FROM code)
 SELECT doc_id, 'FILE: ' || path || chr(10) || 'LANGUAGE: ' || language || chr(10) || 'PROJECT: ' || ps[1] || CASE WHEN len(ps) > 2 THEN chr(10) || 'SUBPROJECT: ' || ps[2] ELSE '' END || chr(10) ||

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.functions import text as tx
-from lodeframe.operators import chunking, embedding, retrieval, symbols
+from lodeframe.operators import chunking, declarations, embedding, retrieval, symbols
 
 SIZE, OVERLAP, LEAST = 1200, 300, 200
 OPTIONS = retrieval.Options()
@@ -206,6 +206,12 @@ SYMBOLS = """symbols AS (
   SELECT doc_id, path, language, cls AS name, 'class' AS kind, 1 AS line_start FROM code
   UNION ALL SELECT doc_id, path, language, fn, 'method', 2 FROM code WHERE language = 'python'
   UNION ALL SELECT doc_id, path, language, own, 'function', CASE language WHEN 'python' THEN 5 ELSE 4 END FROM code)"""
+#: The same with extents and first lines, and the methods that only nesting tells.
+DECLARATIONS = """declarations AS (
+  SELECT doc_id, path, language, cls AS name, 'class' AS kind, 1 AS line_start, 3 AS line_end, CASE language WHEN 'python' THEN 'class ' || cls || ':' ELSE 'export class ' || cls || ' {' END AS signature FROM code
+  UNION ALL SELECT doc_id, path, language, fn, 'method', 2, 3, 'def ' || fn || '(self):' FROM code WHERE language = 'python'
+  UNION ALL SELECT doc_id, path, language, 'run', 'method', 2, 2, 'run() { return fetch_rows(); }' FROM code WHERE language = 'typescript'
+  UNION ALL SELECT doc_id, path, language, own, 'function', CASE language WHEN 'python' THEN 5 ELSE 4 END, 6, CASE language WHEN 'python' THEN 'def ' || own || '(n):' ELSE 'export function ' || own || '(a) {' END FROM code)"""
 CALLS = """calls AS (
   SELECT doc_id, path, language, 'fetch_rows' AS callee_name, CASE language WHEN 'python' THEN 3 ELSE 2 END AS line FROM code
   UNION ALL SELECT doc_id, path, language, own, 3 FROM code WHERE language = 'python'
@@ -218,6 +224,10 @@ def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("name_lower", F.lower("name")).withColumn("symbol_id", F.concat_ws(":", F.col("doc_id").cast("string"), "name", F.col("line_start").cast("string")))
 
 
+def code_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return declarations.extract_declarations(code(spark, sf_dir), ["doc_id", "repo_id", "path"])
+
+
 def code_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = symbols.extract_call_sites(code(spark, sf_dir), ["doc_id", "repo_id", "path"])
     return found.withColumnRenamed("doc_id", "caller_doc_id")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lodeframe.functions import text as tx
-from lodeframe.operators import chunking
+from lodeframe.operators import chunking, symbols
 
 
 def one(spark, text, column):
@@ -99,3 +99,17 @@ def test_code_chunks_like_python(spark):
     for r in chunking.chunk_code(df, ["id"], 60, 20).collect():
         got.setdefault(r["id"], []).append((r["char_start"], r["char_end"]))
     assert all(sorted(got.get(i, [])) == code(t, 60, 20) for i, t in enumerate(texts))
+
+
+def test_very_long_files_take_their_length(spark):
+    """Headings, functions and chunks by the hundred thousand in one text: folds that copy their results would not end."""
+    n = 100_000
+    md = "".join(f"# h{i}\nx\n" for i in range(n))
+    code = "".join(f"def f{i}():\n    return {i}\n" for i in range(n))
+    df = spark.createDataFrame([(1, md, code, "python")], "id int, md string, code string, language string")
+    parts = chunking.chunk_markdown(df, ["id"], least=1, text="md").agg({"line_start": "max", "chunk_index": "max"}).first()
+    assert (parts["max(line_start)"], parts["max(chunk_index)"]) == (2 * n - 1, n - 1)
+    last = chunking.chunk_code(df, ["id"], 40, 10, "code").agg({"line_end": "max", "chunk_index": "max"}).first()
+    assert last["max(line_end)"] == 2 * n and last["max(chunk_index)"] > n / 2
+    found = symbols.extract_symbols(df, ["id"], "code").agg({"line_start": "max", "name": "count"}).first()
+    assert (found["max(line_start)"], found["count(name)"]) == (2 * n - 1, n)
