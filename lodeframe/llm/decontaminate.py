@@ -4,12 +4,14 @@ The automaton's letters are word numbers, not bytes, and it holds each item once
 blocks of half a window, each of which lies in every window around it. One scan of a document's word
 numbers finds all blocks; a found block grows to the longest run that document and item share, and runs
 of a window's length or more are hits (an item shorter than a window is a single block and must occur
-whole). So the automaton has about one node per benchmark word. Hits are mapped back to code point
-offsets of the original text.
+whole). A block that stands in more than HOT places, as in questions made from one template, is left out: windows
+around it have another block, or are in the automaton themselves, once for all items. So a found block meets
+at most HOT places, and the automaton has about one node per benchmark word (one per word of a window for those). Hits are
+mapped back to code point offsets of the original text.
 
 The scan is a map over the documents, without a shuffle. The benchmark's size is counted before it is
-collected and broadcast; beyond MAX_BYTES of text it is dealt to several automata, whose scans are
-united per document row (so many scans and one shuffle of the texts).
+collected and broadcast; beyond MAX_BYTES of text it is dealt to several automata, one after the other on the driver
+and in the tasks, whose scans are united per document row (so many scans and one shuffle of the texts).
 
 Null and empty texts have no words and are clean; an item without words has no window; repeated
 rows are judged row by row; an empty benchmark leaves every document clean; other columns of the
@@ -18,6 +20,7 @@ input are not looked at and pass through ``clean_documents``.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import uuid
@@ -32,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import settle, ship, table, tidy
 
 WINDOW = 10
+#: Places of a block that an occurrence is compared with at the most.
+HOT = 16
 #: Bytes of benchmark text in one automaton: some 5 million nodes, 500 MB in a worker, at the most.
 MAX_BYTES = 32 << 20
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")  # after A-Z are lower-cased
@@ -47,7 +52,9 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class Scanner:
-    """The automaton over items (id, text), and the items' word numbers that its blocks grow in."""
+    """The automaton over items (id, text), and the items' word numbers that its blocks grow in.
+
+    Its patterns have places (item, first word) to grow in, or, of whole windows and short items, the items alone."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], size: int = WINDOW) -> None:
         import ahocorasick
@@ -61,17 +68,30 @@ class Scanner:
             own = tuple(self.known.setdefault(w, len(self.known) + 1) for w in words(text))
             if own:
                 texts.setdefault(own, []).append(name)
-        block = (size + 1) // 2
         places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        whole: dict[tuple[int, ...], list[int]] = {}
+        block = (size + 1) // 2
         for own, names in texts.items():
             self.items.append(list(own))
             self.names.append(names)
-            for at in range(0, len(own) - block + 1, block) if len(own) >= size else (0,):
-                places.setdefault(own[at : at + block] if len(own) >= size else own, []).append((len(self.items) - 1, at))
+            if len(own) < size:
+                whole.setdefault(own, []).append(len(self.items) - 1)
+            else:
+                for at in range(0, len(own) - block + 1, block):
+                    places.setdefault(own[at : at + block], []).append((len(self.items) - 1, at))
+        hot = {b for b, found in places.items() if len(found) > HOT}
+        for item, own in enumerate(self.items if hot else []):
+            bad = [tuple(own[at : at + block]) in hot for at in range(0, len(own) - block + 1, block)] if len(own) >= size else []
+            if any(bad):
+                for at in range(len(own) - size + 1):
+                    inside = range(-(-at // block), (at + size - block) // block + 1)
+                    if all(bad[k] for k in inside):
+                        whole.setdefault(tuple(own[at : at + size]), []).append(item)
         self.tree = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for letters, found in places.items():
-            self.tree.add_word(letters, (len(letters), found))
-        if places:
+        for letters in (places.keys() - hot) | whole.keys():
+            self.tree.add_word(letters, (len(letters), places.get(letters, []) if letters not in hot else [], letters if letters in whole else None))
+        self.whole = whole
+        if len(self.tree):
             self.tree.make_automaton()
 
     def hits(self, own: list[bytes]) -> tuple[list[tuple[int, int]], list[str]]:
@@ -82,26 +102,31 @@ class Scanner:
         text = tuple([known.get(w, 0) for w in own])
         seen: dict[tuple[int, int], int] = {}  # how far an item's words have been compared, by item and shift
         found: list[tuple[int, int]] = []
-        names: set[str] = set()
-        for last, (length, places) in self.tree.iter(text):
+        items: set[int] = set()
+        met: set[tuple[int, ...]] = set()
+        for last, (length, places, letters) in self.tree.iter(text):
+            first = last + 1 - length
+            if letters is not None:
+                found.append((first, last + 1))
+                if letters not in met:
+                    met.add(letters)
+                    items.update(self.whole[letters])
             for item, at in places:
                 letters = self.items[item]
-                first = last + 1 - length
                 shift = first - at
                 if seen.get((item, shift), -1) > last:
                     continue
                 a, b = first, last + 1
-                if len(letters) >= self.size:
-                    while a > 0 and a > shift and letters[a - 1 - shift] == text[a - 1]:
-                        a -= 1
-                    stop = min(len(text), shift + len(letters))
-                    while b < stop and letters[b - shift] == text[b]:
-                        b += 1
-                    seen[item, shift] = b
-                    if b - a < self.size:
-                        continue
-                found.append((a, b))
-                names.update(self.names[item])
+                while a > 0 and a > shift and letters[a - 1 - shift] == text[a - 1]:
+                    a -= 1
+                stop = min(len(text), shift + len(letters))
+                while b < stop and letters[b - shift] == text[b]:
+                    b += 1
+                seen[item, shift] = b
+                if b - a >= self.size:
+                    found.append((a, b))
+                    items.add(item)
+        names = {n for i in items for n in self.names[i]}
         runs: list[list[int]] = []
         for a, b in sorted(found):
             if runs and a <= runs[-1][1]:
@@ -112,10 +137,11 @@ class Scanner:
 
 
 class Items(NamedTuple):
-    """Benchmark items (id, text) as the executors get them."""
+    """Benchmark items (id, text) as the executors get them, one of so many parts."""
 
     name: str
     rows: Broadcast
+    of: int
 
 
 def scanner(items: Items) -> Scanner:
@@ -156,32 +182,36 @@ def _scan(benchmark: Items, key: str):
     return scan
 
 
-def shards(benchmark: DataFrame, item: str, text: str) -> list[Items]:
-    """The benchmark's items, in as many parts as MAX_BYTES asks for: its size is counted first."""
+def shards(benchmark: DataFrame, item: str, text: str) -> Iterator[Items]:
+    """The benchmark's items, in as many parts as MAX_BYTES asks for: its size is counted first. A part comes to the
+    driver when it is asked for, and is given up with the next one."""
     size = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(1, math.ceil(size / MAX_BYTES))
-    found = []
+    context = benchmark.sparkSession.sparkContext
     for k in range(n):
         part = benchmark.where(F.pmod(F.xxhash64(item), F.lit(n)) == k) if n > 1 else benchmark
         rows = part.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(text).alias("t")).collect()
-        items = [(r["i"], r["t"].encode() if r["t"] is not None else None) for r in rows]
-        found.append(Items(uuid.uuid4().hex, benchmark.sparkSession.sparkContext.broadcast(items)))
-    return found
+        own = Items(uuid.uuid4().hex, context.broadcast([(r["i"], r["t"].encode() if r["t"] is not None else None) for r in rows]), n)
+        del rows
+        yield own
+        if n > 1:
+            own.rows.destroy()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document row: ``key``, n_words, n_hit, spans (code points, merged) and items (sorted)."""
     ship(docs.sparkSession)
     parts = shards(benchmark, item, item_text)
-    if len(parts) == 1:
+    part = next(parts)
+    if part.of == 1:
         slim = docs.select(F.col(key), F.col(text).alias(f"{key}_t"))
         kind = slim.schema[key].dataType.simpleString()
-        return slim.mapInArrow(_scan(parts[0], key), f"`{key}` {kind}, {OUT}")
+        return slim.mapInArrow(_scan(part, key), f"`{key}` {kind}, {OUT}")
     # rows are told apart by position, as keys may repeat; spans of different automata can overlap
     slim = settle(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), F.col(text).alias("t")), "scan")
     united = None
-    for part in parts:
-        one = slim.select("row", "t").mapInArrow(_scan(part, "row"), f"row bigint, {OUT}")
+    for part in itertools.chain([part], parts):
+        one = settle(slim.select("row", "t").mapInArrow(_scan(part, "row"), f"row bigint, {OUT}"), "scanned")
         united = one if united is None else united.unionByName(one)
     grouped = united.groupBy("row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     joined = slim.join(grouped, "row").select("k", "t", "n_words", "spans", "items")
@@ -214,10 +244,11 @@ def _united(key: str):
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows without a hit, all columns as they were: one map over the rows for one automaton."""
     ship(docs.sparkSession)
-    parts = shards(benchmark, item, item_text)
     kept = docs
-    for part in parts:
+    for part in shards(benchmark, item, item_text):
         kept = kept.mapInArrow(_drop(part, docs.columns.index(text)), docs.schema)
+        if part.of > 1:
+            kept = settle(kept, "clean")
     return kept
 
 
