@@ -8,13 +8,15 @@ as a limit inside each task before the shuffle (WindowGroupLimit), and only cand
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeframe.functions import text as tx
 from lodeframe.operators import vectors
+from lodeframe.sources.scratch import settled
 
 #: Rows of a query side that may be broadcast.
 FEW_ROWS = 200_000
@@ -274,18 +276,33 @@ def retrieve(chunks: DataFrame, vector: DataFrame, keyword: DataFrame, queries:
     return best.join(few(asked, n), "query_id").withColumn("snippet", tx.snippet(F.col("text"), F.col("query_text")))
 
 
-def with_fallbacks(run, prefix: str | None, auto_scope: bool, explicit: bool, o: Options):
-    """One query's cascade: as asked; without an inferred prefix; with the least score at its floor.
+def cascade(queries: DataFrame, run: Callable[[DataFrame], DataFrame], o: Options = Options()) -> tuple[DataFrame, DataFrame]:
+    """Hits of every query by the first pass that has any, and the facts of each query.
 
-    ``run(prefix, min_score)`` gives a DataFrame; returns (rows, facts)."""
-    facts = {"path_prefix": prefix, "min_score": o.min_score, "auto_scope_fallback_used": False, "relaxed_min_score_fallback_used": False, "initial_path_prefix": prefix}
-    rows = run(prefix, o.min_score).collect()
-    if not rows and prefix and auto_scope and not explicit:
-        facts |= {"path_prefix": None, "auto_scope_fallback_used": True}
-        rows = run(None, o.min_score).collect()
+    ``queries``: query_id, prefix (null: all), auto (the prefix was inferred and may be given up). ``run`` gives the
+    fused candidates of such rows down to the least score's floor. Passes: as asked; without an inferred prefix; with the
+    least score at its floor, in the scope reached. The second retrieval gets only queries that the first one left empty,
+    and the floor needs none of its own. Returns the hits of ``greedy``, and query_id, path_prefix, min_score,
+    auto_scope_fallback_used, relaxed_min_score_fallback_used, initial_path_prefix."""
     floor = min(o.min_score, o.min_score_floor)
-    if not rows and o.min_score > floor:
-        rows = run(facts["path_prefix"], floor).collect()
-        if rows:
-            facts |= {"min_score": floor, "relaxed_min_score_fallback_used": True}
-    return rows, facts
+    low = replace(o, min_score=floor)
+    asked = queries.select("query_id", "prefix", F.coalesce("auto", F.lit(False)).alias("auto"))
+    best = lambda found, name: found.groupBy("query_id").agg(F.max("score").alias(name))
+    # candidates are at most 8 * top_k rows a query, and several branches use them
+    one = settled(run(asked.select("query_id", "prefix")), "asked")
+    first = asked.join(best(one, "s1"), "query_id", "left").withColumn("wider", ~F.coalesce(F.col("s1") >= o.min_score, F.lit(False)) & F.col("auto") & (F.coalesce("prefix", F.lit("")) != ""))
+    two = settled(run(first.where("wider").select("query_id", F.lit(None).cast("string").alias("prefix"))), "wider")
+    reached = first.join(best(two, "s2"), "query_id", "left").withColumn("s", F.when(F.col("wider"), F.col("s2")).otherwise(F.col("s1")))
+    relaxed = ~F.coalesce(F.col("s") >= o.min_score, F.lit(False)) & F.coalesce(F.col("s") >= floor, F.lit(False)) & F.lit(o.min_score > floor)
+    facts = reached.select(
+        "query_id",
+        F.when(~F.col("wider"), F.col("prefix")).alias("path_prefix"),
+        F.when(relaxed, floor).otherwise(o.min_score).alias("min_score"),
+        F.col("wider").alias("auto_scope_fallback_used"),
+        relaxed.alias("relaxed_min_score_fallback_used"),
+        F.col("prefix").alias("initial_path_prefix"),
+    )
+    every = one.withColumn("_wider", F.lit(False)).unionByName(two.withColumn("_wider", F.lit(True)))
+    limits = facts.select("query_id", F.col("auto_scope_fallback_used").alias("_wider"), F.col("min_score").alias("_least"))
+    chosen = every.join(limits, ["query_id", "_wider"]).where(F.col("score") >= F.col("_least")).drop("_wider", "_least")
+    return greedy(chosen, low), facts

@@ -282,6 +282,19 @@ def area_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.area_hits(spark, sf_dir).select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 
+# R9 for all questions at once
+@query(f"""{v.CASCADE_HITS} SELECT query_id // 2 AS query_id, chunk_id, rank, round(score, 6) AS score FROM best""")
+def cascade_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.cascade(spark, sf_dir)[0].select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
+
+
+# R9
+@query(f"""WITH {v.CORPUS}, {v.CHUNKS}, {v.CASCADE}, {v.CASCADE_LEGS}, {v.CASCADE_FACTS} SELECT q AS query_id, CASE WHEN NOT wider THEN prefix END AS path_prefix, CAST(CASE WHEN relaxed THEN {v.OPTIONS.min_score_floor} ELSE {v.OPTIONS.min_score} END AS DOUBLE) AS min_score,
+  wider AS auto_scope_fallback_used, relaxed AS relaxed_min_score_fallback_used FROM facts""")
+def cascade_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.cascade(spark, sf_dir)[1].drop("initial_path_prefix")
+
+
 # R1 R2 J1 over sparse vectors
 @query(f"{v.BEFORE} SELECT query_id, chunk_id, round(similarity, 6) AS similarity, CAST(vrank AS INTEGER) AS vrank FROM vector")
 def sparse_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

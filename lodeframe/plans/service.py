@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from dataclasses import replace
 from pathlib import Path
 from time import monotonic
 from typing import Any
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions import paths
 from lodeframe.functions import text as tx
-from lodeframe.operators import assemble, embedding, lookup, retrieval, vectors, workitem
+from lodeframe.operators import assemble, embedding, lookup, retrieval, workitem
 from lodeframe.plans.config import AppConfig, as_bool
 from lodeframe.plans.projects import Project, Registry, integrity, integrity_counts
 from lodeframe.sources.store import Store
@@ -105,17 +106,25 @@ class Service:
         """The parts of the posting lists that hold some terms."""
         return self.store.read("postings", version, parts=self.store.parts_of("postings", terms, "token"))
 
-    def search_frame(self, text: str | None, vector: list[float] | None, o: retrieval.Options, **scope: Any) -> DataFrame:
+    def searched(self, text: str | None, vector: list[float] | None, prefix: str | None, auto: bool, o: retrieval.Options, **scope: Any) -> tuple[list[dict], dict[str, Any]]:
+        """The ranked hits of one question, and how its cascade went."""
         version = self.store.version()
-        chunks = self.chunks(**scope, version=version)
-        within = self.documents(**scope, version=version).select("doc_id")
-        asked = self.spark.createDataFrame([(0, text or "")], "query_id bigint, query_text string")
-        wanted = self._asked(asked, vector).select("query_id", F.col("vector").alias("query"))
-        stored = self.store.read("chunk_embeddings", version).join(within, "doc_id", "left_semi")
-        found = vectors.exact_topk(stored, wanted, o.candidates, "chunk_id", "embedding", self.config.embedding_dim, digits=9)
-        terms = retrieval.query_terms(asked)
-        keyword = retrieval.block_topk(self._postings(terms, version), terms, o.candidates, within)
-        return retrieval.retrieve(chunks, retrieval.similar(found), keyword, asked, o).orderBy("rank")
+        docs = self.documents(path_prefix=None, version=version, **scope)
+        chunks = self.chunks(path_prefix=None, version=version, **scope)
+        asked = self.spark.createDataFrame([(0, text or "", prefix, auto)], "query_id bigint, query_text string, prefix string, auto boolean")
+        wanted, terms = self._asked(asked, vector), retrieval.query_terms(asked)
+        index, blocks = self.store.read("chunk_embeddings", version), self._postings(terms, version)
+        low = replace(o, min_score=min(o.min_score, o.min_score_floor))
+
+        def run(own: DataFrame) -> DataFrame:
+            within = retrieval.area_documents(docs, own)
+            nearest = retrieval.area_vector_topk(index, within, wanted.join(own.select("query_id"), "query_id"), o.candidates, self.config.embedding_dim)
+            keyword = retrieval.block_topk(blocks, terms.join(own.select("query_id"), "query_id"), o.candidates, within)
+            return retrieval.fuse(nearest, keyword, chunks, low, 1)
+
+        hits, facts = retrieval.cascade(asked, run, o)
+        rows = hits.withColumn("snippet", tx.snippet(F.col("text"), F.lit(text or ""))).orderBy("rank").collect()
+        return [r.asDict(recursive=True) for r in rows], {k: x for k, x in facts.first().asDict().items() if k != "query_id"}
 
     def context(self, args: dict[str, Any], cached: bool = True) -> dict[str, Any]:
         """Ranked hits and symbols assembled into files, entry points and a text."""
@@ -130,11 +139,7 @@ class Service:
         scope = paths.resolve(given, file, text, auto, self._setting(project, "scope_map"), self._setting(project, "path_aliases"))
         o = self.config.options(top_k)
 
-        def run(prefix: str | None, least: float) -> DataFrame:
-            return self.search_frame(text, vector, retrieval.Options(**(o.__dict__ | {"min_score": least})), repo_id=project.project_id, path_prefix=prefix, doc_type=doc_type, language=language)
-
-        rows, facts = retrieval.with_fallbacks(run, scope, auto, bool(given or file), o)
-        results = [r.asDict(recursive=True) for r in rows]
+        results, facts = self.searched(text, vector, scope, auto and not (given or file), o, repo_id=project.project_id, doc_type=doc_type, language=language)
         found = self._symbols(text, project.project_id)
         payload = {
             "functional_context": self._assembled(text, results, found, facts["path_prefix"], max_chars),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions import text as tx
 from lodeframe.operators import chunking, declarations, embedding, retrieval, symbols
+from lodeframe.sources.scratch import settled
 
 SIZE, OVERLAP, LEAST = 1200, 300, 200
 OPTIONS = retrieval.Options()
@@ -64,6 +65,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("chunk_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))).withColumn("text_hash", tx.content_hash(F.col("text")))
 
 
+def kept_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks made once, for plans that use them several times."""
+    return settled(chunks(spark, sf_dir), "chunks")
+
+
 # --- queries --------------------------------------------------------------------------------
 
 FTS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
@@ -121,7 +127,7 @@ HITS = f"{BEFORE}, {GREEDY}"
 
 def legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """chunks, queries, vector leg, keyword leg."""
-    parts, asked = chunks(spark, sf_dir), queries(spark, sf_dir)
+    parts, asked = kept_chunks(spark, sf_dir), queries(spark, sf_dir)
     vectors = embedding.hash_vectors(parts, ["chunk_id"])
     wanted = embedding.hash_vectors(asked, ["query_id"], "query_text")
     vector = retrieval.sparse_topk(vectors, wanted, K, embedding.DIM)
@@ -161,14 +167,45 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.join(docs.select("doc_id", "text"), "doc_id").select("query_id", "prefix", F.array_join(F.slice(tx.fts_words(F.col("text")), 1, N_TERMS), " ").alias("query_text"))
 
 
-def area_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked hits of every area's question inside the area: both legs, their normaliser and their top k are its own."""
-    asked, docs, parts = areas(spark, sf_dir), corpus(spark, sf_dir), chunks(spark, sf_dir)
+def scoped_fused(docs: DataFrame, parts: DataFrame, asked: DataFrame, o: retrieval.Options = OPTIONS) -> DataFrame:
+    """Candidates of questions (query_id, prefix, query_text) in their areas: both legs, their normaliser and top k are its own."""
     within = retrieval.area_documents(docs, asked)
     vectors = embedding.hash_vectors(parts, ["doc_id", "chunk_id"])
     vector = retrieval.area_vector_topk(vectors, within, embedding.hash_vectors(asked, ["query_id"], "query_text"), K, embedding.DIM, "vector")
     keyword = retrieval.block_topk(retrieval.posting_blocks(parts, SLOTS), retrieval.query_terms(asked), K, within)
-    return retrieval.greedy(retrieval.fuse(vector, keyword, parts, OPTIONS, retrieval.counted(asked)), OPTIONS)
+    return retrieval.fuse(vector, keyword, parts, o, retrieval.counted(asked))
+
+
+def area_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked hits of every area's question inside the area."""
+    return retrieval.greedy(scoped_fused(corpus(spark, sf_dir), kept_chunks(spark, sf_dir), areas(spark, sf_dir)), OPTIONS)
+
+
+#: Questions of the cascade: every fiftieth document in its own folder, in one that does not exist (inferred, or given by
+#: the user), or anywhere, by turns. Each is asked inside its prefix (number 2 q) and everywhere (2 q + 1).
+CASCADE = f"""given AS (SELECT doc_id AS q, CASE doc_id // {EVERY} % 4 WHEN 0 THEN lang || '/' || source || '/' WHEN 3 THEN NULL ELSE 'nowhere/' END AS prefix, doc_id // {EVERY} % 4 <= 1 AS auto,
+  array_to_string(list_slice({FTS.format("text")}, 1, {N_TERMS}), ' ') AS query_text FROM documents WHERE doc_id % {EVERY} = 0),
+queries AS (SELECT 2 * q AS query_id, lower(coalesce(prefix, '')) AS prefix, query_text FROM given UNION ALL SELECT 2 * q + 1, '', query_text FROM given),
+scope AS (SELECT query_id, chunk_id FROM named JOIN queries ON starts_with(lower(path), prefix))"""
+_FLOOR = OPTIONS.min_score_floor
+CASCADE_LEGS = AREA_LEGS.replace(f">= {OPTIONS.min_score})", f">= {_FLOOR})").replace("fused AS (", "candidates AS (")
+CASCADE_FACTS = f"""best1 AS (SELECT query_id // 2 AS q, max(score) FILTER (WHERE query_id % 2 = 0) AS s1, max(score) FILTER (WHERE query_id % 2 = 1) AS s2 FROM candidates GROUP BY 1),
+wide AS (SELECT *, coalesce(s1 < {OPTIONS.min_score}, true) AND auto AND coalesce(prefix, '') <> '' AS wider FROM given LEFT JOIN best1 USING (q)),
+facts AS (SELECT q, prefix, wider, coalesce(CASE WHEN wider THEN s2 ELSE s1 END < {OPTIONS.min_score}, false) AS relaxed FROM wide),
+fused AS (SELECT c.* FROM candidates c JOIN facts f ON c.query_id // 2 = f.q AND (c.query_id % 2 = 1) = f.wider WHERE score >= CASE WHEN relaxed THEN {_FLOOR} ELSE {OPTIONS.min_score} END)"""
+CASCADE_HITS = f"WITH RECURSIVE {CORPUS}, {CHUNKS}, {CASCADE}, {CASCADE_LEGS}, {CASCADE_FACTS}, {GREEDY}"
+
+
+def cascade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Hits and facts of the cascade's questions."""
+    turn = F.floor(F.col("doc_id") / EVERY) % 4
+    docs = table(spark, sf_dir, "documents").where(F.col("doc_id") % EVERY == 0)
+    prefix = F.when(turn == 0, F.concat("lang", F.lit("/"), "source", F.lit("/"))).when(turn < 3, "nowhere/")
+    asked = docs.select(F.col("doc_id").alias("query_id"), prefix.alias("prefix"), (turn <= 1).alias("auto"), F.array_join(F.slice(tx.fts_words(F.col("text")), 1, N_TERMS), " ").alias("query_text"))
+    texts = asked.select("query_id", "query_text")
+    low = retrieval.Options(min_score=OPTIONS.min_score_floor)
+    docs, parts = corpus(spark, sf_dir), kept_chunks(spark, sf_dir)
+    return retrieval.cascade(asked, lambda own: scoped_fused(docs, parts, own.join(texts, "query_id"), low), OPTIONS)
 
 
 # --- code -----------------------------------------------------------------------------------
