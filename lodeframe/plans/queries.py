@@ -336,6 +336,20 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", tx.snippet(F.col("text"), F.col("query")).alias("snippet"))
 
 
+# R8 F6: hits of all questions as texts within a budget
+@query(f"""{v.HITS}, shown AS (SELECT query_id, rank, '[' || path || '#L' || line_start || '-L' || line_end || '] score=' || printf('%.4f', round(score, 4)) || chr(10) || {v.STRIP.format("text")} AS block FROM best),
+used AS (SELECT *, sum(length(block) + 2) OVER (PARTITION BY query_id ORDER BY rank) AS u, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM shown)
+SELECT query_id, string_agg(CASE WHEN i = 1 THEN substr(block, 1, 4000) ELSE block END, chr(10) || chr(10) ORDER BY rank) AS context FROM used WHERE i = 1 OR u - 2 <= 4000 GROUP BY query_id""")
+def context_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.context_texts(v.hits(spark, sf_dir).withColumn("score", F.round("score", 4)))
+
+
+# W6 F6: tests compare with a short Python version
+@query()
+def rendered_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.rendered(assemble.core_files(_groups(spark, sf_dir)))
+
+
 # F4
 @query(r"""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9_]{3,}')) AS hay, regexp_extract_all(lower(b.text), '[a-z0-9_]{3,}') AS ask FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))
 SELECT doc_id, (SELECT count(DISTINCT w) FROM (SELECT unnest(ask) AS w) WHERE list_contains(hay, w)) AS n_overlap FROM t""")

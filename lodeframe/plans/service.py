@@ -138,12 +138,11 @@ class Service:
             return held
         scope = paths.resolve(given, file, text, auto, self._setting(project, "scope_map"), self._setting(project, "path_aliases"))
         o = self.config.options(top_k)
-
         results, facts = self.searched(text, vector, scope, auto and not (given or file), o, repo_id=project.project_id, doc_type=doc_type, language=language)
         found = self._symbols(text, project.project_id)
         payload = {
             "functional_context": self._assembled(text, results, found, facts["path_prefix"], max_chars),
-            "context": assemble.format_context(results, max_chars),
+            "context": self._text(assemble.context_texts(self._hits(results), max_chars), "context"),
             "results": results,
             "symbol_results": found,
             "meta": {"project_id": project.project_id, "top_k": top_k, "max_chars": max_chars, **facts},
@@ -163,12 +162,19 @@ class Service:
         mine = self.store.read("symbols").where(F.col("repo_id") == repo_id)
         return [r.asDict() for r in lookup.context_symbols(mine, self.store.read("documents"), asked).orderBy("position", "rn").collect()]
 
-    def _assembled(self, text: str | None, results: list[dict], found: list[dict], prefix: str | None, max_chars: int) -> dict[str, Any]:
-        limits = assemble.Limits(max_chars=max_chars)
-        hits = self.spark.createDataFrame(
+    def _hits(self, results: list[dict]) -> DataFrame:
+        return self.spark.createDataFrame(
             [(0, r["rank"], r["source_path"], float(r["score"]), r["text_hash"], r["line_start"], r["line_end"], r["chunk_index"], r["section_path"], r["snippet"], r["text"]) for r in results],
             "query_id bigint, rank int, source_path string, score double, text_hash string, line_start int, line_end int, chunk_index int, section_path string, snippet string, text string",
         )
+
+    @staticmethod
+    def _text(rendered: DataFrame, column: str) -> str:
+        row = rendered.first()
+        return row[column] if row else ""
+
+    def _assembled(self, text: str | None, results: list[dict], found: list[dict], prefix: str | None, max_chars: int) -> dict[str, Any]:
+        limits, hits = assemble.Limits(max_chars=max_chars), self._hits(results)
         symbols = self.spark.createDataFrame(
             [(0, s["source_path"], s["name"], s["kind"], s["namespace"], s["signature"], s["line_start"], s["line_end"]) for s in found],
             "query_id bigint, source_path string, name string, kind string, namespace string, signature string, line_start int, line_end int",
@@ -178,8 +184,8 @@ class Service:
         files = [r.asDict(recursive=True) for r in core.orderBy("place").collect()]
         supporting = [r.asDict() for r in assemble.supporting_matches(hits, core, limits).orderBy("place").collect()]
         entries = [r.asDict() for r in assemble.entry_points(symbols, core, limits).orderBy("place").collect()]
+        body = self._text(assemble.rendered(core, max_chars), "assembled_context")
         core.unpersist()
-        body = assemble.render_context(files, max_chars)
         terms = list(dict.fromkeys(re.findall("[a-z0-9_]{3,}", (text or "").lower())))
         roles = [f["functional_role"] for f in files]
         return {
