@@ -1,8 +1,8 @@
 """Source trees as DataFrames: filtered listing, reading, decoding.
 
 Spark's binary file source hides names that begin with a dot or an underscore, which source trees
-have; so paths are listed on the driver (names only) and read on the executors, a batch of paths to
-a task, where the tree is mounted.
+have. So tasks list folders, level by level, where the tree is mounted: a level's folders are dealt to all tasks, an excluded
+one is not entered, and neither folders nor files come to the driver. Files are then dealt by their bytes and read.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions.paths import to_posix
 from lodeframe.shipping import ship
+from lodeframe.sources.scratch import settled
 
 MAX_BYTES = 5_000_000
 # fixed values: how binary content is told
@@ -87,17 +88,52 @@ def _within(low: str, pattern: str) -> bool:
     return Path(low).match(p) if "/" in p else fnmatch.fnmatchcase(low, p)
 
 
-def listed(root: str | Path, keep: Filter = Filter()) -> Iterator[tuple[str, str]]:
-    """(absolute path, relative posix path) of each file taken; excluded folders are not entered."""
+def entries(top: Path, folder: str, keep: Filter) -> Iterator[tuple[str, str, int, bool]]:
+    """(absolute path, relative posix path, bytes, is a folder) of the files taken and the folders to enter in one folder;
+    links to folders are not followed. A folder that cannot be listed has nothing."""
+    try:
+        found = sorted(os.scandir(top / folder), key=lambda e: e.name)
+    except OSError:
+        return
+    for e in found:
+        path = top / folder / e.name
+        try:
+            inner = e.is_dir()
+            size = 0 if inner else e.stat().st_size
+        except OSError:  # reading it says why
+            inner, size = False, 0
+        if inner:
+            if not e.is_symlink() and keep.keeps_dir(e.name):
+                yield str(path), f"{folder}/{e.name}".lstrip("/"), 0, True
+            continue
+        real = path.resolve()
+        relative = to_posix((real.relative_to(top) if real.is_relative_to(top) else path).as_posix())
+        if keep.keeps(path, relative):
+            yield str(path), relative, size, False
+
+
+def list_tree(spark: SparkSession, root: str | Path, keep: Filter = Filter(), folders_per_task: int = 200) -> DataFrame:
+    """full, path and size of each file taken: one job for each level of the tree."""
+    ship(spark)
     top = Path(root).resolve()
-    for folder, names, files in os.walk(top):
-        names[:] = sorted(n for n in names if keep.keeps_dir(n))
-        for name in sorted(files):
-            path = Path(folder) / name
-            real = path.resolve()
-            relative = to_posix((real.relative_to(top) if real.is_relative_to(top) else path).as_posix())
-            if keep.keeps(path, relative):
-                yield str(path), relative
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                rows = list(entries(top, folder, keep))
+                for k in range(0, len(rows), 10_000):
+                    part = list(zip(*rows[k : k + 10_000], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.string()), pa.array(part[1], pa.string()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.bool_())], names=["full", "path", "size", "folder"])
+
+    level, found, n = spark.createDataFrame([("",)], "path string"), None, 1
+    while n:
+        tasks = max(1, -(-n // folders_per_task))
+        here = settled(level.repartition(tasks).mapInArrow(look, "full string, path string, size bigint, folder boolean"), "level")
+        own = here.where("NOT folder").select("full", "path", "size")
+        found = own if found is None else found.unionByName(own)
+        level = here.where("folder").select("path")
+        n = level.count()
+    return found
 
 
 def is_binary(data: bytes) -> bool:
@@ -133,11 +169,12 @@ def read_one(path: str, max_bytes: int = MAX_BYTES) -> tuple[str | None, str | N
 FILES = "path string, text string, skip_reason string, size_bytes bigint, mtime timestamp"
 
 
-def read_tree(spark: SparkSession, root: str | Path, keep: Filter = Filter(), max_bytes: int = MAX_BYTES, files_per_task: int = 2000) -> DataFrame:
+def read_tree(spark: SparkSession, root: str | Path, keep: Filter = Filter(), max_bytes: int = MAX_BYTES, bytes_per_task: int = 64 << 20, files_per_task: int = 20_000) -> DataFrame:
     """path (relative), text or skip_reason, size_bytes, mtime for each file of the tree."""
-    ship(spark)
-    rows = list(listed(root, keep))
-    paths = spark.createDataFrame(rows, "full string, path string").repartition(max(1, -(-len(rows) // files_per_task)))
+    paths = list_tree(spark, root, keep)
+    # a file that is read has at most max_bytes, so that a hash deals bytes evenly
+    n, size = paths.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.least("size", F.lit(max_bytes))), F.lit(0))).first()
+    paths = paths.repartition(max(1, -(-size // bytes_per_task), -(-n // files_per_task)), "path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,4 +1,6 @@
 import json
+import os
+import random
 
 import pytest
 
@@ -15,14 +17,38 @@ def write(top, tree):
         (top / name).write_text(text)
 
 
-def names(top, **how):
-    return {r for _, r in files.listed(top, files.Filter(**how))}
-
-
-def test_listing(tmp_path):
+def names(spark, top, **how):
+    return {r["path"] for r in files.list_tree(spark, top, files.Filter(**how)).collect()}
+
+
+def test_listing_against_a_walk(spark, tmp_path):
+    """A random tree, with links, empty folders and excluded ones, gives what a walk gives; the driver lists nothing."""
+    rng = random.Random(1)
+    folders = [tmp_path / "t"]
+    for i in range(40):
+        folders.append(rng.choice(folders) / rng.choice([f"d{i}", f".d{i}", f"_x{i}", f"e{i}", "skip" if i % 2 else f"skip-{i}"]))
+        folders[-1].mkdir(parents=True, exist_ok=True)
+    for i in range(400):
+        (rng.choice(folders) / rng.choice([f"f{i}.py", f".f{i}", f"_f{i}.md"])).write_text("x" * i)
+    (tmp_path / "t/link.py").symlink_to(next((tmp_path / "t").rglob("*.md")))
+    (tmp_path / "t/loop").symlink_to(tmp_path / "t", target_is_directory=True)
+    keep = files.Filter(exclude_patterns=["skip", "skip-*"])
+    want = set()
+    for folder, inner, found in os.walk(tmp_path / "t"):
+        inner[:] = [n for n in inner if keep.keeps_dir(n)]
+        want |= {os.path.realpath(os.path.join(folder, n)) for n in found}
+    rows = files.list_tree(spark, tmp_path / "t", keep, folders_per_task=3).collect()
+    assert {os.path.realpath(r["full"]) for r in rows} == want and len(want) > 50
+    assert all(r["size"] == os.stat(r["full"]).st_size for r in rows)
+    read = files.read_tree(spark, tmp_path / "t", keep, bytes_per_task=500)
+    assert read.rdd.getNumPartitions() > 3 and read.where("skip_reason IS NULL").count() == len(rows)
+    assert files.list_tree(spark, tmp_path / "nowhere").count() == 0
+
+
+def test_listing(spark, tmp_path):
     write(tmp_path, dict.fromkeys([".local/x.py", ".local/nested/y.md", ".env.json", "src/.env.local", "src/app.py", "local/keep.py", ".github/workflows/ci.yml", "github/other.yml", "node_modules/a.js"], "x"))
-    assert names(tmp_path, exclude_globs=[".local/**", "*.env*"], exclude_patterns=["node_modules"], include_patterns=[".py"]) == {"src/app.py", "local/keep.py"}
-    assert names(tmp_path, include_dirs=[".github"]) == {".github/workflows/ci.yml"}
+    assert names(spark, tmp_path, exclude_globs=[".local/**", "*.env*"], exclude_patterns=["node_modules"], include_patterns=[".py"]) == {"src/app.py", "local/keep.py"}
+    assert names(spark, tmp_path, include_dirs=[".github"]) == {".github/workflows/ci.yml"}
 
 
 def test_reading(tmp_path):
