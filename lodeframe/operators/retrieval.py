@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeframe.functions import text as tx
+from lodeframe.functions.arrays import bound
 from lodeframe.operators import vectors
 from lodeframe.sources.scratch import settled
 
@@ -97,9 +98,18 @@ def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
 def posting_blocks(chunks: DataFrame, slots: int, text: str = "text") -> DataFrame:
     """Lists of each token (slot, token, n, most, entries), cut into blocks by documents' slots: the blocks of all tokens
     are aligned, so that a chunk with several tokens is in the same slot of each one's list."""
-    rows = chunks.select(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(slots)).cast("int").alias("slot"), "chunk_id", "doc_id", F.posexplode_outer(tx.fts_words(F.col(text))).alias("pos", "token"))
-    dealt = rows.where("token IS NOT NULL").repartition("slot", "token")
-    each = dealt.groupBy("slot", "token", "chunk_id", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("pos"))
+    placed = F.sort_array(F.transform(tx.fts_words(F.col(text)), lambda w, i: F.struct(w.alias("token"), i.cast("int").alias("pos"))))
+
+    def lists(own: Column) -> Column:
+        """Each token with its places, from runs of equal neighbours: no shuffle for single places."""
+        every = F.when(F.size(own) > 0, F.sequence(F.lit(0), F.size(own) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(every, lambda i: (i == 0) | (F.get(own, i)["token"] != F.get(own, i - 1)["token"]))
+        run = lambda s, at, i: F.slice(own, at + 1, F.coalesce(F.get(s, i + 1), F.size(own)) - at)
+        return bound(starts, lambda s: F.transform(s, lambda at, i: F.struct(F.get(own, at)["token"].alias("token"), F.transform(run(s, at, i), lambda x: x["pos"]).alias("pos"))))
+
+    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(slots)).cast("int")
+    rows = chunks.select(slot.alias("slot"), "chunk_id", "doc_id", F.explode_outer(bound(placed, lists)).alias("x")).where("x IS NOT NULL")
+    each = rows.select("slot", "chunk_id", "doc_id", "x.token", "x.pos")
     entry = F.struct("chunk_id", "doc_id", "pos")
     return each.groupBy("slot", "token").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max(F.size("pos")).alias("most"), F.sort_array(F.collect_list(entry)).alias("entries"))
 
@@ -170,16 +180,21 @@ def block_bounds(blocks: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def block_ranks(blocks: DataFrame, asked: DataFrame, opened: DataFrame, within: DataFrame | None = None) -> DataFrame:
-    """query_id, chunk_id, rank of chunks with all terms, in the opened slots (query_id, slot) only."""
-    wanted = opened.select("query_id", "slot").join(few(asked, counted(asked)), "query_id")
-    met = blocks.select("token", "slot", "entries").join(wanted, ["token", "slot"])
-    hits = met.select("query_id", "n_terms", "ti", F.explode_outer("entries").alias("e")).select("query_id", "n_terms", "ti", "e.chunk_id", "e.doc_id", "e.pos").where("chunk_id IS NOT NULL")
+    """query_id, chunk_id, rank of chunks with all terms, in the opened slots (query_id, slot) only.
+
+    A token's block is opened once, however many queries ask for it."""
+    n = counted(asked)
+    wanted = opened.select("query_id", "slot").join(few(asked, n), "query_id").select("token", "slot").distinct()
+    met = blocks.select("token", "slot", "entries").join(wanted, ["token", "slot"], "left_semi")
+    rows = met.select("slot", "token", F.explode_outer("entries").alias("e")).select("slot", "token", "e.chunk_id", "e.doc_id", "e.pos").where("chunk_id IS NOT NULL")
     if within is not None:
-        on = [c for c in ("query_id", "doc_id") if c in within.columns]
-        hits = hits.join(within.select(*on).distinct(), on, "left_semi")
-    places = F.transform("pos", lambda p: F.struct(p.alias("pos"), F.col("ti").cast("int").alias("ti")))
-    found = hits.groupBy("query_id", "chunk_id", "n_terms").agg(F.count(F.lit(1)).alias("terms"), F.array_sort(F.flatten(F.collect_list(places))).alias("hits"))
-    return found.where(F.col("terms") == F.col("n_terms")).select("query_id", "chunk_id", cover_density(F.col("hits"), F.col("n_terms")).alias("rank"))
+        rows = rows.join(within.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = settled(rows, "hits")
+    found = and_matches(rows.select("chunk_id", "token", F.explode("pos").alias("pos")), asked)
+    placed = found.join(rows.select("chunk_id", "doc_id", "slot").distinct(), "chunk_id").join(opened.select("query_id", "slot"), ["query_id", "slot"], "left_semi")
+    if within is not None and "query_id" in within.columns:
+        placed = placed.join(within.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
+    return placed.select("query_id", "chunk_id", cover_density(F.col("hits"), F.col("n_terms")).alias("rank"))
 
 
 def block_topk(blocks: DataFrame, asked: DataFrame, k: int, within: DataFrame | None = None, first: int = 4) -> DataFrame:
@@ -187,9 +202,10 @@ def block_topk(blocks: DataFrame, asked: DataFrame, k: int, within: DataFrame |
 
     Slots without one of the terms are never opened. The ``first`` slots of the highest bounds give each query
     a k-th best rank; of the others only those are opened whose bound may reach it."""
+    asked = settled(asked, "terms")
     bounds = block_bounds(blocks, asked)
-    placed = bounds.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "slot")))
-    one = block_ranks(blocks, asked, placed.where(F.col("place") <= first), within)
+    placed = settled(bounds.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "slot"))), "bounds")
+    one = settled(block_ranks(blocks, asked, placed.where(F.col("place") <= first), within), "opened")
     last = per_query(one, k, F.round("rank", 9).desc(), F.col("chunk_id")).where(F.col("rn") == k).select("query_id", F.round("rank", 9).alias("last"))
     rest = placed.where(F.col("place") > first).join(last, "query_id", "left").where(F.col("bound") >= F.coalesce("last", F.lit(0.0)))
     return per_query(one.unionByName(block_ranks(blocks, asked, rest, within)), k, F.round("rank", 9).desc(), F.col("chunk_id"), rank="krank")
@@ -286,11 +302,12 @@ def cascade(queries: DataFrame, run: Callable[[DataFrame], DataFrame], o: Option
     auto_scope_fallback_used, relaxed_min_score_fallback_used, initial_path_prefix."""
     floor = min(o.min_score, o.min_score_floor)
     low = replace(o, min_score=floor)
-    asked = queries.select("query_id", "prefix", F.coalesce("auto", F.lit(False)).alias("auto"))
+    asked = settled(queries, "queries").select("query_id", "prefix", F.coalesce("auto", F.lit(False)).alias("auto"))
     best = lambda found, name: found.groupBy("query_id").agg(F.max("score").alias(name))
     # candidates are at most 8 * top_k rows a query, and several branches use them
     one = settled(run(asked.select("query_id", "prefix")), "asked")
-    first = asked.join(best(one, "s1"), "query_id", "left").withColumn("wider", ~F.coalesce(F.col("s1") >= o.min_score, F.lit(False)) & F.col("auto") & (F.coalesce("prefix", F.lit("")) != ""))
+    wider = ~F.coalesce(F.col("s1") >= o.min_score, F.lit(False)) & F.col("auto") & (F.coalesce("prefix", F.lit("")) != "")
+    first = settled(asked.join(best(one, "s1"), "query_id", "left").withColumn("wider", wider), "first")
     two = settled(run(first.where("wider").select("query_id", F.lit(None).cast("string").alias("prefix"))), "wider")
     reached = first.join(best(two, "s2"), "query_id", "left").withColumn("s", F.when(F.col("wider"), F.col("s2")).otherwise(F.col("s1")))
     relaxed = ~F.coalesce(F.col("s") >= o.min_score, F.lit(False)) & F.coalesce(F.col("s") >= floor, F.lit(False)) & F.lit(o.min_score > floor)

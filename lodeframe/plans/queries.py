@@ -11,6 +11,7 @@ from lodeframe.functions import paths
 from lodeframe.functions import text as tx
 from lodeframe.operators import assemble, chunking, embedding, lookup, merge, retrieval, symbols, vectors, workitem
 from lodeframe.plans import views as v
+from lodeframe.sources.scratch import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -253,14 +254,14 @@ def keyword_and_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 # R3 O2
 @query(f"{v.BEFORE} SELECT query_id, chunk_id, round(rank, 6) AS rank, CAST(krank AS INTEGER) AS krank FROM keyword")
 def keyword_cover_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyword = v.legs(spark, sf_dir)[3]
+    keyword = v.legs(spark, sf_dir, once=True)[3]
     return keyword.select("query_id", "chunk_id", F.round("rank", 6).alias("rank"), "krank")
 
 
 # R3 P9 from blocks of posting lists
 @query(f"{v.BEFORE} SELECT query_id, chunk_id, round(rank, 6) AS rank, CAST(krank AS INTEGER) AS krank FROM keyword")
 def keyword_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = retrieval.posting_blocks(v.chunks(spark, sf_dir), v.SLOTS)
+    blocks = settled(retrieval.posting_blocks(v.chunks(spark, sf_dir), v.SLOTS), "blocks")
     keyword = retrieval.block_topk(blocks, retrieval.query_terms(v.queries(spark, sf_dir)), v.K)
     return keyword.select("query_id", "chunk_id", F.round("rank", 6).alias("rank"), "krank")
 
@@ -298,7 +299,7 @@ def cascade_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # R1 R2 J1 over sparse vectors
 @query(f"{v.BEFORE} SELECT query_id, chunk_id, round(similarity, 6) AS similarity, CAST(vrank AS INTEGER) AS vrank FROM vector")
 def sparse_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vector = v.legs(spark, sf_dir)[2]
+    vector = v.legs(spark, sf_dir, once=True)[2]
     return vector.select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "vrank")
 
 

@@ -243,7 +243,7 @@ class Service:
         for e in context["entry_points"]:
             point = {"symbol": e["name"], "kind": e["kind"], "path": e["source_path"], "lines": [e["line_start"], e["line_end"]], "signature": e["signature"]}
             if callers.get(e["name"]):
-                point |= {"callers": callers[e["name"]], "impact_summary": f"Referenced in {len(callers[e['name']])} location(s)"}
+                point |= {"callers": callers[e["name"]], "impact_summary": f"{len(callers[e['name']])} call site(s) refer to it"}
             if as_bool(args.get("explain", False)) and e["source_path"] in core:
                 point |= {k: core[e["source_path"]][k] for k in ("selection_reason", "functional_role")}
             points.append(point)

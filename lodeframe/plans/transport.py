@@ -153,7 +153,7 @@ def proxy(source: BinaryIO, sink: BinaryIO, url: str, token: str | None = None)
                 asked = json.loads(body)
             except ValueError:
                 continue
-            out = encoded(failure(FAILED, f"Proxy connection failed: {e}", asked["id"])) if isinstance(asked, dict) and "id" in asked else b""
+            out = encoded(failure(FAILED, f"the server behind the proxy does not answer: {e}", asked["id"])) if isinstance(asked, dict) and "id" in asked else b""
         if out:
             sink.write(out + b"\n")
             sink.flush()
@@ -242,7 +242,7 @@ def server(
             size = int(given) if given.isdigit() else 0
             if not 0 < size <= most:
                 self.close_connection = True
-                self.reply(413 if size else 400, failure(FAILED, f"Request body too large ({size} > {most} bytes)" if size else "Empty request body"))
+                self.reply(413 if size else 400, failure(FAILED, f"a request may have {most} bytes, this one has {size}" if size else "a request needs a body"))
                 return None
             try:
                 found = json.loads(self.rfile.read(size))
@@ -259,7 +259,7 @@ def server(
             if at.path == "/message":
                 stream = sessions.get(parse_qs(at.query).get("session_id", [""])[0])
                 if stream is None:
-                    return self.reply(400, {"error": "Invalid session"})
+                    return self.reply(400, {"error": "no such session"})
                 if (found := dispatcher.answer(message)) is not None:
                     stream.put(found)
                 return self.reply(202)

@@ -125,9 +125,9 @@ BEFORE = f"WITH RECURSIVE {CORPUS}, {CHUNKS}, {QUERIES}, {LEGS}"
 HITS = f"{BEFORE}, {GREEDY}"
 
 
-def legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """chunks, queries, vector leg, keyword leg."""
-    parts, asked = kept_chunks(spark, sf_dir), queries(spark, sf_dir)
+def legs(spark: SparkSession, sf_dir: str, once: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """chunks, queries, vector leg, keyword leg; ``once``: of a single leg's chunks, which are not worth writing."""
+    parts, asked = (chunks if once else kept_chunks)(spark, sf_dir), queries(spark, sf_dir)
     vectors = embedding.hash_vectors(parts, ["chunk_id"])
     wanted = embedding.hash_vectors(asked, ["query_id"], "query_text")
     vector = retrieval.sparse_topk(vectors, wanted, K, embedding.DIM)
@@ -167,18 +167,23 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.join(docs.select("doc_id", "text"), "doc_id").select("query_id", "prefix", F.array_join(F.slice(tx.fts_words(F.col("text")), 1, N_TERMS), " ").alias("query_text"))
 
 
-def scoped_fused(docs: DataFrame, parts: DataFrame, asked: DataFrame, o: retrieval.Options = OPTIONS) -> DataFrame:
+def kept_index(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vectors and posting blocks of chunks, written once."""
+    return settled(embedding.hash_vectors(parts, ["doc_id", "chunk_id"]), "vectors"), settled(retrieval.posting_blocks(parts, SLOTS), "blocks")
+
+
+def scoped_fused(docs: DataFrame, parts: DataFrame, index: tuple[DataFrame, DataFrame], asked: DataFrame, o: retrieval.Options = OPTIONS) -> DataFrame:
     """Candidates of questions (query_id, prefix, query_text) in their areas: both legs, their normaliser and top k are its own."""
     within = retrieval.area_documents(docs, asked)
-    vectors = embedding.hash_vectors(parts, ["doc_id", "chunk_id"])
-    vector = retrieval.area_vector_topk(vectors, within, embedding.hash_vectors(asked, ["query_id"], "query_text"), K, embedding.DIM, "vector")
-    keyword = retrieval.block_topk(retrieval.posting_blocks(parts, SLOTS), retrieval.query_terms(asked), K, within)
+    vector = retrieval.area_vector_topk(index[0], within, embedding.hash_vectors(asked, ["query_id"], "query_text"), K, embedding.DIM, "vector")
+    keyword = retrieval.block_topk(index[1], retrieval.query_terms(asked), K, within)
     return retrieval.fuse(vector, keyword, parts, o, retrieval.counted(asked))
 
 
 def area_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked hits of every area's question inside the area."""
-    return retrieval.greedy(scoped_fused(corpus(spark, sf_dir), kept_chunks(spark, sf_dir), areas(spark, sf_dir)), OPTIONS)
+    parts = kept_chunks(spark, sf_dir)
+    return retrieval.greedy(scoped_fused(corpus(spark, sf_dir), parts, kept_index(parts), areas(spark, sf_dir)), OPTIONS)
 
 
 #: Questions of the cascade: every fiftieth document in its own folder, in one that does not exist (inferred, or given by
@@ -205,7 +210,8 @@ def cascade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     texts = asked.select("query_id", "query_text")
     low = retrieval.Options(min_score=OPTIONS.min_score_floor)
     docs, parts = corpus(spark, sf_dir), kept_chunks(spark, sf_dir)
-    return retrieval.cascade(asked, lambda own: scoped_fused(docs, parts, own.join(texts, "query_id"), low), OPTIONS)
+    index = kept_index(parts)
+    return retrieval.cascade(asked, lambda own: scoped_fused(docs, parts, index, own.join(texts, "query_id"), low), OPTIONS)
 
 
 # --- code -----------------------------------------------------------------------------------
