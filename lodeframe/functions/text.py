@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodeframe.functions.arrays import bound
+
 #: White space as Python's str.strip sees it; Java's \s with (?U) lacks the four separators.
 _WHITE = r"[\s\x1c-\x1f]"
 WORD = r"(?U)\w+"
@@ -116,9 +118,14 @@ def snippet(text: Column, query: Column | None = None, size: int = 300) -> Colum
         return F.when(short, text).otherwise(cut)
     long_words = F.filter(F.array_distinct(words(query)), lambda w: F.length(w) >= 3)
     ranked = F.transform(F.array_sort(F.transform(long_words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
-    hit = F.get(F.filter(F.transform(ranked, lambda w: F.instr(F.lower(text), w)), lambda p: p > 0), F.lit(0))
-    end = F.least(F.length(text), F.greatest(F.lit(0), hit - 1 - size // 2) + size)
-    start = F.greatest(F.lit(0), end - size)
-    body = stripped(F.substring(text, start + 1, end - start))
-    around = F.concat(F.when(start > 0, "...").otherwise(""), body, F.when(end < F.length(text), "...").otherwise(""))
-    return F.when(short, text).when(hit.isNull() | (F.length(body) == 0), cut).otherwise(around)
+    # a question may be a whole document: its words are looked for once, in a text lower-cased once
+    hit = bound(F.lower(text), lambda low: F.get(F.filter(F.transform(ranked, lambda w: F.instr(low, w)), lambda p: p > 0), F.lit(0)))
+
+    def around(at: Column) -> Column:
+        end = F.least(F.length(text), F.greatest(F.lit(0), at - 1 - size // 2) + size)
+        start = F.greatest(F.lit(0), end - size)
+        body = stripped(F.substring(text, start + 1, end - start))
+        whole = F.concat(F.when(start > 0, "...").otherwise(""), body, F.when(end < F.length(text), "...").otherwise(""))
+        return F.when(at.isNull() | (F.length(body) == 0), cut).otherwise(whole)
+
+    return F.when(short, text).otherwise(bound(hit, around))

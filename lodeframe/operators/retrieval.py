@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions import text as tx
 from lodeframe.functions.arrays import bound
+from lodeframe.functions.stemming import tokens
 from lodeframe.operators import vectors
 from lodeframe.sources.scratch import settled
 
@@ -91,14 +92,14 @@ def sparse_topk(index: DataFrame, queries: DataFrame, k: int, dim: int) -> DataF
 # --- keyword leg ----------------------------------------------------------------------------
 
 
-def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
-    return chunks.select("chunk_id", F.posexplode_outer(tx.fts_words(F.col(text))).alias("pos", "token")).where("token IS NOT NULL")
+def postings(chunks: DataFrame, text: str = "text", config: str = "simple") -> DataFrame:
+    return chunks.select("chunk_id", F.posexplode_outer(tokens(F.col(text), config)).alias("pos", "token")).where("token IS NOT NULL")
 
 
-def posting_blocks(chunks: DataFrame, slots: int, text: str = "text") -> DataFrame:
+def posting_blocks(chunks: DataFrame, slots: int, text: str = "text", config: str = "simple") -> DataFrame:
     """Lists of each token (slot, token, n, most, entries), cut into blocks by documents' slots: the blocks of all tokens
     are aligned, so that a chunk with several tokens is in the same slot of each one's list."""
-    placed = F.sort_array(F.transform(tx.fts_words(F.col(text)), lambda w, i: F.struct(w.alias("token"), i.cast("int").alias("pos"))))
+    placed = F.sort_array(F.transform(tokens(F.col(text), config), lambda w, i: F.struct(w.alias("token"), i.cast("int").alias("pos"))))
 
     def lists(own: Column) -> Column:
         """Each token with its places, from runs of equal neighbours: no shuffle for single places."""
@@ -114,9 +115,9 @@ def posting_blocks(chunks: DataFrame, slots: int, text: str = "text") -> DataFra
     return each.groupBy("slot", "token").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max(F.size("pos")).alias("most"), F.sort_array(F.collect_list(entry)).alias("entries"))
 
 
-def query_terms(queries: DataFrame, text: str = "query_text") -> DataFrame:
-    """query_id, term number, token, number of terms: the distinct words of each query."""
-    listed = queries.select("query_id", F.array_distinct(tx.fts_words(F.coalesce(text, F.lit("")))).alias("ts"))
+def query_terms(queries: DataFrame, text: str = "query_text", config: str = "simple") -> DataFrame:
+    """query_id, term number, token, number of terms: the distinct words of each query, cut as its index is."""
+    listed = queries.select("query_id", F.array_distinct(tokens(F.coalesce(text, F.lit("")), config)).alias("ts"))
     return listed.select("query_id", F.size("ts").alias("n_terms"), F.posexplode_outer("ts").alias("ti", "token")).where("token IS NOT NULL")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.functions import paths
+from lodeframe.functions import paths, stemming
 from lodeframe.functions import text as tx
 from lodeframe.operators import assemble, chunking, embedding, lookup, merge, retrieval, symbols, vectors, workitem
 from lodeframe.plans import views as v
@@ -245,24 +245,40 @@ def path_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # P9 J2
-@query(f"{v.BEFORE} SELECT query_id, chunk_id FROM matched")
+@query(f"{v.SHORT_BEFORE} SELECT query_id, chunk_id FROM matched")
 def keyword_and_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = retrieval.postings(v.chunks(spark, sf_dir))
-    return retrieval.and_matches(index, retrieval.query_terms(v.queries(spark, sf_dir))).select("query_id", "chunk_id")
+    return retrieval.and_matches(index, retrieval.query_terms(v.short_queries(spark, sf_dir))).select("query_id", "chunk_id")
 
 
 # R3 O2
-@query(f"{v.BEFORE} SELECT query_id, chunk_id, round(rank, 6) AS rank, CAST(krank AS INTEGER) AS krank FROM keyword")
+@query(f"{v.SHORT_BEFORE} SELECT query_id, chunk_id, round(rank, 6) AS rank, CAST(krank AS INTEGER) AS krank FROM keyword")
 def keyword_cover_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyword = v.legs(spark, sf_dir, once=True, asked=v.short_queries(spark, sf_dir))[3]
+    return keyword.select("query_id", "chunk_id", F.round("rank", 6).alias("rank"), "krank")
+
+
+# R3 O2
+@query(f"{v.BEFORE} SELECT query_id, chunk_id, round(rank, 6) AS rank, CAST(krank AS INTEGER) AS krank FROM keyword")
+def keyword_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with questions of any length: all words of a document are to be in one chunk."""
     keyword = v.legs(spark, sf_dir, once=True)[3]
     return keyword.select("query_id", "chunk_id", F.round("rank", 6).alias("rank"), "krank")
 
 
+# P9 with stems: beyond SQL, so that tests compare it with a plain Python version
+@query()
+def word_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token of the documents with its class kept whole, how often it occurs, and its stem; each is stemmed once."""
+    words = v.spread(spark, sf_dir, "documents").select(F.explode_outer(stemming.tokens(F.col("text"), "compound")).alias("token")).where("token IS NOT NULL")
+    return words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).select("token", "n", stemming.stem(F.col("token")).alias("stem"))
+
+
 # R3 P9 from blocks of posting lists
-@query(f"{v.BEFORE} SELECT query_id, chunk_id, round(rank, 6) AS rank, CAST(krank AS INTEGER) AS krank FROM keyword")
+@query(f"{v.SHORT_BEFORE} SELECT query_id, chunk_id, round(rank, 6) AS rank, CAST(krank AS INTEGER) AS krank FROM keyword")
 def keyword_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = settled(retrieval.posting_blocks(v.chunks(spark, sf_dir), v.SLOTS), "blocks")
-    keyword = retrieval.block_topk(blocks, retrieval.query_terms(v.queries(spark, sf_dir)), v.K)
+    keyword = retrieval.block_topk(blocks, retrieval.query_terms(v.short_queries(spark, sf_dir)), v.K)
     return keyword.select("query_id", "chunk_id", F.round("rank", 6).alias("rank"), "krank")
 
 
@@ -476,9 +492,10 @@ def file_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # F2 O6 F4
-@query(f"{v.HITS}, {_GROUPS} SELECT query_id, place, source_path, round(rank_score, 6) AS rank_score, CAST(n_overlap AS BIGINT) AS n_overlap FROM placed WHERE place <= 4")
+@query(f"{v.SHORT_HITS}, {_GROUPS} SELECT query_id, place, source_path, round(rank_score, 6) AS rank_score, CAST(n_overlap AS BIGINT) AS n_overlap FROM placed WHERE place <= 4")
 def core_files_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    core = assemble.core_files(_groups(spark, sf_dir))
+    asked = v.short_queries(spark, sf_dir)
+    core = assemble.core_files(assemble.file_groups(v.hits(spark, sf_dir, asked), _no_symbols(spark), asked))
     return core.select("query_id", F.col("place").cast("bigint").alias("place"), "source_path", F.round("rank_score", 6).alias("rank_score"), F.size("query_overlap_terms").cast("bigint").alias("n_overlap"))
 
 

@@ -11,7 +11,7 @@ from lodeframe.sources.scratch import settled
 
 SIZE, OVERLAP, LEAST = 1200, 300, 200
 OPTIONS = retrieval.Options()
-EVERY, N_TERMS = 50, 4
+EVERY = 50
 
 
 #: Slots of posting blocks in the registered queries.
@@ -74,13 +74,21 @@ def kept_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FTS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
-QUERIES = f"""queries AS (SELECT doc_id AS query_id, array_to_string(list_slice({FTS.format("text")}, 1, {N_TERMS}), ' ') AS query_text FROM documents WHERE doc_id % {EVERY} = 0)"""
+QUERIES = f"""queries AS (SELECT doc_id AS query_id, text AS query_text FROM documents WHERE doc_id % {EVERY} = 0)"""
+#: Short questions, as users type them: the first words of the same documents.
+SHORT_WORDS = 4
+SHORT = f"""queries AS (SELECT doc_id AS query_id, array_to_string(list_slice({FTS.format("text")}, 1, {SHORT_WORDS}), ' ') AS query_text FROM documents WHERE doc_id % {EVERY} = 0)"""
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stated set of questions: the first words of every fiftieth document, against all documents."""
+    """A stated set of questions: every fiftieth document's whole text, against all documents."""
     docs = table(spark, sf_dir, "documents").where(F.col("doc_id") % EVERY == 0)
-    return docs.select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(tx.fts_words(F.col("text")), 1, N_TERMS), " ").alias("query_text"))
+    return docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
+
+
+def short_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = queries(spark, sf_dir)
+    return asked.withColumn("query_text", F.array_join(F.slice(tx.fts_words(F.col("query_text")), 1, SHORT_WORDS), " "))
 
 
 def sparse_sql(name: str, source: str, key: str, text: str) -> str:
@@ -100,9 +108,8 @@ postings AS (SELECT chunk_id, unnest(ws) AS token, unnest(range(len(ws))) AS pos
 hits AS (SELECT query_id, chunk_id, n_terms, ti, pos FROM postings JOIN numbered USING (token)),
 matched AS (SELECT query_id, chunk_id FROM hits GROUP BY query_id, chunk_id, n_terms HAVING count(DISTINCT ti) = n_terms),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY pos) AS rn FROM hits SEMI JOIN matched USING (query_id, chunk_id)),
-lasts AS (SELECT *, {", ".join(f"max(CASE WHEN ti = {t} THEN rn END) OVER w AS l{t}" for t in range(N_TERMS))} FROM ordered WINDOW w AS (PARTITION BY query_id, chunk_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
-ends AS (SELECT *, least({", ".join(f"CASE WHEN {t} < n_terms THEN l{t} ELSE 1000000000 END" for t in range(N_TERMS))}) AS start FROM lasts
-  WHERE {" AND ".join(f"({t} >= n_terms OR l{t} IS NOT NULL)" for t in range(N_TERMS))}),
+lasts AS (SELECT o.query_id, o.chunk_id, o.n_terms, o.rn, o.pos, max(b.rn) AS l FROM ordered o JOIN ordered b ON b.query_id = o.query_id AND b.chunk_id = o.chunk_id AND b.rn <= o.rn GROUP BY o.query_id, o.chunk_id, o.n_terms, o.rn, o.pos, b.ti),
+ends AS (SELECT query_id, chunk_id, rn, pos, min(l) AS start FROM lasts GROUP BY query_id, chunk_id, n_terms, rn, pos HAVING count(*) = n_terms),
 covers AS (SELECT query_id, chunk_id, start, min(rn) AS e, arg_min(pos, rn) AS pos_e FROM ends GROUP BY ALL),
 ranks AS (SELECT c.query_id, c.chunk_id, sum(1.0::DOUBLE / (1 + (pos_e - o.pos) - (e - start))) AS rank FROM covers c JOIN ordered o ON o.query_id = c.query_id AND o.chunk_id = c.chunk_id AND o.rn = c.start GROUP BY ALL),
 keyword AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9) DESC, chunk_id) AS krank FROM ranks QUALIFY krank <= {K}),
@@ -123,11 +130,12 @@ taken AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id OR
 best AS (SELECT t.query_id, t.rank, f.score, n.* FROM taken t JOIN fused f ON f.query_id = t.query_id AND f.chunk_id = t.chunk_id JOIN named n ON n.chunk_id = t.chunk_id)"""
 BEFORE = f"WITH RECURSIVE {CORPUS}, {CHUNKS}, {QUERIES}, {LEGS}"
 HITS = f"{BEFORE}, {GREEDY}"
+SHORT_BEFORE, SHORT_HITS = (sql.replace(QUERIES, SHORT) for sql in (BEFORE, HITS))
 
 
-def legs(spark: SparkSession, sf_dir: str, once: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def legs(spark: SparkSession, sf_dir: str, once: bool = False, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """chunks, queries, vector leg, keyword leg; ``once``: of a single leg's chunks, which are not worth writing."""
-    parts, asked = (chunks if once else kept_chunks)(spark, sf_dir), queries(spark, sf_dir)
+    parts, asked = (chunks if once else kept_chunks)(spark, sf_dir), queries(spark, sf_dir) if asked is None else asked
     vectors = embedding.hash_vectors(parts, ["chunk_id"])
     wanted = embedding.hash_vectors(asked, ["query_id"], "query_text")
     vector = retrieval.sparse_topk(vectors, wanted, K, embedding.DIM)
@@ -135,23 +143,23 @@ def legs(spark: SparkSession, sf_dir: str, once: bool = False) -> tuple[DataFram
     return parts, asked, vector, keyword
 
 
-def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts, asked, vector, keyword = legs(spark, sf_dir)
+def fused(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
+    parts, asked, vector, keyword = legs(spark, sf_dir, asked=asked)
     return retrieval.fuse(vector, keyword, parts, OPTIONS, retrieval.counted(asked))
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hits(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
     """Ranked hits of the questions, with source_path and snippet."""
-    asked = queries(spark, sf_dir)
-    best = retrieval.greedy(fused(spark, sf_dir), OPTIONS)
+    asked = queries(spark, sf_dir) if asked is None else asked
+    best = retrieval.greedy(fused(spark, sf_dir, asked), OPTIONS)
     return best.join(retrieval.few(asked, retrieval.counted(asked)), "query_id").withColumn("snippet", tx.snippet(F.col("text"), F.col("query_text"))).withColumnRenamed("path", "source_path")
 
 
 # --- areas ----------------------------------------------------------------------------------
 
-#: Every folder of the corpus is an area, and so is all of it; its question is the first words of its least document.
+#: Every folder of the corpus is an area, and so is all of it; its question is the whole text of its least document.
 AREAS = f"""firsts AS (SELECT lang || '/' || source || '/' AS prefix, min(doc_id) AS query_id FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1 UNION ALL SELECT '', -1),
-queries AS (SELECT query_id, lower(prefix) AS prefix, array_to_string(list_slice({FTS.format("text")}, 1, {N_TERMS}), ' ') AS query_text FROM firsts JOIN documents ON doc_id = greatest(query_id, (SELECT min(doc_id) FROM documents))),
+queries AS (SELECT query_id, lower(prefix) AS prefix, text AS query_text FROM firsts JOIN documents ON doc_id = greatest(query_id, (SELECT min(doc_id) FROM documents))),
 scope AS (SELECT query_id, chunk_id FROM named JOIN queries ON starts_with(lower(path), prefix))"""
 AREA_LEGS = LEGS.replace("JOIN asked a USING (bucket) GROUP BY ALL", "JOIN asked a USING (bucket) JOIN scope USING (query_id, chunk_id) GROUP BY ALL").replace("FROM postings JOIN numbered USING (token)", "FROM postings JOIN numbered USING (token) JOIN scope USING (query_id, chunk_id)")
 AREA_HITS = f"WITH RECURSIVE {CORPUS}, {CHUNKS}, {AREAS}, {AREA_LEGS}, {GREEDY}"
@@ -164,7 +172,7 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     firsts = docs.where("lang IS NOT NULL AND source IS NOT NULL").groupBy(prefix.alias("prefix")).agg(F.min("doc_id").alias("query_id"))
     whole = docs.agg(F.lit("").alias("prefix"), F.lit(-1).cast("bigint").alias("query_id"), F.min("doc_id").alias("doc_id"))
     named = firsts.select("prefix", "query_id", F.col("query_id").alias("doc_id")).unionByName(whole)
-    return named.join(docs.select("doc_id", "text"), "doc_id").select("query_id", "prefix", F.array_join(F.slice(tx.fts_words(F.col("text")), 1, N_TERMS), " ").alias("query_text"))
+    return named.join(docs.select("doc_id", "text"), "doc_id").select("query_id", "prefix", F.col("text").alias("query_text"))
 
 
 def kept_index(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -186,10 +194,10 @@ def area_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.greedy(scoped_fused(corpus(spark, sf_dir), parts, kept_index(parts), areas(spark, sf_dir)), OPTIONS)
 
 
-#: Questions of the cascade: every fiftieth document in its own folder, in one that does not exist (inferred, or given by
+#: Questions of the cascade: every fiftieth document's text in its own folder, in one that does not exist (inferred, or given by
 #: the user), or anywhere, by turns. Each is asked inside its prefix (number 2 q) and everywhere (2 q + 1).
 CASCADE = f"""given AS (SELECT doc_id AS q, CASE doc_id // {EVERY} % 4 WHEN 0 THEN lang || '/' || source || '/' WHEN 3 THEN NULL ELSE 'nowhere/' END AS prefix, doc_id // {EVERY} % 4 <= 1 AS auto,
-  array_to_string(list_slice({FTS.format("text")}, 1, {N_TERMS}), ' ') AS query_text FROM documents WHERE doc_id % {EVERY} = 0),
+  text AS query_text FROM documents WHERE doc_id % {EVERY} = 0),
 queries AS (SELECT 2 * q AS query_id, lower(coalesce(prefix, '')) AS prefix, query_text FROM given UNION ALL SELECT 2 * q + 1, '', query_text FROM given),
 scope AS (SELECT query_id, chunk_id FROM named JOIN queries ON starts_with(lower(path), prefix))"""
 _FLOOR = OPTIONS.min_score_floor
@@ -206,7 +214,7 @@ def cascade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     turn = F.floor(F.col("doc_id") / EVERY) % 4
     docs = table(spark, sf_dir, "documents").where(F.col("doc_id") % EVERY == 0)
     prefix = F.when(turn == 0, F.concat("lang", F.lit("/"), "source", F.lit("/"))).when(turn < 3, "nowhere/")
-    asked = docs.select(F.col("doc_id").alias("query_id"), prefix.alias("prefix"), (turn <= 1).alias("auto"), F.array_join(F.slice(tx.fts_words(F.col("text")), 1, N_TERMS), " ").alias("query_text"))
+    asked = docs.select(F.col("doc_id").alias("query_id"), prefix.alias("prefix"), (turn <= 1).alias("auto"), F.col("text").alias("query_text"))
     texts = asked.select("query_id", "query_text")
     low = retrieval.Options(min_score=OPTIONS.min_score_floor)
     docs, parts = corpus(spark, sf_dir), kept_chunks(spark, sf_dir)
