@@ -1,11 +1,15 @@
 """What grows with the tables stays small: tasks, repeated chunks, and the memory of a block product."""
 
+import itertools
 import random
+import time
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from lodeframe.functions.arrays import BLOCK, running
 from lodeframe.operators import retrieval, vectors
 from lodeframe.plans import views as v
 
@@ -85,3 +89,20 @@ def test_an_area_is_one_list_for_all_its_questions(spark):
     for r in sorted(got, key=lambda r: (r["query_id"], r["vrank"])):
         found.setdefault(r["query_id"], []).append(r["chunk_id"])
     assert found == {q: near(q) for q in range(30) if q % 3 != 2}
+
+
+def test_running_states_of_a_long_array_cost_what_many_short_ones_do(spark):
+    """A fold copies what it holds: held states must not grow with the array. Values at every level's limits are right."""
+    total = lambda xs: running(xs, F.lit(0), lambda a, x: a + x, "bigint")
+    for n in (0, 1, BLOCK, BLOCK + 1, BLOCK**2 + 1, BLOCK**3 + 1):
+        xs = [i % 7 for i in range(n)]
+        assert spark.range(1).select(total(F.array_repeat(F.lit(0), 0).cast("array<bigint>") if not n else F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i % 7)).alias("r")).first()["r"] == list(itertools.accumulate(xs))
+
+    def seconds(rows: int, n: int) -> float:
+        began = time.perf_counter()
+        made = F.sequence(F.col("id") * 0, F.lit(n - 1).cast("bigint"))
+        assert spark.range(0, rows, 1, 1).select(F.element_at(total(made), -1).alias("r")).agg(F.max("r")).first()[0] == n * (n - 1) // 2
+        return time.perf_counter() - began
+
+    seconds(4, 20_000)
+    assert seconds(1, 600_000) < 4 * seconds(30, 20_000) + 1
