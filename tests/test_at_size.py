@@ -106,3 +106,16 @@ def test_running_states_of_a_long_array_cost_what_many_short_ones_do(spark):
 
     seconds(4, 20_000)
     assert seconds(1, 600_000) < 4 * seconds(30, 20_000) + 1
+
+
+def test_blocks_are_ranked_slot_by_slot(spark, monkeypatch):
+    """Questions and chunks that hold their terms are no rows of a plan; ties are cut by chunk_id, ranks are the covers'."""
+    rows = [(f"d{i}", f"c{i:03}", "a b " * (i % 3) + "b x a " + f"w{i % 7}") for i in range(120)]
+    chunks = spark.createDataFrame(rows, "doc_id string, chunk_id string, text string")
+    queries = spark.createDataFrame([(1, "a"), (2, "a b"), (3, "w3 a b"), (4, "w3 w4"), (5, "x nowhere")], "query_id bigint, query_text string")
+    terms = retrieval.query_terms(queries)
+    shown = lambda df: {(r["query_id"], r["krank"], r["chunk_id"], round(r["rank"], 9)) for r in df.collect()}
+    want = shown(retrieval.keyword_topk(retrieval.postings(chunks), terms, 5))
+    assert {q for q, *_ in want} == {1, 2, 3}
+    monkeypatch.setattr(retrieval, "and_matches", None)
+    assert shown(retrieval.block_topk(retrieval.posting_blocks(chunks, 8), terms, 5)) == want
