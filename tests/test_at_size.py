@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodeframe.functions.arrays import BLOCK, running
 from lodeframe.operators import retrieval, vectors
 from lodeframe.plans import views as v
+from lodeframe.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -119,3 +120,9 @@ def test_blocks_are_ranked_slot_by_slot(spark, monkeypatch):
     assert {q for q, *_ in want} == {1, 2, 3}
     monkeypatch.setattr(retrieval, "and_matches", None)
     assert shown(retrieval.block_topk(retrieval.posting_blocks(chunks, 8), terms, 5)) == want
+
+
+def test_hits_that_two_branches_use_are_made_once(spark):
+    """What is left to do after the hits were written joins no vectors any more."""
+    for name in ("supporting_matches", "search_summary"):
+        assert "FlatMapCoGroups" not in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
