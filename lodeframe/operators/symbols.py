@@ -1,7 +1,7 @@
 """Symbols, call sites and code headers, from built-in regular expression functions.
 
-A match's line needs its offset, which regular expression functions don't give: the gaps that
-``split`` leaves between the same matches do, by a running count of line ends.
+A match's line needs its offset, which regular expression functions don't give: the gaps between
+the same matches do, by a running count of line ends.
 """
 
 from __future__ import annotations
@@ -62,41 +62,36 @@ def _newlines(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
-def _found(cut: str, form: Form, namespace: Column) -> Column:
-    """Symbols of a form from its matches (m), names (n), kinds (k) and gaps (g)."""
-    c = F.col(cut)
-    rows = F.arrays_zip(c["m"].alias("m"), c["n"].alias("n"), c["k"].alias("k"), c["g"].alias("g"))
-
+def _found(matches: str, text: Column, form: Form, namespace: Column) -> Column:
+    """Symbols of a form from its matches in a text. Names and kinds are read from the matches themselves: the patterns look at
+    nothing outside of what they match but the start of a line, so that a match by itself has the same groups."""
+    m = F.col(matches)
+    # what lies between a match and the one before; of split the pattern would be compiled anew for each text
+    gaps = F.regexp_extract_all(text, F.lit(rf"\G((?s:.*?))(?:{form.pattern})"), F.lit(1))
     # the line behind each match: line ends of the gaps and matches so far
-    after = running(rows, F.lit(1), lambda line, x: line + _newlines(x["g"]) + F.coalesce(_newlines(x["m"]), F.lit(0)), "int")
+    after = running(F.arrays_zip(m.alias("m"), gaps.alias("g")), F.lit(1), lambda line, x: line + _newlines(x["g"]) + _newlines(x["m"]), "int")
+    part = lambda x, group: F.regexp_extract(x, form.pattern, group)
 
     def one(x: Column) -> Column:
-        kind = F.lower(x["k"]) if form.kind_from else F.when(F.length(x["k"]) > 0, "method").otherwise(form.kind) if form is FORMS[INDENTED] else F.lit(form.kind)
-        return F.struct(x["n"].alias("name"), kind.alias("kind"), (namespace if form.namespaced else F.lit(None).cast("string")).alias("namespace"), (x["after"] - _newlines(x["m"])).cast("int").alias("line_start"))
+        kind = F.lower(part(x["m"], form.kind_from)) if form.kind_from else F.when(F.length(part(x["m"], 1)) > 0, "method").otherwise(form.kind) if form is FORMS[INDENTED] else F.lit(form.kind)
+        return F.struct(part(x["m"], form.name).alias("name"), kind.alias("kind"), (namespace if form.namespaced else F.lit(None).cast("string")).alias("namespace"), (x["after"] - _newlines(x["m"])).cast("int").alias("line_start"))
 
-    both = F.arrays_zip(c["m"].alias("m"), c["n"].alias("n"), c["k"].alias("k"), F.slice(after, 1, F.size(c["m"])).alias("after"))
+    both = F.arrays_zip(m.alias("m"), after.alias("after"))
     return F.transform(both, one).cast(SYMBOL)
 
 
 def extract_symbols(docs: DataFrame, keys: list[str], text: str = "text", language: str = "language") -> DataFrame:
     """One row per symbol: keys, name, kind, namespace, line_start, line_end, signature, language."""
     t, lang = F.col(text), F.lower(F.trim(F.coalesce(language, F.lit(""))))
-    cut = []
-    for i, f in enumerate(FORMS):
-        group = f.kind_from or (1 if f is FORMS[INDENTED] else 0)
-        parts = F.struct(
-            F.regexp_extract_all(t, F.lit(f.pattern), F.lit(0)).alias("m"),
-            F.regexp_extract_all(t, F.lit(f.pattern), F.lit(f.name)).alias("n"),
-            F.regexp_extract_all(t, F.lit(f.pattern), F.lit(group)).alias("k"),
-            F.split(t, f.pattern, -1).alias("g"),
-        )
-        cut.append(F.when(lang.isin(*f.languages), parts).alias(f"_f{i}"))
-    wide = docs.select(*keys, language, F.nullif(F.regexp_extract(t, NAMESPACE, 1), F.lit("")).alias("_ns"), *cut)
-    each = [F.when(F.col(f"_f{i}").isNotNull(), _found(f"_f{i}", f, F.col("_ns"))).otherwise(F.array().cast(SYMBOL)) for i, f in enumerate(FORMS)]
+    cut = [F.when(lang.isin(*f.languages), F.regexp_extract_all(t, F.lit(f.pattern), F.lit(0))).alias(f"_f{i}") for i, f in enumerate(FORMS)]
+    namespace = F.when(lang.isin(*_CS), F.nullif(F.regexp_extract(t, NAMESPACE, 1), F.lit("")))
+    wide = docs.select(*keys, language, t.alias("_text"), namespace.alias("_ns"), *cut)
+    # a form that is not found is looked for once only
+    each = [F.when(F.size(f"_f{i}") > 0, _found(f"_f{i}", F.col("_text"), f, F.col("_ns"))).otherwise(F.array().cast(SYMBOL)) for i, f in enumerate(FORMS)]
     listed = wide.select(*keys, language, F.concat(*each).alias("_all"))
     # of equal names, kinds and lines the first one counts: neighbours once they are sorted
     key = lambda s: F.struct(s["name"].alias("name"), s["kind"].alias("kind"), s["line_start"].alias("line_start"))
-    order = F.array_sort(F.transform("_all", lambda s, i: F.struct(key(s).alias("key"), i.alias("i"), s["namespace"].alias("namespace"))))
+    order = F.sort_array(F.transform("_all", lambda s, i: F.struct(key(s).alias("key"), i.alias("i"), s["namespace"].alias("namespace"))))
     once = bound(order, lambda o: F.filter(o, lambda s, i: (i == 0) | (F.get(o, i - 1)["key"] != s["key"])))
     # outer: no filter on the array's size is inferred and pushed to the scan
     rows = listed.select(*keys, language, F.explode_outer(once).alias("s")).where("s IS NOT NULL").select(*keys, F.col(language).alias("language"), "s.key", "s.namespace")

@@ -1,3 +1,5 @@
+import re
+
 from lodeframe.operators import lookup, symbols
 
 PY = "class MyService:\n    def do_work(self):\n        return fetch_rows(1)\n\nasync def standalone_func(a):\n    pass\n"
@@ -24,6 +26,24 @@ def test_blank_lines_before_a_declaration_belong_to_it(spark):
     assert found(spark, "x\n\n\nclass A", "csharp") == {("A", "class", 2)}
 
 
+def test_names_kinds_and_lines_of_matches_by_themselves(spark):
+    """Against a search for each form in the whole text; a text is read twice for a form, and no pattern compiled for it."""
+    ts = "x = 1\n" * 3 + TS + "\n\n  function  $a (b) {\n}\nlet f = function(a) {}\nvar functionX = functionY => 1\nclass\n  Split {}\n" + "y\n" * 40
+    cs = "\ufeff" + CS + "private static int\n  Total (\nprotected\u00a0void\u2003Run(int a)\ninternal struct Été\n"
+    py = PY + "\tclass\u00a0In:\n\n\n def é_1 ():\nclass A\nclass B(\n)"
+    plain = {"(?Umd)": "(?m)"}
+    for text, language in ((ts, "typescript"), (cs, "csharp"), (py, "python")):
+        want = set()
+        for i, f in enumerate(symbols.FORMS):
+            if language in f.languages:
+                for m in re.finditer(f.pattern.replace(*next(iter(plain.items()))), text):
+                    kind = m[f.kind_from].lower() if f.kind_from else "method" if i == symbols.INDENTED and m[1] else f.kind
+                    want.add((m[f.name], kind, text.count("\n", 0, m.start()) + 1))
+        assert len(want) > 4 and found(spark, text, language) == want
+    plan = symbols.extract_symbols(frame(spark, ts, "typescript"), ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan
+
+
 def test_call_sites_skip_lists(spark):
     rows = symbols.extract_call_sites(frame(spark, "if (x)\nprint(foo_bar(1))\nfoo_bar (2); foo_bar(3)", "python"), ["id"]).collect()
     assert {(r["callee_name"], r["line"]) for r in rows} == {("foo_bar", 2), ("foo_bar", 3)}
