@@ -126,3 +126,7 @@ def test_hits_that_two_branches_use_are_made_once(spark):
     """What is left to do after the hits were written joins no vectors any more."""
     for name in ("supporting_matches", "search_summary"):
         assert "FlatMapCoGroups" not in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_symbols_that_three_branches_use_are_made_once(spark):
+    assert "interface" not in QUERIES["hard_delete_cascade"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
