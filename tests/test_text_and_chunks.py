@@ -26,6 +26,16 @@ def test_normalized_and_tokens(spark):
     assert one(spark, "", tx.token_count(F.col("text"))) == 0
 
 
+def test_white_space_around_is_what_python_strips(spark):
+    """Without a regular expression that tries every run of white space inside a text."""
+    every = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(c, c + " \n" + c + "a " + c + "b" + c + "\t" + c) for c in every], "c string, t string")
+    got = {r["c"]: r["x"] for r in rows.select("c", tx.stripped(F.col("t")).alias("x")).collect()}
+    assert got == {c: (c + " \n" + c + "a " + c + "b" + c + "\t" + c).strip() for c in every}
+    assert one(spark, " \u3000\n", tx.stripped(F.col("text"))) == "" and one(spark, None, tx.stripped(F.col("text"))) is None
+    assert "regexp" not in rows.select(tx.stripped(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_suffix_and_types(spark):
     paths = {"a/b.PY": "code", ".env": "text", "x.tar.toml": "config", "README": "text", "d.dir/file": "text", "n.md": "md"}
     rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", tx.source_type(F.col("p")).alias("t")).collect()
