@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lodeframe.functions import text as tx
 from lodeframe.functions.arrays import BLOCK, running
-from lodeframe.operators import retrieval, vectors
+from lodeframe.operators import chunking, embedding, retrieval, vectors
 from lodeframe.plans import views as v
 from lodeframe.plans.queries import QUERIES
 
@@ -130,3 +131,53 @@ def test_hits_that_two_branches_use_are_made_once(spark):
 
 def test_symbols_that_three_branches_use_are_made_once(spark):
     assert "interface" not in QUERIES["hard_delete_cascade"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_selection_sees_no_texts(spark, monkeypatch):
+    """Candidates are scored and chosen by their chunks' keys; texts join the hits that are taken, by any of the joins."""
+    seen, real = [], retrieval.greedy
+    monkeypatch.setattr(retrieval, "greedy", lambda fused, o: (seen.append(set(fused.columns)), real(fused, o))[1])
+    shown = lambda: {(r["query_id"], r["rank"], r["chunk_id"], r["text"], r["snippet"]) for r in v.hits(spark, SF).collect()}
+    want = shown()
+    monkeypatch.setattr(retrieval, "FEW_ROWS", 1)
+    assert want and shown() == want
+    monkeypatch.setattr(retrieval, "FEW_KEYS", 1)
+    assert shown() == want
+    assert len(seen) == 3 and all("text" not in columns for columns in seen)
+
+
+def test_a_word_is_hashed_once_for_a_worker(spark, monkeypatch):
+    asked, real = [], embedding._bucket
+    monkeypatch.setattr(embedding, "_bucket", lambda w, dim: (asked.append(w), real(w, dim))[1])
+    count = embedding._counted(8)
+    assert count(pa.array([["b", "a", "b"], None, []])).to_pylist()[1:] == [[], []] and count(pa.array([], pa.list_(pa.string()))).to_pylist() == []
+    count(pa.array([["a", "b"]] * (embedding.ROWS + 1)))
+    assert sorted(asked) == ["a", "b"]
+    monkeypatch.undo()
+    texts = spark.createDataFrame([(1, "One two, one"), (2, None), (3, "..."), (4, "Ünï_x 中 " * 3)], "id int, text string")
+    dense = {r["id"]: r["v"] for r in texts.select("id", embedding.hash_vector(F.coalesce("text", F.lit(""))).alias("v")).collect()}
+    for r in embedding.hash_vectors(texts, ["id"]).collect():
+        assert [(x["bucket"], x["weight"]) for x in r["vector"]] == [(i, x) for i, x in enumerate(dense[r["id"]]) if x]
+
+
+def test_windows_of_a_long_text_cost_what_those_of_short_ones_do(spark):
+    made = lambda df, size, overlap: df.select(F.transform(chunking.fixed_windows(F.col("text"), size, overlap), lambda c: c["body"]).alias("w"))
+    for text in ("ab\nç𝒳\r\nde" * 7, "x", "abcd"):
+        for size, overlap in ((4, 1), (5, 4), (5, 0), (12, 3)):
+            step = size - overlap
+            want = [text[i : i + size] for i in range(0, max(-(-(len(text) - overlap) // step), 1) * step, step)]
+            assert made(spark.createDataFrame([(text,)], "text string"), size, overlap).first()["w"] == want
+
+    def seconds(rows: int, n: int) -> float:
+        texts = spark.range(0, rows, 1, 1).select(F.repeat(F.lit("word "), F.lit(n) + (F.col("id") % 1).cast("int")).alias("text"))
+        began = time.perf_counter()
+        made(texts, 1200, 300).select(F.size("w")).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    seconds(4, 10_000)
+    assert seconds(1, 1_600_000) < 4 * seconds(160, 10_000) + 1
+
+
+def test_only_newlines_are_trimmed(spark):
+    """As SQL's trim: a line end behind the last newline keeps it."""
+    assert spark.createDataFrame([("\n\na\n\r",), ("\nb\n\n",)], "t string").select(tx.trim_newlines(F.col("t")).alias("r")).collect() == [("a\n\r",), ("b",)]
