@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.operators.vectors import least_places
+from lodeframe.operators.streams import least_places
 from lodeframe.shipping import ship
 
 
