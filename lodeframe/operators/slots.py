@@ -1,8 +1,8 @@
-"""Ranks of the chunks of one slot of posting blocks, for all questions that open it.
+"""Ranks of the chunks of one slot of posting blocks, for all questions of a pass.
 
-A slot is one group: its blocks meet the questions whose terms all have a block in it. A question's lists are intersected
-from its shortest one on, and the covers of all chunks found are counted at once, so that neither postings nor pairs of
-questions and chunks are rows of a shuffle; of a slot only each question's k best chunks leave.
+A slot is one group: its blocks meet the questions whose terms all have a block in it (``wordhits``), so that neither
+postings nor pairs of questions and chunks are rows of a shuffle; of a slot only each question's k best chunks leave, less
+those that can't reach the k-th rank of slots seen before in the same task.
 """
 
 from __future__ import annotations
@@ -13,75 +13,60 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.operators.streams import least_places
-from lodeframe.shipping import ship
-
-
-def cover_ranks(chunk: np.ndarray, pos: np.ndarray, term: np.ndarray, terms: int, chunks: int) -> np.ndarray:
-    """``retrieval.cover_density`` of each chunk, from all hits by chunk and position."""
-    i = np.arange(len(pos))
-    start = i
-    for t in range(terms):
-        start = np.minimum(start, np.maximum.accumulate(np.where(term == t, i, -1)))
-    # starts only grow; a cover counts where its start is its own chunk's and was not the one before
-    new = start >= np.searchsorted(chunk, chunk)
-    new[1:] &= start[1:] != start[:-1]
-    at, begun = i[new], start[new]
-    return np.bincount(chunk[new], 1.0 / (1.0 + (pos[at] - pos[begun] - (at - begun))), chunks)
+from lodeframe.operators.streams import passes
+from lodeframe.operators.wordhits import PASS_WORDS, Batch, best_of, told
 
 
 def _lengths(lists: pa.Array) -> np.ndarray:
     return np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
 
 
-def _ranked(k: int):
-    def ranked(blocks: pa.Table, asked: pa.Table) -> pa.Table:
-        lists, places = blocks.column("chunks").combine_chunks(), blocks.column("places").combine_chunks()
+class _Slot(Batch):
+    """A slot's blocks as a batch of chunks; ``names``: the chunks' ids by their number."""
+
+    def __init__(self, blocks: pa.Table, vocabulary: pa.Array):
+        code = np.asarray(pc.index_in(blocks.column("token").combine_chunks(), value_set=vocabulary))
+        by_code = np.argsort(code)
+        lists, places = (blocks.column(c).combine_chunks().take(pa.array(by_code)) for c in ("chunks", "places"))
         coded = lists.flatten().dictionary_encode()
         by_name = np.asarray(pc.array_sort_indices(coded.dictionary)).astype(np.int64)
         number = np.empty(len(by_name), np.int64)
         number[by_name] = np.arange(len(by_name))
-        # entries of a block are in their chunks' order
-        entry = number[np.asarray(coded.indices)]
-        ends = np.cumsum(_lengths(lists))
-        span = {t: (end - n, end) for t, n, end in zip(blocks.column("token").to_pylist(), _lengths(lists), ends)}
         each = places.flatten()
-        hits, pos = _lengths(each), np.asarray(each.flatten()).astype(np.int64)
-        first, width, same = np.cumsum(hits) - hits, int(pos.max(initial=0)) + 1, np.arange(len(by_name))
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for i, (tokens, least) in enumerate(zip(asked.column("tokens").to_pylist(), asked.column("least").to_pylist())):
-            own = sorted((span.get(t, (0, 0)) for t in tokens), key=lambda s: s[1] - s[0])
-            found = [np.arange(*own[0])]
-            for s, e in own[1:]:
-                met = entry[found[0]]
-                at = np.minimum(s + np.searchsorted(entry[s:e], met), e - 1)
-                kept = entry[at] == met
-                found = [x[kept] for x in found] + [at[kept]]
-            found = np.stack(found)
-            n, m = hits[found], len(own)
-            found = found[:, np.minimum(n.sum(axis=0), m * n.min(axis=0)) >= least]  # as ``retrieval.block_bounds``
-            if not found.size:
-                continue
-            n, chunks = hits[found].ravel(), found.shape[1]
-            chunk, term = np.repeat(np.tile(np.arange(chunks), m), n), np.repeat(np.repeat(np.arange(m), chunks), n)
-            p = pos[np.repeat(first[found].ravel() - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            order = np.argsort(chunk * width + p)
-            rank = cover_ranks(chunk[order], p[order], term[order], m, chunks)
-            some = np.flatnonzero(rank >= least - 1e-8)
-            name = entry[found[0][some]]
-            best = least_places(np.zeros(len(some), np.int64), name, -rank[some], same, k, 9)
-            out.append((np.full(len(best), i), name[best], rank[some][best]))
-        q, name, rank = (np.concatenate(x) for x in zip(*out))
-        return pa.table([asked.column("query_id").take(pa.array(q)), coded.dictionary.take(pa.array(by_name[name])), pa.array(rank)], names=["query_id", "chunk_id", "rank"])
-
-    return lambda blocks, asked: ranked(blocks, asked) if len(blocks) and len(asked) else pa.table([asked.column("query_id").slice(0, 0), blocks.column("chunks").combine_chunks().flatten().slice(0, 0), pa.array([], pa.float64())], names=["query_id", "chunk_id", "rank"])
+        held = np.zeros(len(vocabulary), np.int64)
+        held[code[by_code]] = _lengths(lists)
+        # entries of a block are in their chunks' order
+        self.names = coded.dictionary.take(pa.array(by_name))
+        self.list_up(held, number[np.asarray(coded.indices)], _lengths(each), np.asarray(each.flatten()).astype(np.int64), len(by_name))
+
+
+def _ranked(k: int):
+    def meet(sent):
+        limit: list[np.ndarray] = []  # of the slots that this task has seen
+
+        def ranked(blocks: pa.Table) -> pa.Table:
+            asked = sent.value
+            if not limit:
+                limit.append(np.full(len(asked["offsets"]) - 1, np.inf))
+            slot = _Slot(blocks, asked["words"])
+            q, rows, rank = best_of(slot, asked, dict.fromkeys(range(len(asked["areas"]))), k, limit[0])
+            return pa.table([asked["query_id"].take(pa.array(q)), slot.names.take(pa.array(rows)), pa.array(rank)], names=["query_id", "chunk_id", "rank"])
+
+        return ranked
+
+    return meet
 
 
 def slot_ranks(blocks: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """query_id, chunk_id, rank: of every question's slots (slot, query_id, tokens, least) its k best chunks with all tokens,
-    ties to the smaller chunk_id, but for chunks of a rank below ``least``. ``blocks``: slot, token, entries."""
-    ship(blocks.sparkSession)
+    """query_id, chunk_id, rank: of every slot each question's best chunks with all its words, k of them at most but for ties.
+    ``blocks``: slot, token, entries; ``asked``: query_id, ts, prefix. Blocks that lie by slot already are not shuffled."""
     part = lambda name: F.transform("entries", lambda e: e[name])
     left = blocks.select("slot", "token", part("chunk_id").alias("chunks"), part("pos").alias("places"))
-    kinds = asked.schema["query_id"].dataType.simpleString(), left.schema["chunks"].dataType.elementType.simpleString()
-    return left.groupBy("slot").cogroup(asked.select("slot", "query_id", "tokens", "least").groupBy("slot")).applyInArrow(_ranked(k), f"query_id {kinds[0]}, chunk_id {kinds[1]}, rank double")
+    kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_id {left.schema['chunks'].dataType.elementType.simpleString()}, rank double"
+
+    def opened(sent, own: DataFrame) -> DataFrame:
+        words = own.select(F.explode("ts").alias("token")).distinct()
+        some = left.join(F.broadcast(words) if sent.value["offsets"][-1] <= PASS_WORDS else words, "token", "left_semi")
+        return some.groupBy("slot").applyInArrow(_ranked(k)(sent), kinds)
+
+    return passes(blocks.sparkSession, asked.select("query_id", "ts", "prefix"), F.size("ts"), PASS_WORDS, told, opened)
